@@ -14,3 +14,20 @@ WITH_LOCATION = PRODUCTION.with_(location_weight=0.03)
 
 BLEND_BASE = PRODUCTION
 BLEND_MODEL = PRODUCTION.with_(k=20, repeat_weight=0.0, copurchase_weight=1.0, category_weight=0.0, global_weight=0.0)
+
+# Ranker: train on June, evaluate on July; the samples cover all buyers of the fixtures.
+TRAIN_CUTOFF, TRAIN_END = "1996-06-01", "1996-07-01"
+SAMPLE_SIZE = 100
+ALL_BUYERS = 120_000
+SEED = 42
+
+SPLITS = (
+    ("1996-04", "1996-04-01", "1996-05-01"),
+    ("1996-05", "1996-05-01", "1996-06-01"),
+    ("1996-06", "1996-06-01", "1996-07-01"),
+    ("1996-07", "1996-07-01", "1996-08-01"),
+)
+# Events are shifted to the last cutoff and lie in the month before it.
+GRID_BASE = DEFAULT.with_(event_start="1996-03-01")
+
+HEADS = 500
