@@ -3,14 +3,21 @@ full cross joins and unlimited windows, independent of the Spark plans."""
 
 from __future__ import annotations
 
+import math
+
 from catalog import settings as S
 from rebuy.config import HybridConfig, metadata_levels
 from rebuy.sources.star_schema import event_shift_days
 
-POINTS = "DECIMAL(18,9)"
 RATE = "DECIMAL(18,12)"
 
 
+def points(score: str) -> str:
+    """Scores in whole billionths."""
+    return f"CAST(floor(({score}) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)"
+
+
+
 class Sql:
     """A growing list of named CTEs."""
 
@@ -76,13 +83,13 @@ def signals(q: Sql, cfg: HybridConfig, p: str = "") -> None:
     q.add(
         f"{p}bought",
         f"""SELECT customer_id, item_id, 'purchase' AS signal, updated_date AS signal_date,
-        CAST(CAST(8.0 AS DOUBLE) * {decay('updated_date', cfg)} AS {POINTS}) AS points
+        {points('CAST(8.0 AS DOUBLE) * ' + decay('updated_date', cfg))} AS points
         FROM tx WHERE updated_date < TIMESTAMP '{cfg.cutoff}' AND {VALID}""",
     )
     q.add(
         f"{p}browsed",
         f"""SELECT customer_id, item_id, event_type AS signal, event_date AS signal_date,
-        CAST(CAST(CASE WHEN event_type = 'add_to_cart' THEN 3.0 ELSE 1.0 END AS DOUBLE) * {decay('event_date', cfg)} AS {POINTS}) AS points
+        {points("CAST(CASE WHEN event_type = 'add_to_cart' THEN 3.0 ELSE 1.0 END AS DOUBLE) * " + decay('event_date', cfg))} AS points
         FROM ev WHERE event_date >= TIMESTAMP '{cfg.event_start}' AND event_date < TIMESTAMP '{cfg.cutoff}'
         AND event_type IN ('view_item', 'add_to_cart') AND {VALID}""",
     )
@@ -116,6 +123,7 @@ def history(q: Sql, cfg: HybridConfig, p: str = "", targets: str | None = None)
 
 
 def neighbors(q: Sql, cutoff: str, max_basket: int, n: int, p: str = "") -> None:
+    unit = math.lcm(*range(1, max_basket))
     q.add(
         f"{p}lines",
         f"SELECT DISTINCT bill_id, item_id FROM tx WHERE updated_date < TIMESTAMP '{cutoff}'",
@@ -123,13 +131,13 @@ def neighbors(q: Sql, cutoff: str, max_basket: int, n: int, p: str = "") -> None
     q.add(f"{p}bills", f"SELECT bill_id, count(*) AS n FROM {p}lines GROUP BY bill_id HAVING count(*) BETWEEN 2 AND {max_basket}")
     q.add(
         f"{p}weights",
-        f"""SELECT a.item_id, b.item_id AS neighbor_id, sum(CAST(CAST(1.0 AS DOUBLE) / (n - 1) AS {POINTS})) AS points
+        f"""SELECT a.item_id, b.item_id AS neighbor_id, sum({unit} // (n - 1)) AS points
         FROM {p}bills JOIN {p}lines a USING (bill_id) JOIN {p}lines b USING (bill_id)
         WHERE a.item_id <> b.item_id GROUP BY 1, 2""",
     )
     q.add(
         f"{p}near",
-        f"""SELECT item_id, neighbor_id, rnk, points, CAST(points AS DOUBLE) / CAST(max(points) OVER (PARTITION BY item_id) AS DOUBLE) AS score
+        f"""SELECT item_id, neighbor_id, rnk, CAST(points AS DOUBLE) / {unit} AS weight, CAST(points AS DOUBLE) / CAST(max(points) OVER (PARTITION BY item_id) AS DOUBLE) AS score
         FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY points DESC, neighbor_id) AS rnk FROM {p}weights)
         WHERE rnk <= {n}""",
     )
@@ -174,7 +182,7 @@ def locations(q: Sql, cfg: HybridConfig, p: str = "") -> None:
         f"{p}ltops",
         f"""SELECT location, item_id, rnk, CAST(points AS DOUBLE) / CAST(max(points) OVER (PARTITION BY location) AS DOUBLE) AS score
         FROM (SELECT location, item_id, points, row_number() OVER (PARTITION BY location ORDER BY points DESC, item_id) AS rnk
-              FROM (SELECT location, item_id, sum(CAST(CAST(8.0 AS DOUBLE) * {decay('updated_date', cfg)} AS {POINTS})) AS points
+              FROM (SELECT location, item_id, sum({points('CAST(8.0 AS DOUBLE) * ' + decay('updated_date', cfg))}) AS points
                     FROM tx WHERE updated_date < TIMESTAMP '{cfg.cutoff}' GROUP BY 1, 2))
         WHERE rnk <= {cfg.max_location_items}""",
     )
@@ -215,7 +223,7 @@ def hybrid(q: Sql, cfg: HybridConfig, p: str = "", name: str = "recs", base: str
         locations(q, cfg, b)
         rows.append(f"SELECT customer_id, item_id, 'l', score FROM {b}homes JOIN {b}ltops USING (location)")
     sums = ", ".join(
-        f"coalesce(CAST(sum(CASE WHEN kind = '{kind}' THEN CAST(value AS {POINTS}) END) AS DOUBLE), 0) AS {kind}" for kind in "cml"
+        f"coalesce(CAST(sum(CASE WHEN kind = '{kind}' THEN {points('value')} END) AS DOUBLE) / CAST(1e9 AS DOUBLE), 0) AS {kind}" for kind in "cml"
     )
     plain = ", ".join(f"coalesce(max(CASE WHEN kind = '{kind}' THEN value END), 0) AS {kind}" for kind in "rg")
     q.add(f"{p}{name}_ev", f"SELECT customer_id, item_id, {plain}, {sums} FROM ({' UNION ALL '.join(rows)}) GROUP BY 1, 2")
@@ -229,9 +237,9 @@ def hybrid(q: Sql, cfg: HybridConfig, p: str = "", name: str = "recs", base: str
     score = " + ".join(f"CAST({float(weight)} AS DOUBLE) * {kind}" for kind, weight in w.items())
     return q.add(
         f"{p}{name}",
-        f"""SELECT customer_id, item_id, rnk, CAST(s AS DOUBLE) AS score FROM (
+        f"""SELECT customer_id, item_id, rnk, CAST(s AS DOUBLE) / CAST(1e9 AS DOUBLE) AS score FROM (
           SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, g DESC, item_id DESC) AS rnk
-          FROM (SELECT customer_id, item_id, g, CAST({score} AS {POINTS}) AS s FROM {p}{name}_ev))
+          FROM (SELECT customer_id, item_id, g, {points(score)} AS s FROM {p}{name}_ev))
         WHERE rnk <= {cfg.k}""",
     )
 
@@ -317,7 +325,7 @@ def candidates(q: Sql, r, cutoff: str, p: str = "") -> None:
         f"{p}c_hist",
         f"""SELECT customer_id, item_id, rnk FROM (
           SELECT customer_id, item_id, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, last_date DESC, item_id) AS rnk
-          FROM (SELECT customer_id, item_id, CAST(count(*) * CAST(2.0 AS DOUBLE) + ln(sum(greatest(quantity, 1))) AS {POINTS}) AS s,
+          FROM (SELECT customer_id, item_id, {points('count(*) * CAST(2.0 AS DOUBLE) + ln(sum(greatest(quantity, 1)))')} AS s,
                        max(updated_date) AS last_date
                 FROM {p}prior WHERE customer_id IN (SELECT customer_id FROM {p}users) GROUP BY 1, 2))
         WHERE rnk <= {r.user_candidates}""",
@@ -445,7 +453,7 @@ def blend_lists(q: Sql) -> None:
 def rrf_variant(q: Sql, weight: float, k: int) -> str:
     return f"""SELECT customer_id, item_id, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, coalesce(br, 1000000 + mr)) AS rnk
       FROM (SELECT customer_id, item_id, max(br) AS br, max(mr) AS mr,
-              CAST(coalesce(CAST(1 AS DOUBLE) / max(br), 0) + coalesce(CAST({weight} AS DOUBLE) / max(mr), 0) AS {POINTS}) AS s
+              {points(f'coalesce(CAST(1 AS DOUBLE) / max(br), 0) + coalesce(CAST({weight} AS DOUBLE) / max(mr), 0)')} AS s
             FROM (SELECT customer_id, item_id, rnk AS br, NULL AS mr FROM b_base_list
                   UNION ALL SELECT customer_id, item_id, NULL, rnk FROM b_model_list) GROUP BY 1, 2)
       QUALIFY rnk <= {k}"""

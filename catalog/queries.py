@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from catalog import settings as S
+from rebuy.functions.scoring import SCALE
 from rebuy.operators import blending, ceiling, copurchase, customers, features, interactions, metrics, popularity, signals
 from rebuy.plans import experiments, hybrid
 from rebuy.session import shared_dir
@@ -48,6 +49,12 @@ def tidy(df: DataFrame, exact: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[column(field) for field in df.schema.fields])
 
 
+def scored(df: DataFrame) -> DataFrame:
+    """Points (whole billionths) shown as a score."""
+    columns = [F.col(c).alias(c) if c != "points" else (F.col(c) / SCALE).alias("score") for c in df.columns]
+    return tidy(df.withColumn("points", F.col("points").cast("double")).select(*columns), exact=("score",))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "rebuy", f"{name}-{uuid.uuid4().hex}")
 
@@ -58,18 +65,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 @query
 def purchase_signals(spark, folder):
     t = sku(spark, folder)
-    return tidy(signals.purchase_signals(t.transactions, None, S.CUTOFF, S.CUTOFF, S.DEFAULT.half_life_days))
+    return scored(signals.purchase_signals(t.transactions, None, S.CUTOFF, S.CUTOFF, S.DEFAULT.half_life_days))
 
 
 @query
 def event_signals(spark, folder):
     t = sku(spark, folder)
-    return tidy(signals.event_signals(t.events, S.EVENT_START, S.CUTOFF, S.CUTOFF, S.DEFAULT.half_life_days))
+    return scored(signals.event_signals(t.events, S.EVENT_START, S.CUTOFF, S.CUTOFF, S.DEFAULT.half_life_days))
 
 
 @query
 def train_signals(spark, folder):
-    return tidy(signals.train_signals(style(spark, folder), S.DEFAULT))
+    return scored(signals.train_signals(style(spark, folder), S.DEFAULT))
 
 
 def _pairs(t, cfg=S.DEFAULT):
@@ -78,18 +85,18 @@ def _pairs(t, cfg=S.DEFAULT):
 
 @query
 def customer_items(spark, folder):
-    return tidy(_pairs(sku(spark, folder)))
+    return scored(_pairs(sku(spark, folder)))
 
 
 @query
 def item_totals(spark, folder):
-    return tidy(popularity.item_totals(_pairs(sku(spark, folder))).drop("customers"))
+    return scored(popularity.item_totals(_pairs(sku(spark, folder))).drop("customers"))
 
 
 @query
 def global_popularity(spark, folder):
     totals = popularity.item_totals(_pairs(sku(spark, folder)))
-    return tidy(popularity.global_scores(totals, S.DEFAULT.global_limit).select("item_id", "points", "n", "rnk"))
+    return scored(popularity.global_scores(totals, S.DEFAULT.global_limit).select("item_id", "points", "n", "rnk"))
 
 
 @query
@@ -408,11 +415,7 @@ def _blend_lists(spark, folder):
     t = style(spark, folder)
     targets = customers.target_customers(t, S.BLEND_BASE)
     training = hybrid.train(t, S.BLEND_BASE)
-    neighbors = copurchase.copurchase_neighbors(t.transactions, S.CUTOFF, S.BLEND_BASE.max_basket_items, S.BLEND_BASE.max_neighbors)
-    lists = [
-        hybrid.recommend(t, cfg, targets=targets, training=training, neighbors=neighbors)
-        for cfg in (S.BLEND_BASE, S.BLEND_MODEL)
-    ]
+    lists = [hybrid.recommend(t, cfg, targets=targets, training=training) for cfg in (S.BLEND_BASE, S.BLEND_MODEL)]
     return lists[0], lists[1], customers.truth(t.transactions, S.CUTOFF, S.VALID_END)
 
 

@@ -7,6 +7,7 @@ from rebuy.operators import blending
 from rebuy.operators.features import FEATURES, CandidateConfig
 from rebuy.plans.experiments import CONFIGS, Split
 
+SCORE = "CAST(points AS DOUBLE) / CAST(1e9 AS DOUBLE) AS score"
 RANKER = CandidateConfig(event_start=S.EVENT_START)
 
 
@@ -31,7 +32,7 @@ def build() -> dict[str, str]:
     def signal_query(name: str, table: str, variant: str) -> None:
         q = start(variant)
         O.signals(q, D)
-        out[name] = q.select(f"SELECT customer_id, item_id, signal, signal_date, {exact('points')} FROM {table}")
+        out[name] = q.select(f"SELECT customer_id, item_id, signal, signal_date, {SCORE} FROM {table}")
 
     signal_query("purchase_signals", "bought", "sku")
     signal_query("event_signals", "browsed", "sku")
@@ -40,19 +41,19 @@ def build() -> dict[str, str]:
     q = start("sku")
     O.signals(q, D)
     out["customer_items"] = q.select(
-        """SELECT customer_id, item_id, CAST(sum(points) AS DOUBLE) AS points, max(signal_date) AS last_date,
+        """SELECT customer_id, item_id, CAST(sum(points) AS DOUBLE) / CAST(1e9 AS DOUBLE) AS score, max(signal_date) AS last_date,
         count(*) AS n FROM signals GROUP BY 1, 2"""
     )
     O.popularity(q, D)
-    out["item_totals"] = q.select(f"SELECT item_id, {exact('points')}, n FROM totals")
-    out["global_popularity"] = q.select(f"SELECT item_id, {exact('points')}, n, rnk FROM popular")
+    out["item_totals"] = q.select(f"SELECT item_id, {SCORE}, n FROM totals")
+    out["global_popularity"] = q.select(f"SELECT item_id, {SCORE}, n, rnk FROM popular")
     O.history(q, D)
     out["user_history"] = q.select(f"SELECT customer_id, item_id, {r6('score')}, rnk FROM history")
     q = start("style")
     O.popularity(q, D)
     out["global_scores"] = q.select(f"SELECT item_id, {r6('score')}, rnk FROM popular")
 
-    near = f"SELECT item_id, neighbor_id, {exact('points')}, {r6('score')}, rnk FROM near"
+    near = f"SELECT item_id, neighbor_id, {r6('weight', 'score')}, rnk FROM near"
     q = start("sku")
     O.neighbors(q, S.CUTOFF, D.max_basket_items, D.max_neighbors)
     out["copurchase_neighbors"] = q.select(near)
@@ -221,7 +222,7 @@ def build() -> dict[str, str]:
     out["head_items"] = q.select("SELECT item_id, n, item_idx FROM heads")
     q.add(
         "ratings",
-        """SELECT customer_id, item_id, item_idx, CAST(sum(points) AS DOUBLE) AS rating FROM signals JOIN heads USING (item_id)
+        """SELECT customer_id, item_id, item_idx, CAST(sum(points) AS DOUBLE) / CAST(1e9 AS DOUBLE) AS rating FROM signals JOIN heads USING (item_id)
         WHERE customer_id IN (SELECT customer_id FROM targets) GROUP BY 1, 2, 3""",
     )
     out["interaction_matrix"] = q.select(

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rebuy.config import CART_WEIGHT, INVALID_ITEM_IDS, PURCHASE_WEIGHT, VIEW_WEIGHT
 
-# Scores are summed as exact decimals, so that totals and ranks do not depend
-# on the order in which tasks finish.
-POINTS = "decimal(18,9)"
+# Scores are summed as whole billionths, so that totals and ranks do not depend
+# on the order in which tasks finish. Sums without a proven bound are taken over
+# WIDE, which cannot overflow; sums of a bounded number of shares over bigint.
+SCALE = 1e9
+WIDE = "decimal(18,0)"
 RATE = "decimal(18,12)"
 
 
@@ -58,14 +60,22 @@ def quantity_boost(column: str = "quantity") -> Column:
 
 
 def purchase_points(anchor: str, half_life_days: float) -> Column:
-    score = F.lit(PURCHASE_WEIGHT) * quantity_boost() * recency("updated_date", anchor, half_life_days)
-    return score.cast(POINTS)
+    return billionths(F.lit(PURCHASE_WEIGHT) * quantity_boost() * recency("updated_date", anchor, half_life_days))
 
 
 def event_points(anchor: str, half_life_days: float) -> Column:
     weight = F.when(F.col("event_type") == "add_to_cart", F.lit(CART_WEIGHT)).otherwise(F.lit(VIEW_WEIGHT))
-    score = weight * quantity_boost() * recency("event_date", anchor, half_life_days)
-    return score.cast(POINTS)
+    return billionths(weight * quantity_boost() * recency("event_date", anchor, half_life_days))
+
+
+def billionths(score: Column) -> Column:
+    """Nearest whole number of billionths (bigint)."""
+    return F.floor(score * F.lit(SCALE) + F.lit(0.5))
+
+
+def total_points(column: str = "points") -> Column:
+    """Overflow-free sum of points; 0 where every value is null."""
+    return F.coalesce(F.sum(F.col(column).cast(WIDE)), F.lit(0).cast("decimal(28,0)"))
 
 
 def zero(column: Column | str) -> Column:

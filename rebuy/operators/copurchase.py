@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 
 from pyspark.sql import DataFrame, functions as F
 
 from rebuy.config import HybridConfig
-from rebuy.functions.scoring import POINTS, before
+from rebuy.functions.scoring import before
 from rebuy.operators.topk import top_n, top_n_shares
 from rebuy.session import shared_dir
 from rebuy.sources.tables import ShopTables
@@ -30,22 +31,29 @@ def baskets(transactions: DataFrame, cutoff: str, max_basket_items: int) -> Data
 def copurchase_neighbors(transactions: DataFrame, cutoff: str, max_basket_items: int, max_neighbors: int) -> DataFrame:
     """Top neighbours per item by summed ``1 / (basket size - 1)``, relative to the best one.
 
-    A basket yields at most ``max_basket_items * (max_basket_items - 1)``
+    The weights are added as whole fractions of :func:`weight_unit`. A basket yields at most ``max_basket_items * (max_basket_items - 1)``
     pairs; they are summed map-side before the shuffle on the pair.
     """
+    unit = weight_unit(max_basket_items)
+    share = F.floor(F.lit(float(unit)) / (F.size("items") - 1) + 0.5)
     firsts = baskets(transactions, cutoff, max_basket_items).select("items", F.explode("items").alias("item_id"))
     pairs = firsts.select(
         "item_id",
         F.explode("items").alias("neighbor_id"),
-        (1.0 / (F.size("items") - 1)).cast(POINTS).alias("weight"),
+        share.alias("weight"),
     ).filter(F.col("item_id") != F.col("neighbor_id"))
     weights = pairs.groupBy("item_id", "neighbor_id").agg(F.sum("weight").alias("points"))
     order = [F.desc("points"), F.col("neighbor_id")]
     return top_n_shares(weights, ["item_id"], order, max_neighbors).select(
-        "item_id", "neighbor_id", "points", "score", "rnk"
+        "item_id", "neighbor_id", (F.col("points") / unit).alias("weight"), "score", "rnk"
     )
 
 
+def weight_unit(max_basket_items: int) -> int:
+    """Common denominator of all basket weights; a fixed one where that grows too large for sums."""
+    return min(math.lcm(*range(1, max_basket_items)), 10**9)
+
+
 def adjacency(neighbors: DataFrame) -> DataFrame:
     """One row per item with its (bounded) neighbour list: joins move one row per seed."""
     entry = F.struct("neighbor_id", "score")

@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rebuy.functions.scoring import POINTS, age_days, before, within, zero
+from rebuy.functions.scoring import age_days, before, billionths, within, zero
 from rebuy.operators.copurchase import adjacency, copurchase_neighbors
 from rebuy.operators.customers import only_customers, truth
 from rebuy.operators.popularity import item_groups
-from rebuy.operators.skew import heaviest, spread_join
+from rebuy.operators.skew import heaviest, lookup_join
 from rebuy.operators.topk import head, top_n
 from rebuy.session import materialize
 from rebuy.sources.tables import ShopTables
@@ -183,7 +183,7 @@ def history_candidates(own_profile: DataFrame, n: int) -> DataFrame:
     """Best items per customer by ``2 * purchases + ln(quantity)``, then recency."""
     volume = F.coalesce(F.ln(F.col("qty_min1").cast("double")), F.lit(-1e6))
     scored = own_profile.select(
-        "customer_id", "item_id", "last_date", (F.col("n") * 2.0 + volume).cast(POINTS).alias("score")
+        "customer_id", "item_id", "last_date", billionths(F.col("n") * 2.0 + volume).alias("score")
     )
     order = [F.desc("score"), F.desc("last_date"), F.col("item_id")]
     return top_n(scored, ["customer_id"], order, n).select("customer_id", "item_id", "score", "rnk")
@@ -205,8 +205,8 @@ def group_candidates(history: DataFrame, items: DataFrame, metadata: DataFrame,
     sizes = weighted.groupBy("grp").agg(F.sum("item_buyers").alias("buyers"))
 
     grouped = groups.groupBy("item_id").agg(F.collect_set("grp").alias("grps"))
-    member = spread_join(
-        history.select("customer_id", "item_id"), grouped, "item_id", heaviest(items, "item_id", "item_buyers"), "customer_id"
+    member = lookup_join(
+        history.select("customer_id", "item_id"), grouped, "item_id", lambda: heaviest(items, "item_id", "item_buyers"), "customer_id"
     )
     liked = (
         member.select("customer_id", F.explode("grps").alias("grp"))
@@ -215,13 +215,13 @@ def group_candidates(history: DataFrame, items: DataFrame, metadata: DataFrame,
         .withColumn("level", F.substring_index("grp", ":", 1))
     )
     chosen = top_n(liked, ["customer_id", "level"], [F.desc("n"), F.col("grp")], GROUPS_PER_LEVEL)
-    met = spread_join(chosen.select("customer_id", "grp"), lists, "grp", heaviest(sizes, "grp", "buyers"), "customer_id")
+    met = lookup_join(chosen.select("customer_id", "grp"), lists, "grp", lambda: heaviest(sizes, "grp", "buyers"), "customer_id")
     return met.select("customer_id", F.explode("best").alias("item_id"))
 
 
 def copurchase_candidates(history: DataFrame, neighbors: DataFrame, items: DataFrame, seeds: int) -> DataFrame:
     first = history.filter(F.col("rnk") <= seeds).select("customer_id", "item_id")
-    met = spread_join(first, adjacency(neighbors), "item_id", heaviest(items, "item_id", "item_buyers"), "customer_id")
+    met = lookup_join(first, adjacency(neighbors), "item_id", lambda: heaviest(items, "item_id", "item_buyers"), "customer_id")
     return met.select("customer_id", F.explode("near.neighbor_id").alias("item_id"))
 
 
@@ -270,8 +270,9 @@ def feature_frame(inputs: RankerInputs, candidates: DataFrame, end: str, cfg: Ca
         .join(events, ["customer_id", "item_id"], "left")
         .join(user_features(own), "customer_id", "left")
     )
-    hot = heaviest(inputs.items, "item_id", "item_buyers")
-    joined = spread_join(joined, item_side, "item_id", hot, "customer_id", "left")
+    joined = lookup_join(
+        joined, item_side, "item_id", lambda: heaviest(inputs.items, "item_id", "item_buyers"), "customer_id", "left"
+    )
 
     meta_price = F.col("meta_price")
     defaults = {

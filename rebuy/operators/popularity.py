@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rebuy.config import HybridConfig, metadata_levels
-from rebuy.functions.scoring import before, purchase_points, ratio
+from rebuy.functions.scoring import before, purchase_points, ratio, total_points
 from rebuy.operators.customers import only_customers
 from rebuy.operators.topk import head, top_n, top_n_shares
 
@@ -66,7 +66,7 @@ def location_top_items(transactions: DataFrame, cfg: HybridConfig) -> DataFrame:
         transactions.filter(before(transactions, "updated_date", cfg.cutoff) & F.col("location").isNotNull())
         .select("location", "item_id", purchase_points(cfg.cutoff, cfg.half_life_days).alias("points"))
         .groupBy("location", "item_id")
-        .agg(F.coalesce(F.sum("points"), F.lit(0).cast("decimal(28,9)")).alias("points"))
+        .agg(total_points().alias("points"))
     )
     order = [F.desc("points"), F.col("item_id")]
     return top_n_shares(scored, ["location"], order, cfg.max_location_items).select(

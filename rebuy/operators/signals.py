@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rebuy.config import EVENT_TYPES, HybridConfig
-from rebuy.functions.scoring import event_points, every, purchase_points, valid_item, within
+from rebuy.functions.scoring import event_points, every, purchase_points, total_points, valid_item, within
 from rebuy.operators.customers import only_customers
 from rebuy.operators.topk import top_n_shares
 from rebuy.sources.tables import ShopTables
@@ -47,7 +47,7 @@ def customer_items(signals: DataFrame) -> DataFrame:
     Popularity, history, group tops and the seen flag all derive from it.
     """
     return signals.groupBy("customer_id", "item_id").agg(
-        F.coalesce(F.sum("points"), F.lit(0).cast("decimal(28,9)")).alias("points"),
+        total_points().alias("points"),
         F.max("signal_date").alias("last_date"),
         F.count("*").alias("n"),
     )

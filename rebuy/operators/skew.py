@@ -1,11 +1,15 @@
-"""Equi-joins whose left side may hold one key very often."""
+"""Joins to a lookup table, whose other side may hold one key very often."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 HOT_KEYS = 200
 FAN_OUT = 32
+# Stored (compressed) size up to which a lookup table is sent to every executor.
+BROADCAST_BYTES = 16 << 20
 
 
 def heaviest(df: DataFrame, key: str, weight: str, n: int = HOT_KEYS) -> DataFrame:
@@ -13,13 +17,29 @@ def heaviest(df: DataFrame, key: str, weight: str, n: int = HOT_KEYS) -> DataFra
     return df.orderBy(F.desc(weight), F.col(key)).limit(n).select(key)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate; for a stored table this is the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def lookup_join(
+    left: DataFrame, lookup: DataFrame, key: str, hot: Callable[[], DataFrame], spread_by: str, how: str = "inner"
+) -> DataFrame:
+    """Join to a table with one row per ``key``: broadcast if its size allows, else spread.
+
+    ``hot`` names the heavy keys; it is only asked for when it is needed.
+    """
+    if stored_bytes(lookup) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(lookup), key, how)
+    return spread_join(left, lookup, key, hot(), spread_by, how)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread_by: str, how: str = "inner") -> DataFrame:
-    """Join ``left`` to the lookup table ``right`` (one row per ``key``).
+    """Join ``left`` to the lookup table ``right`` (one row per ``key``) by shuffling.
 
     Rows of the ``hot`` keys are spread over ``FAN_OUT`` tasks by
     ``spread_by``, and only those lookup rows are repeated. ``hot`` is the
-    bounded output of :func:`heaviest`, so broadcasting it is safe; whether the
-    lookup itself is small enough to broadcast is left to the runtime sizes.
+    bounded output of :func:`heaviest`, so it can always be broadcast.
     """
     flag = F.broadcast(hot.select(key).withColumn("is_hot", F.lit(True)))
     shard = F.pmod(F.xxhash64(spread_by), F.lit(FAN_OUT)).cast("int")

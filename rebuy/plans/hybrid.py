@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuy.config import HybridConfig
-from rebuy.functions.scoring import POINTS, zero
+from rebuy.functions.scoring import SCALE, billionths, zero
 from rebuy.operators.copurchase import adjacency, copurchase_neighbors
 from rebuy.operators.customers import target_customers, truth
 from rebuy.operators.metrics import ranking_metrics, segmented_metrics
@@ -26,8 +26,8 @@ from rebuy.operators.popularity import (
     user_location,
 )
 from rebuy.operators.signals import customer_items, train_signals, user_history
-from rebuy.operators.skew import heaviest, spread_join
-from rebuy.session import materialize
+from rebuy.operators.skew import heaviest, lookup_join
+from rebuy.session import in_background, materialize, materialize_all
 from rebuy.sources.tables import ShopTables
 
 
@@ -54,94 +54,132 @@ class Weights:
 
 @dataclass(frozen=True)
 class Training:
-    """What is learnt from the rows before the cutoff, whoever is recommended to."""
+    """What is learnt from the rows before the cutoff, whoever is recommended to.
+
+    All tables are stored: they have several consumers, and their sizes decide
+    how they are joined. The lookups of unused stages are None.
+    """
 
     pairs: DataFrame
     totals: DataFrame
+    popular: DataFrame
+    near: DataFrame | None
+    item_groups: DataFrame | None
+    group_best: DataFrame | None
 
     @property
     def seen(self) -> DataFrame:
         return self.pairs.select("customer_id").distinct()
 
+    def hot_items(self) -> DataFrame:
+        return heaviest(self.totals, "item_id", "customers")
+
+    def hot_groups(self) -> DataFrame:
+        members = self.totals.join(self.item_groups, "item_id").select(F.explode("grps").alias("grp"), "customers")
+        return heaviest(members.groupBy("grp").agg(F.sum("customers").alias("customers")), "grp", "customers")
+
+
+def train(tables: ShopTables, cfg: HybridConfig, near: DataFrame | None = None) -> Training:
+    """Aggregate signals and baskets once; the two sides run at the same time.
+
+    ``near`` is a neighbour lookup learnt earlier for the same cutoff.
+    """
+    baskets = None
+    if cfg.copurchase_weight and near is None:
+        lookup = neighbor_lookup(tables, cfg)
+        baskets = in_background(tables.spark, lambda: materialize(lookup, "near"))
+    first = {"customer-items": customer_items(train_signals(tables, cfg))}
+    groups = None
+    if cfg.category_weight:
+        groups = item_groups(tables.items, cfg.category_level)
+        first["item-groups"] = groups.groupBy("item_id").agg(F.collect_set("grp").alias("grps"))
+    stored = materialize_all(first)
+    totals = materialize(item_totals(stored["customer-items"]), "item-totals")
+    second = {"popular": global_scores(totals, cfg.global_limit)}
+    if groups is not None:
+        grouped = stored["item-groups"].select("item_id", F.explode("grps").alias("grp"))
+        tops = group_top_items(totals, grouped, cfg.max_category_items)
+        second["group-best"] = tops.groupBy("grp").agg(F.collect_list(F.struct("item_id", "score")).alias("best"))
+    stored.update(materialize_all(second))
+    return Training(
+        stored["customer-items"],
+        totals,
+        stored["popular"],
+        near if baskets is None else baskets.result(),
+        stored.get("item-groups"),
+        stored.get("group-best"),
+    )
+
 
-def train(tables: ShopTables, cfg: HybridConfig) -> Training:
-    """Aggregate the signals once; both tables have several consumers."""
-    pairs = materialize(customer_items(train_signals(tables, cfg)), "customer-items")
-    return Training(pairs, materialize(item_totals(pairs), "item-totals"))
+def neighbor_lookup(tables: ShopTables, cfg: HybridConfig) -> DataFrame:
+    return adjacency(copurchase_neighbors(tables.transactions, cfg.cutoff, cfg.max_basket_items, cfg.max_neighbors))
 
 
 def _evidence(df: DataFrame, kind: str, value: Column) -> DataFrame:
     return df.select("customer_id", "item_id", F.lit(kind).alias("kind"), value.alias("value"))
 
 
-def copurchase_evidence(seeds: DataFrame, neighbors: DataFrame, hot_items: DataFrame) -> DataFrame:
+def copurchase_evidence(seeds: DataFrame, training: Training) -> DataFrame:
     """Neighbours of every seed, weighted by the seed's own score."""
-    met = spread_join(seeds, adjacency(neighbors), "item_id", hot_items, "customer_id")
+    met = lookup_join(seeds, training.near, "item_id", training.hot_items, "customer_id")
     near = met.select("customer_id", F.col("score").alias("seed_score"), F.inline("near"))
     return _evidence(
         near.withColumnRenamed("neighbor_id", "item_id"), "copurchase", F.col("seed_score") * F.col("score")
     )
 
 
-def group_evidence(seeds: DataFrame, groups: DataFrame, tops: DataFrame, totals: DataFrame) -> DataFrame:
+def group_evidence(seeds: DataFrame, training: Training) -> DataFrame:
     """Top items of each group the seeds belong to; a group counts once, from its best-ranked seed."""
-    hot_items = heaviest(totals, "item_id", "customers")
-    grouped = groups.groupBy("item_id").agg(F.collect_set("grp").alias("grps"))
-    sizes = totals.join(groups, "item_id").groupBy("grp").agg(F.sum("customers").alias("customers"))
-    member = spread_join(seeds, grouped, "item_id", hot_items, "customer_id")
+    member = lookup_join(seeds, training.item_groups, "item_id", training.hot_items, "customer_id")
     first = (
         member.select("customer_id", F.explode("grps").alias("grp"), F.struct("rnk", "score").alias("seed"))
         .groupBy("customer_id", "grp")
         .agg(F.min("seed").alias("seed"))
     )
-    lists = tops.groupBy("grp").agg(F.collect_list(F.struct("item_id", "score")).alias("best"))
-    met = spread_join(first, lists, "grp", heaviest(sizes, "grp", "customers"), "customer_id")
+    met = lookup_join(first, training.group_best, "grp", training.hot_groups, "customer_id")
     best = met.select("customer_id", F.col("seed.score").alias("seed_score"), F.inline("best"))
     return _evidence(best, "category", F.col("seed_score") * F.col("score"))
 
 
 def location_evidence(tables: ShopTables, cfg: HybridConfig, targets: DataFrame) -> DataFrame:
     """Top items of the customer's main location."""
-    homes = user_location(tables.transactions, cfg.cutoff, targets)
     tops = location_top_items(tables.transactions, cfg)
-    lists = tops.groupBy("location").agg(F.collect_list(F.struct("item_id", "score")).alias("best"))
+    stored = materialize_all(
+        {
+            "homes": user_location(tables.transactions, cfg.cutoff, targets),
+            "location-best": tops.groupBy("location").agg(F.collect_list(F.struct("item_id", "score")).alias("best")),
+        }
+    )
+    homes = stored["homes"]
     sizes = homes.groupBy("location").agg(F.count("*").alias("customers"))
-    met = spread_join(homes, lists, "location", heaviest(sizes, "location", "customers"), "customer_id")
+    met = lookup_join(
+        homes, stored["location-best"], "location", lambda: heaviest(sizes, "location", "customers"), "customer_id"
+    )
     return _evidence(met.select("customer_id", F.inline("best")), "location", F.col("score"))
 
 
-def collect_evidence(
-    tables: ShopTables,
-    cfg: HybridConfig,
-    targets: DataFrame,
-    training: Training,
-    neighbors: DataFrame | None = None,
-) -> DataFrame:
+def collect_evidence(tables: ShopTables, cfg: HybridConfig, targets: DataFrame, training: Training) -> DataFrame:
     """One row per (target, candidate item) with its evidence by kind.
 
     Stages with weight 0 are left out. Every target adds one row with a null
     item, so customers without history leave the same shuffle. Rows move once,
     by customer; what one customer can gather is bounded by the settings.
     """
-    history = user_history(training.pairs, cfg.max_user_items, targets)
+    history = materialize(user_history(training.pairs, cfg.max_user_items, targets), "history")
     seeds = history.filter(F.col("rnk") <= cfg.max_seeds)
     rows = _evidence(history, "repeat", F.col("score"))
     if cfg.copurchase_weight:
-        if neighbors is None:
-            neighbors = copurchase_neighbors(tables.transactions, cfg.cutoff, cfg.max_basket_items, cfg.max_neighbors)
-        hot_items = heaviest(training.totals, "item_id", "customers")
-        rows = rows.unionByName(copurchase_evidence(seeds, neighbors, hot_items))
+        rows = rows.unionByName(copurchase_evidence(seeds, training))
     if cfg.category_weight:
-        groups = item_groups(tables.items, cfg.category_level)
-        tops = group_top_items(training.totals, groups, cfg.max_category_items)
-        rows = rows.unionByName(group_evidence(seeds, groups, tops, training.totals))
+        rows = rows.unionByName(group_evidence(seeds, training))
     if cfg.location_weight:
         rows = rows.unionByName(location_evidence(tables, cfg, targets))
     marker = targets.select("customer_id", F.lit(None).cast("string").alias("item_id"))
     rows = rows.unionByName(_evidence(marker, "target", F.lit(None).cast("double")))
 
     def total(kind: str) -> Column:
-        return F.sum(F.when(F.col("kind") == kind, F.col("value").cast(POINTS))).cast("double").alias(kind)
+        # At most max_seeds (or one) shares of at most 1 each: bigint is wide enough.
+        return (F.sum(F.when(F.col("kind") == kind, billionths(F.col("value")))) / SCALE).alias(kind)
 
     return (
         rows.repartition("customer_id")
@@ -163,60 +201,51 @@ def rank_lists(evidence: DataFrame, popular: DataFrame, weights: Sequence[Weight
     as the popularity list is bounded) and the first ``k`` others. So the
     list is not multiplied by the customers.
     """
-    settings = F.array(
-        *[
-            F.struct(
-                F.lit(w.name).alias("name"),
-                F.lit(i + 1).alias("pos"),
-                *[F.lit(float(getattr(w, part))).alias(f"w_{part}") for part in ("repeat", "copurchase", "category", "location", "glob")],
-            )
-            for i, w in enumerate(weights)
-        ]
-    )
     shared = popular.select("item_id", F.col("score").alias("glob"), F.col("rnk").alias("glob_rnk"))
-    rows = (
-        evidence.join(F.broadcast(shared), "item_id", "left")
-        .withColumn("w", F.explode(settings))
-        .select("customer_id", "item_id", "repeat", "copurchase", "category", "location", "glob", "glob_rnk", "w.*")
-    )
-    offered = (
-        F.col("repeat").isNotNull()
-        | (F.col("copurchase").isNotNull() & (F.col("w_copurchase") != 0))
-        | (F.col("category").isNotNull() & (F.col("w_category") != 0))
-        | (F.col("location").isNotNull() & (F.col("w_location") != 0))
-    )
-    parts = [F.col(f"w_{part}") * zero(part) for part in ("repeat", "copurchase", "category", "location", "glob")]
-    score = parts[0] + parts[1] + parts[2] + parts[3] + parts[4]
-    rows = rows.filter(F.col("item_id").isNull() | offered).withColumn(
-        "score", F.when(F.col("item_id").isNotNull(), score.cast(POINTS))
-    )
+    rows = evidence.join(F.broadcast(shared), "item_id", "left")
+    scores = [F.struct(F.lit(i + 1).alias("pos"), _score(w).alias("score")) for i, w in enumerate(weights)]
+    rows = rows.select("customer_id", "item_id", "glob", "glob_rnk", F.inline(F.array(*scores)))
+    # A null score marks the target itself, or an item this setting has no evidence for.
+    rows = rows.filter(F.col("item_id").isNull() | F.col("score").isNotNull())
 
-    window = Window.partitionBy("customer_id", "name", "pos").orderBy(
+    window = Window.partitionBy("customer_id", "pos").orderBy(
         F.desc_nulls_last("score"), F.desc(zero("glob")), F.desc("item_id")
     )
     entry = F.struct("score", zero("glob").alias("glob"), "item_id")
     kept = rows.withColumn("place", F.row_number().over(window)).filter(
         (F.col("place") <= k) | F.col("glob_rnk").isNotNull() | F.col("item_id").isNull()
     )
-    lists = kept.groupBy("customer_id", "name", "pos").agg(
-        F.collect_list(F.when(F.col("item_id").isNotNull() & (F.col("place") <= k), entry)).alias("own"),
+    lists = kept.groupBy("customer_id", "pos").agg(
+        F.collect_list(F.when(F.col("score").isNotNull() & (F.col("place") <= k), entry)).alias("own"),
         F.collect_list(F.when(F.col("glob_rnk").isNotNull(), F.col("item_id"))).alias("taken"),
     )
+    names = F.array(*[F.lit(w.name) for w in weights])
     lists = lists.withColumn("popular", F.element_at(_popular_entries(shared, weights), F.col("pos")))
     unclaimed = F.filter(
         F.slice("popular", F.lit(1), F.lit(k) + F.size("taken")),
         lambda item: ~F.array_contains("taken", item["item_id"]),
     )
     merged = F.sort_array(F.concat("own", F.slice(unclaimed, 1, k)), asc=False)
-    return lists.select("name", "customer_id", F.posexplode(F.slice(merged, 1, k)).alias("place", "entry")).select(
-        "name",
+    return lists.select("pos", "customer_id", F.posexplode(F.slice(merged, 1, k)).alias("place", "entry")).select(
+        F.element_at(names, F.col("pos")).alias("name"),
         "customer_id",
         "entry.item_id",
         (F.col("place") + 1).cast("bigint").alias("rnk"),
-        F.greatest(F.col("entry.score").cast("double"), F.lit(0.0)).alias("score"),
+        F.greatest(F.col("entry.score") / SCALE, F.lit(0.0)).alias("score"),
     )
 
 
+def _score(w: Weights) -> Column:
+    """Weighted evidence in billionths; null where no weighted stage offers the item."""
+    offered = F.col("repeat").isNotNull()
+    for part in ("copurchase", "category", "location"):
+        if getattr(w, part):
+            offered = offered | F.col(part).isNotNull()
+    parts = ("repeat", "copurchase", "category", "location", "glob")
+    terms = [F.lit(float(getattr(w, part))) * zero(part) for part in parts]
+    return F.when(offered, billionths(sum(terms[1:], terms[0])))
+
+
 def _popular_entries(shared: DataFrame, weights: Sequence[Weights]) -> Column:
     """Per weight setting, the popularity list in final order (a bounded one-row subquery).
 
@@ -232,13 +261,13 @@ def _popular_entries(shared: DataFrame, weights: Sequence[Weights]) -> Column:
                 lambda item: F.when(
                     item["glob"].isNotNull(),
                     F.struct(
-                        (F.lit(float(weight)) * item["glob"]).cast(POINTS).alias("score"),
+                        billionths(F.lit(float(weight)) * item["glob"]).alias("score"),
                         item["glob"].alias("glob"),
                         item["item_id"].alias("item_id"),
                     ),
                 ).otherwise(
                     F.struct(
-                        F.lit(-1).cast(POINTS).alias("score"),
+                        F.lit(-1).cast("bigint").alias("score"),
                         (-item["glob_rnk"]).cast("double").alias("glob"),
                         item["item_id"].alias("item_id"),
                     )
@@ -256,16 +285,14 @@ def recommend(
     mode: str = "validate",
     targets: DataFrame | None = None,
     training: Training | None = None,
-    neighbors: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked recommendations: (customer_id, item_id, rnk, score), ``cfg.k`` per target."""
     if targets is None:
         targets = target_customers(tables, cfg, mode)
     if training is None:
         training = train(tables, cfg)
-    evidence = collect_evidence(tables, cfg, targets, training, neighbors)
-    popular = global_scores(training.totals, cfg.global_limit)
-    return rank_lists(evidence, popular, [Weights.of(cfg)], cfg.k).drop("name")
+    evidence = collect_evidence(tables, cfg, targets, training)
+    return rank_lists(evidence, training.popular, [Weights.of(cfg)], cfg.k).drop("name")
 
 
 @dataclass(frozen=True)

@@ -5,15 +5,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+T = TypeVar("T")
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("rebuy")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -53,3 +61,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), "rebuy", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Materialize independent tables at the same time, so that one fills the gaps of another."""
+    jobs = {name: in_background(df.sparkSession, lambda df=df, name=name: materialize(df, name)) for name, df in frames.items()}
+    return {name: job.result() for name, job in jobs.items()}
+
+
+def in_background(spark: SparkSession, work: Callable[[], T]) -> Future[T]:
+    """Start jobs from a second thread of the driver."""
+    pool = ThreadPoolExecutor(1)
+    job = pool.submit(inheritable_thread_target(spark)(work))
+    pool.shutdown(wait=False)
+    return job

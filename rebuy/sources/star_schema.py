@@ -14,6 +14,15 @@ from rebuy.sources.tables import ShopTables, shop_tables
 
 LAST_EVENT_DAY = date(2024, 1, 31)
 
+# Columns read from the star schema; stated, so that no job infers them.
+COLUMNS = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double",
+    "events": "ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def event_shift_days(cutoff: str) -> int:
     """Days by which the event log is moved so that it ends at the cutoff."""
@@ -22,7 +31,7 @@ def event_shift_days(cutoff: str) -> int:
 
 def star_tables(spark: SparkSession, folder: str, cutoff: str, variant: str = "sku") -> ShopTables:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
     part = table("part").withColumn("sku", F.col("p_partkey").cast("string"))
     lines = (

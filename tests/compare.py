@@ -46,8 +46,8 @@ def difference(spark, con, name: str, folder: str) -> str | None:
         return f"columns {sorted(found.columns)} vs {sorted(names)}"
     if rows == wanted:
         return None if rows else "both empty"
-    extra = [row for row in rows if row not in set(wanted)][:3]
-    missing = [row for row in wanted if row not in set(rows)][:3]
+    extra = sorted(set(rows) - set(wanted))[:3]
+    missing = sorted(set(wanted) - set(rows))[:3]
     return f"{len(rows)} vs {len(wanted)} rows; extra {extra}; missing {missing}"
 
 
