@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from catalog import settings as S
 from rebuy.functions.scoring import SCALE
 from rebuy.operators import blending, ceiling, copurchase, customers, features, interactions, metrics, popularity, signals
-from rebuy.plans import experiments, hybrid
+from rebuy.plans import experiments, hybrid, latent, ranker
 from rebuy.session import shared_dir
 from rebuy.sources import sinks, tables as readers
 from rebuy.sources.star_schema import star_tables
@@ -473,3 +473,73 @@ def rolling_subset(spark, folder):
         f"{name} {'string' if i < 4 else 'bigint' if i == 4 else 'double'}" for i, name in enumerate(sinks.SUMMARY_COLUMNS)
     )
     return tidy(spark.read.option("header", True).schema(schema).csv(path))
+
+
+# --- learned models (no SQL equivalent) ----------------------------------------------------------------
+
+
+WINDOWS = ranker.RankerWindows(S.TRAIN_CUTOFF, S.TRAIN_END, S.CUTOFF, S.VALID_END, S.ALL_BUYERS, S.ALL_BUYERS, S.SEED)
+RANKER = ranker.RankerParams(num_boost_round=5, num_leaves=15, min_data_in_leaf=20, learning_rate=0.1)
+
+
+def _ranker_data(spark, folder):
+    t = style(spark, folder)
+    return t, ranker.ranker_data(t, WINDOWS, CANDIDATES)
+
+
+@query
+def ranker_recs(spark, folder):
+    _, data = _ranker_data(spark, folder)
+    return tidy(ranker.predict_ranker(ranker.train_ranker(data.train, RANKER), data.evaluation, 10))
+
+
+@query
+def ranker_importance(spark, folder):
+    _, data = _ranker_data(spark, folder)
+    gains = ranker.train_ranker(data.train, RANKER).importance()
+    return tidy(spark.createDataFrame(list(gains.items()), "feature string, gain double"))
+
+
+@query
+def ranker_tuning(spark, folder):
+    _, data = _ranker_data(spark, folder)
+    grid = ranker.TUNING_GRID | {"num_boost_round": [2, 3], "num_leaves": [7, 15]}
+    trials, _ = ranker.tune(data.train, data.evaluation, data.eval_truth, 10, ranker.tuning_trials(RANKER, 1, grid))
+    return tidy(ranker.trial_rows(spark, trials))
+
+
+@query
+def ranker_vs_hybrid(spark, folder):
+    t, data = _ranker_data(spark, folder)
+    model = ranker.train_ranker(data.train, RANKER)
+    return tidy(ranker.compare_with_hybrid(t, WINDOWS, data, model, 10, S.EVENT_START))
+
+
+def _latent_inputs(spark, folder):
+    t = style(spark, folder)
+    return t, customers.target_customers(t, S.DEFAULT), _heads(t)
+
+
+@query
+def als_recs(spark, folder):
+    t, targets, heads = _latent_inputs(spark, folder)
+    pairs = interactions.interactions(t, S.CUTOFF, targets, heads, event_start=S.EVENT_START)
+    return tidy(latent.als_lists(pairs, heads, latent.AlsParams(factors=16, iterations=5)))
+
+
+@query
+def als_blend_metrics(spark, folder):
+    t, targets, heads = _latent_inputs(spark, folder)
+    pairs = interactions.interactions(t, S.CUTOFF, targets, heads, event_start=S.EVENT_START)
+    model = latent.als_lists(pairs, heads, latent.AlsParams(factors=16, iterations=5))
+    base = hybrid.recommend(t, S.PRODUCTION)
+    wanted = customers.truth(t.transactions, S.CUTOFF, S.VALID_END)
+    return tidy(blending.blend_metrics(base, model, wanted, blending.standard_variants("als"), 10))
+
+
+@query
+def bpr_recs(spark, folder):
+    t, targets, heads = _latent_inputs(spark, folder)
+    pairs = interactions.positive_pairs(t.transactions, S.CUTOFF, targets, heads)
+    params = latent.BprParams(factors=16, epochs=3, batch_size=512, batches_per_epoch=40, buckets=8)
+    return tidy(latent.bpr_lists(latent.train_bpr(pairs, heads, params)[0], params.candidates))
