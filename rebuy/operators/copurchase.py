@@ -31,18 +31,24 @@ def baskets(transactions: DataFrame, cutoff: str, max_basket_items: int) -> Data
 def copurchase_neighbors(transactions: DataFrame, cutoff: str, max_basket_items: int, max_neighbors: int) -> DataFrame:
     """Top neighbours per item by summed ``1 / (basket size - 1)``, relative to the best one.
 
-    The weights are added as whole fractions of :func:`weight_unit`. A basket yields at most ``max_basket_items * (max_basket_items - 1)``
-    pairs; they are summed map-side before the shuffle on the pair.
+    Each unordered pair of a basket is emitted once (at most
+    ``n * (n - 1) / 2`` for the largest allowed basket), summed map-side and
+    shuffled on the pair; only the sums are mirrored. The weights are added as
+    whole fractions of :func:`weight_unit`.
     """
     unit = weight_unit(max_basket_items)
     share = F.floor(F.lit(float(unit)) / (F.size("items") - 1) + 0.5)
-    firsts = baskets(transactions, cutoff, max_basket_items).select("items", F.explode("items").alias("item_id"))
-    pairs = firsts.select(
-        "item_id",
-        F.explode("items").alias("neighbor_id"),
-        share.alias("weight"),
-    ).filter(F.col("item_id") != F.col("neighbor_id"))
-    weights = pairs.groupBy("item_id", "neighbor_id").agg(F.sum("weight").alias("points"))
+    firsts = baskets(transactions, cutoff, max_basket_items).select(
+        "items", share.alias("weight"), F.posexplode("items").alias("pos", "item_id")
+    )
+    later = F.slice("items", F.col("pos") + 2, F.size("items"))
+    pairs = firsts.select("item_id", "weight", F.explode(later).alias("neighbor_id"))
+    sums = pairs.groupBy("item_id", "neighbor_id").agg(F.sum("weight").alias("points"))
+    a, b = F.col("item_id"), F.col("neighbor_id")
+    mirrored = F.array(
+        F.struct(a.alias("item_id"), b.alias("neighbor_id")), F.struct(b.alias("item_id"), a.alias("neighbor_id"))
+    )
+    weights = sums.select("points", F.inline(mirrored))
     order = [F.desc("points"), F.col("neighbor_id")]
     return top_n_shares(weights, ["item_id"], order, max_neighbors).select(
         "item_id", "neighbor_id", (F.col("points") / unit).alias("weight"), "score", "rnk"

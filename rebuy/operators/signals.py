@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rebuy.config import EVENT_TYPES, HybridConfig
 from rebuy.functions.scoring import event_points, every, purchase_points, total_points, valid_item, within
@@ -53,11 +53,23 @@ def customer_items(signals: DataFrame) -> DataFrame:
     )
 
 
-def user_history(pairs: DataFrame, max_user_items: int, customers: DataFrame | None = None) -> DataFrame:
-    """Best items per customer by points, then recency; scores relative to the best item."""
+def user_history(
+    pairs: DataFrame, max_user_items: int, customers: DataFrame | None = None, floor_at: int | None = None
+) -> DataFrame:
+    """Best items per customer by points, then recency; scores relative to the best item.
+
+    With ``floor_at`` every row also carries the score of the customer's item
+    at that rank (null for shorter histories).
+    """
     if customers is not None:
         pairs = only_customers(pairs, customers)
     order = [F.desc("points"), F.desc("last_date"), F.col("item_id")]
-    return top_n_shares(pairs, ["customer_id"], order, max_user_items).select(
-        "customer_id", "item_id", "score", "rnk"
-    )
+    ranked = top_n_shares(pairs, ["customer_id"], order, max_user_items)
+    columns = ["customer_id", "item_id", "score", "rnk"]
+    if floor_at is not None:
+        whole = Window.partitionBy("customer_id").orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing
+        )
+        ranked = ranked.withColumn("floor", F.nth_value("score", floor_at).over(whole))
+        columns.append("floor")
+    return ranked.select(*columns)

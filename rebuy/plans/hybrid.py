@@ -115,14 +115,25 @@ def neighbor_lookup(tables: ShopTables, cfg: HybridConfig) -> DataFrame:
     return adjacency(copurchase_neighbors(tables.transactions, cfg.cutoff, cfg.max_basket_items, cfg.max_neighbors))
 
 
+# Kinds of evidence, as stored in the rows that are shuffled.
+KINDS = {"target": 0, "repeat": 1, "copurchase": 2, "category": 3, "location": 4}
+
+
 def _evidence(df: DataFrame, kind: str, value: Column) -> DataFrame:
-    return df.select("customer_id", "item_id", F.lit(kind).alias("kind"), value.alias("value"))
+    floor = F.col("floor") if "floor" in df.columns else F.lit(None).cast("double")
+    return df.select(
+        "customer_id",
+        "item_id",
+        F.lit(KINDS[kind]).cast("tinyint").alias("kind"),
+        value.alias("value"),
+        floor.alias("floor"),
+    )
 
 
 def copurchase_evidence(seeds: DataFrame, training: Training) -> DataFrame:
     """Neighbours of every seed, weighted by the seed's own score."""
     met = lookup_join(seeds, training.near, "item_id", training.hot_items, "customer_id")
-    near = met.select("customer_id", F.col("score").alias("seed_score"), F.inline("near"))
+    near = met.select("customer_id", "floor", F.col("score").alias("seed_score"), F.inline("near"))
     return _evidence(
         near.withColumnRenamed("neighbor_id", "item_id"), "copurchase", F.col("seed_score") * F.col("score")
     )
@@ -132,12 +143,12 @@ def group_evidence(seeds: DataFrame, training: Training) -> DataFrame:
     """Top items of each group the seeds belong to; a group counts once, from its best-ranked seed."""
     member = lookup_join(seeds, training.item_groups, "item_id", training.hot_items, "customer_id")
     first = (
-        member.select("customer_id", F.explode("grps").alias("grp"), F.struct("rnk", "score").alias("seed"))
+        member.select("customer_id", F.explode("grps").alias("grp"), "rnk", "score", "floor")
         .groupBy("customer_id", "grp")
-        .agg(F.min("seed").alias("seed"))
+        .agg(F.min_by("score", "rnk").alias("seed_score"), F.max("floor").alias("floor"))
     )
     met = lookup_join(first, training.group_best, "grp", training.hot_groups, "customer_id")
-    best = met.select("customer_id", F.col("seed.score").alias("seed_score"), F.inline("best"))
+    best = met.select("customer_id", "floor", "seed_score", F.inline("best"))
     return _evidence(best, "category", F.col("seed_score") * F.col("score"))
 
 
@@ -161,11 +172,12 @@ def location_evidence(tables: ShopTables, cfg: HybridConfig, targets: DataFrame)
 def collect_evidence(tables: ShopTables, cfg: HybridConfig, targets: DataFrame, training: Training) -> DataFrame:
     """One row per (target, candidate item) with its evidence by kind.
 
-    Stages with weight 0 are left out. Every target adds one row with a null
+    ``floor`` (on history rows) is the score of the customer's k-th history
+    item, see :func:`rank_lists`. Stages with weight 0 are left out. Every target adds one row with a null
     item, so customers without history leave the same shuffle. Rows move once,
     by customer; what one customer can gather is bounded by the settings.
     """
-    history = materialize(user_history(training.pairs, cfg.max_user_items, targets), "history")
+    history = materialize(user_history(training.pairs, cfg.max_user_items, targets, floor_at=cfg.k), "history")
     seeds = history.filter(F.col("rnk") <= cfg.max_seeds)
     rows = _evidence(history, "repeat", F.col("score"))
     if cfg.copurchase_weight:
@@ -179,16 +191,17 @@ def collect_evidence(tables: ShopTables, cfg: HybridConfig, targets: DataFrame,
 
     def total(kind: str) -> Column:
         # At most max_seeds (or one) shares of at most 1 each: bigint is wide enough.
-        return (F.sum(F.when(F.col("kind") == kind, billionths(F.col("value")))) / SCALE).alias(kind)
+        return (F.sum(F.when(F.col("kind") == KINDS[kind], billionths(F.col("value")))) / SCALE).alias(kind)
 
     return (
         rows.repartition("customer_id")
         .groupBy("customer_id", "item_id")
         .agg(
-            F.max(F.when(F.col("kind") == "repeat", F.col("value"))).alias("repeat"),
+            F.max(F.when(F.col("kind") == KINDS["repeat"], F.col("value"))).alias("repeat"),
             total("copurchase"),
             total("category"),
             total("location"),
+            F.max("floor").alias("floor"),
         )
     )
 
@@ -200,13 +213,23 @@ def rank_lists(evidence: DataFrame, popular: DataFrame, weights: Sequence[Weight
     matter: those the customer has evidence for (scored by a broadcast join,
     as the popularity list is bounded) and the first ``k`` others. So the
     list is not multiplied by the customers.
+
+    ``floor`` spares most rows the sort: with weights of 0 or more, the first
+    ``k`` history items already score at least the floor times the repeat
+    weight, so no item below that can be among the first ``k``. It has to be
+    collected for the same ``k`` (or a larger one).
     """
     shared = popular.select("item_id", F.col("score").alias("glob"), F.col("rnk").alias("glob_rnk"))
     rows = evidence.join(F.broadcast(shared), "item_id", "left")
-    scores = [F.struct(F.lit(i + 1).alias("pos"), _score(w).alias("score")) for i, w in enumerate(weights)]
-    rows = rows.select("customer_id", "item_id", "glob", "glob_rnk", F.inline(F.array(*scores)))
+    scores = [
+        [F.lit(i + 1).alias("pos"), _score(w).alias("score"), _least_score(w).alias("least")] for i, w in enumerate(weights)
+    ]
+    # A single setting needs no expansion.
+    chosen = scores[0] if len(scores) == 1 else [F.inline(F.array(*[F.struct(*entry) for entry in scores]))]
+    rows = rows.select("customer_id", "item_id", "glob", "glob_rnk", *chosen)
     # A null score marks the target itself, or an item this setting has no evidence for.
-    rows = rows.filter(F.col("item_id").isNull() | F.col("score").isNotNull())
+    in_reach = F.col("least").isNull() | (F.col("score") >= F.col("least")) | F.col("glob_rnk").isNotNull()
+    rows = rows.filter(F.col("item_id").isNull() | (F.col("score").isNotNull() & in_reach)).drop("least")
 
     window = Window.partitionBy("customer_id", "pos").orderBy(
         F.desc_nulls_last("score"), F.desc(zero("glob")), F.desc("item_id")
@@ -246,6 +269,13 @@ def _score(w: Weights) -> Column:
     return F.when(offered, billionths(sum(terms[1:], terms[0])))
 
 
+def _least_score(w: Weights) -> Column:
+    """What the k-th entry scores at least, in billionths; null where nothing is known."""
+    if min(w.repeat, w.copurchase, w.category, w.location, w.glob) < 0:
+        return F.lit(None).cast("bigint")
+    return billionths(F.lit(float(w.repeat)) * F.col("floor"))
+
+
 def _popular_entries(shared: DataFrame, weights: Sequence[Weights]) -> Column:
     """Per weight setting, the popularity list in final order (a bounded one-row subquery).
 
