@@ -249,9 +249,10 @@ def metrics_by_segment(spark, folder):
 @query
 def metrics_sink(spark, folder):
     path = scratch(spark, "metrics")
-    sinks.write_metrics(hybrid.validate(style(spark, folder), S.PRODUCTION).metrics, path, S.PRODUCTION)
+    sinks.write_metrics(hybrid.validate(style(spark, folder), S.PRODUCTION).with_counts(), path, S.PRODUCTION)
     stored = spark.read.json(path)
-    return tidy(stored.select("segment", "users_evaluated", "total_correct", "map_at_k", "cutoff", "category_level", "k"))
+    columns = "segment users_evaluated total_correct map_at_k cutoff category_level k recommendation_rows".split()
+    return tidy(stored.select(*columns))
 
 
 @query

@@ -133,7 +133,8 @@ def build() -> dict[str, str]:
     out["metrics_by_segment"] = q.select(by_segment)
     out["metrics_sink"] = q.select(
         f"""SELECT segment, users_evaluated, total_correct, map_at_k, '{P.cutoff}' AS cutoff,
-        '{P.category_level}' AS category_level, k FROM ({by_segment})"""
+        '{P.category_level}' AS category_level, k, (SELECT count(DISTINCT customer_id) FROM recs) AS recommendation_rows
+        FROM ({by_segment})"""
     )
 
     q = start("style")

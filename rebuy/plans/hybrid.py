@@ -330,6 +330,11 @@ class Validation:
     recommendations: DataFrame
     metrics: DataFrame
 
+    def with_counts(self) -> DataFrame:
+        """The metrics with the number of recommendation lists."""
+        lists = self.recommendations.agg(F.count_distinct("customer_id")).scalar()
+        return self.metrics.withColumn("recommendation_rows", lists)
+
 
 def validate(tables: ShopTables, cfg: HybridConfig) -> Validation:
     """Recommend to the buyers of the validation window and measure by segment."""
