@@ -321,7 +321,9 @@ def cand_global(spark, folder):
 def cand_group(spark, folder):
     inputs = _inputs(spark, folder)
     history = features.history_candidates(inputs.own_profile, CANDIDATES.user_candidates)
-    return features.group_candidates(history, inputs.items, inputs.tables.items, CANDIDATES.group_candidates).distinct()
+    groups = features.candidate_groups(inputs.tables.items)
+    lists = features.group_lists(inputs.items, groups, CANDIDATES.group_candidates)
+    return features.group_candidates(history, inputs.items, groups, lists).distinct()
 
 
 @query
@@ -329,7 +331,8 @@ def cand_copurchase(spark, folder):
     inputs = _inputs(spark, folder)
     history = features.history_candidates(inputs.own_profile, CANDIDATES.user_candidates)
     neighbors = copurchase.copurchase_neighbors(inputs.tables.transactions, S.CUTOFF, 12, CANDIDATES.copurchase_neighbors)
-    return features.copurchase_candidates(history, neighbors, inputs.items, CANDIDATES.copurchase_seeds).distinct()
+    near = copurchase.adjacency(neighbors)
+    return features.copurchase_candidates(history, near, inputs.items, CANDIDATES.copurchase_seeds).distinct()
 
 
 @query

@@ -12,7 +12,7 @@ from rebuy.operators.customers import only_customers, truth
 from rebuy.operators.popularity import item_groups
 from rebuy.operators.skew import heaviest, lookup_join
 from rebuy.operators.topk import head, top_n
-from rebuy.session import materialize
+from rebuy.session import materialize, materialize_all
 from rebuy.sources.tables import ShopTables
 
 # Feature names, in training order.
@@ -105,8 +105,10 @@ class RankerInputs:
 
 
 def ranker_inputs(tables: ShopTables, cutoff: str, customers: DataFrame) -> RankerInputs:
-    customers = materialize(customers, "ranker-customers")
-    profile = materialize(purchase_profile(tables.transactions, cutoff), "purchase-profile")
+    stored = materialize_all(
+        {"ranker-customers": customers, "purchase-profile": purchase_profile(tables.transactions, cutoff)}
+    )
+    customers, profile = stored["ranker-customers"], stored["purchase-profile"]
     items = materialize(item_features(profile, customers), "item-features")
     return RankerInputs(tables, cutoff, customers, profile, items)
 
@@ -196,14 +198,20 @@ def global_candidates(customers: DataFrame, items: DataFrame, n: int) -> DataFra
     return customers.select("customer_id", F.explode(listed).alias("item_id"))
 
 
-def group_candidates(history: DataFrame, items: DataFrame, metadata: DataFrame, n: int) -> DataFrame:
-    """Top items of the two brands and two category_l3 that most of the history candidates share."""
-    groups = item_groups(metadata, ",".join(GROUP_LEVELS))
+def candidate_groups(metadata: DataFrame) -> DataFrame:
+    return item_groups(metadata, ",".join(GROUP_LEVELS))
+
+
+def group_lists(items: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """The ``n`` items of most purchase rows per group, and the buyers of the whole group."""
     weighted = items.select("item_id", "item_txns", "item_buyers").join(groups, "item_id")
     tops = top_n(weighted, ["grp"], [F.desc("item_txns"), F.col("item_id")], n)
     lists = tops.groupBy("grp").agg(F.collect_list("item_id").alias("best"))
-    sizes = weighted.groupBy("grp").agg(F.sum("item_buyers").alias("buyers"))
+    return lists.join(weighted.groupBy("grp").agg(F.sum("item_buyers").alias("buyers")), "grp")
+
 
+def group_candidates(history: DataFrame, items: DataFrame, groups: DataFrame, lists: DataFrame) -> DataFrame:
+    """Top items of the two brands and two category_l3 that most of the history candidates share."""
     grouped = groups.groupBy("item_id").agg(F.collect_set("grp").alias("grps"))
     member = lookup_join(
         history.select("customer_id", "item_id"), grouped, "item_id", lambda: heaviest(items, "item_id", "item_buyers"), "customer_id"
@@ -215,13 +223,15 @@ def group_candidates(history: DataFrame, items: DataFrame, metadata: DataFrame,
         .withColumn("level", F.substring_index("grp", ":", 1))
     )
     chosen = top_n(liked, ["customer_id", "level"], [F.desc("n"), F.col("grp")], GROUPS_PER_LEVEL)
-    met = lookup_join(chosen.select("customer_id", "grp"), lists, "grp", lambda: heaviest(sizes, "grp", "buyers"), "customer_id")
+    met = lookup_join(
+        chosen.select("customer_id", "grp"), lists, "grp", lambda: heaviest(lists, "grp", "buyers"), "customer_id"
+    )
     return met.select("customer_id", F.explode("best").alias("item_id"))
 
 
-def copurchase_candidates(history: DataFrame, neighbors: DataFrame, items: DataFrame, seeds: int) -> DataFrame:
+def copurchase_candidates(history: DataFrame, near: DataFrame, items: DataFrame, seeds: int) -> DataFrame:
     first = history.filter(F.col("rnk") <= seeds).select("customer_id", "item_id")
-    met = lookup_join(first, adjacency(neighbors), "item_id", lambda: heaviest(items, "item_id", "item_buyers"), "customer_id")
+    met = lookup_join(first, near, "item_id", lambda: heaviest(items, "item_id", "item_buyers"), "customer_id")
     return met.select("customer_id", F.explode("near.neighbor_id").alias("item_id"))
 
 
@@ -238,14 +248,22 @@ def merge_candidates(sources: dict[str, DataFrame]) -> DataFrame:
 
 def build_candidates(inputs: RankerInputs, cfg: CandidateConfig) -> DataFrame:
     tables = inputs.tables
-    history = materialize(history_candidates(inputs.own_profile, cfg.user_candidates), "history-candidates")
+    groups = candidate_groups(tables.items)
     neighbors = copurchase_neighbors(tables.transactions, inputs.cutoff, RANKER_BASKET_LIMIT, cfg.copurchase_neighbors)
+    stored = materialize_all(
+        {
+            "near": adjacency(neighbors),
+            "group-lists": group_lists(inputs.items, groups, cfg.group_candidates),
+            "history-candidates": history_candidates(inputs.own_profile, cfg.user_candidates),
+        }
+    )
+    history = stored["history-candidates"]
     return merge_candidates(
         {
             "source_user_hist": history,
             "source_global": global_candidates(inputs.customers, inputs.items, cfg.global_candidates),
-            "source_group": group_candidates(history, inputs.items, tables.items, cfg.group_candidates),
-            "source_copurchase": copurchase_candidates(history, neighbors, inputs.items, cfg.copurchase_seeds),
+            "source_group": group_candidates(history, inputs.items, groups, stored["group-lists"]),
+            "source_copurchase": copurchase_candidates(history, stored["near"], inputs.items, cfg.copurchase_seeds),
         }
     )
 
@@ -261,7 +279,7 @@ def feature_frame(inputs: RankerInputs, candidates: DataFrame, end: str, cfg: Ca
     label = truth(tables.transactions, inputs.cutoff, end, inputs.customers).withColumn("label", F.lit(1))
     events = event_features(tables.events, inputs.customers, cfg.event_start, inputs.cutoff)
     prices = tables.items.groupBy("item_id").agg(F.max("price").alias("meta_price"))
-    item_side = inputs.items.join(prices, "item_id", "full")
+    item_side = materialize(inputs.items.join(prices, "item_id", "full"), "item-side")
     own = inputs.own_profile
 
     joined = (

@@ -339,7 +339,7 @@ class Validation:
 def validate(tables: ShopTables, cfg: HybridConfig) -> Validation:
     """Recommend to the buyers of the validation window and measure by segment."""
     training = train(tables, cfg)
-    recs = recommend(tables, cfg, training=training)
+    recs = materialize(recommend(tables, cfg, training=training), "recommendations")
     bought = truth(tables.transactions, cfg.cutoff, cfg.valid_end)
     return Validation(recs, segmented_metrics(recs, bought, training.seen, cfg.k))
 
