@@ -22,6 +22,10 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fits_broadcast(lookup: DataFrame) -> bool:
+    return stored_bytes(lookup) <= BROADCAST_BYTES
+
+
 def lookup_join(
     left: DataFrame, lookup: DataFrame, key: str, hot: Callable[[], DataFrame], spread_by: str, how: str = "inner"
 ) -> DataFrame:
@@ -29,7 +33,7 @@ def lookup_join(
 
     ``hot`` names the heavy keys; it is only asked for when it is needed.
     """
-    if stored_bytes(lookup) <= BROADCAST_BYTES:
+    if fits_broadcast(lookup):
         return left.join(F.broadcast(lookup), key, how)
     return spread_join(left, lookup, key, hot(), spread_by, how)
 
@@ -37,14 +41,14 @@ def lookup_join(
 def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread_by: str, how: str = "inner") -> DataFrame:
     """Join ``left`` to the lookup table ``right`` (one row per ``key``) by shuffling.
 
-    Rows of the ``hot`` keys are spread over ``FAN_OUT`` tasks by
+    Rows of the ``hot`` keys (and rows without a key) are spread over ``FAN_OUT`` tasks by
     ``spread_by``, and only those lookup rows are repeated. ``hot`` is the
     bounded output of :func:`heaviest`, so it can always be broadcast.
     """
     flag = F.broadcast(hot.select(key).withColumn("is_hot", F.lit(True)))
     shard = F.pmod(F.xxhash64(spread_by), F.lit(FAN_OUT)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(FAN_OUT - 1))
-    spread = left.join(flag, key, "left").withColumn("salt", F.when(F.col("is_hot"), shard).otherwise(F.lit(0)))
+    spread = left.join(flag, key, "left").withColumn("salt", F.when(F.col("is_hot") | F.col(key).isNull(), shard).otherwise(F.lit(0)))
     lookup = right.join(flag, key, "left").withColumn(
         "salt", F.explode(F.when(F.col("is_hot"), copies).otherwise(F.array(F.lit(0))))
     )

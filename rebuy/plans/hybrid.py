@@ -7,8 +7,9 @@ same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,7 +27,7 @@ from rebuy.operators.popularity import (
     user_location,
 )
 from rebuy.operators.signals import customer_items, train_signals, user_history
-from rebuy.operators.skew import heaviest, lookup_join
+from rebuy.operators.skew import fits_broadcast, heaviest, lookup_join
 from rebuy.session import in_background, materialize, materialize_all
 from rebuy.sources.tables import ShopTables
 
@@ -115,94 +116,144 @@ def neighbor_lookup(tables: ShopTables, cfg: HybridConfig) -> DataFrame:
     return adjacency(copurchase_neighbors(tables.transactions, cfg.cutoff, cfg.max_basket_items, cfg.max_neighbors))
 
 
-# Kinds of evidence, as stored in the rows that are shuffled.
-KINDS = {"target": 0, "repeat": 1, "copurchase": 2, "category": 3, "location": 4}
+# Kinds of evidence.
+REPEAT, COPURCHASE, CATEGORY, LOCATION = range(4)
+# History rows grow into many evidence rows, so they are laid out in more partitions.
+GROWTH = 2
 
 
-def _evidence(df: DataFrame, kind: str, value: Column) -> DataFrame:
-    floor = F.col("floor") if "floor" in df.columns else F.lit(None).cast("double")
-    return df.select(
-        "customer_id",
-        "item_id",
-        F.lit(KINDS[kind]).cast("tinyint").alias("kind"),
-        value.alias("value"),
-        floor.alias("floor"),
-    )
+@dataclass(frozen=True)
+class EvidenceLists:
+    """Item lists by key: neighbours of an item, best items of a group or a location.
 
+    One table of bounded lists, so that all of them are reached by one join.
+    """
 
-def copurchase_evidence(seeds: DataFrame, training: Training) -> DataFrame:
-    """Neighbours of every seed, weighted by the seed's own score."""
-    met = lookup_join(seeds, training.near, "item_id", training.hot_items, "customer_id")
-    near = met.select("customer_id", "floor", F.col("score").alias("seed_score"), F.inline("near"))
-    return _evidence(
-        near.withColumnRenamed("neighbor_id", "item_id"), "copurchase", F.col("seed_score") * F.col("score")
-    )
+    lists: DataFrame | None
+    hot_keys: Callable[[], DataFrame]
+    homes: DataFrame | None
 
 
-def group_evidence(seeds: DataFrame, training: Training) -> DataFrame:
-    """Top items of each group the seeds belong to; a group counts once, from its best-ranked seed."""
-    member = lookup_join(seeds, training.item_groups, "item_id", training.hot_items, "customer_id")
-    first = (
-        member.select("customer_id", F.explode("grps").alias("grp"), "rnk", "score", "floor")
-        .groupBy("customer_id", "grp")
-        .agg(F.min_by("score", "rnk").alias("seed_score"), F.max("floor").alias("floor"))
-    )
-    met = lookup_join(first, training.group_best, "grp", training.hot_groups, "customer_id")
-    best = met.select("customer_id", "floor", "seed_score", F.inline("best"))
-    return _evidence(best, "category", F.col("seed_score") * F.col("score"))
-
-
-def location_evidence(tables: ShopTables, cfg: HybridConfig, targets: DataFrame) -> DataFrame:
-    """Top items of the customer's main location."""
-    tops = location_top_items(tables.transactions, cfg)
-    stored = materialize_all(
-        {
-            "homes": user_location(tables.transactions, cfg.cutoff, targets),
-            "location-best": tops.groupBy("location").agg(F.collect_list(F.struct("item_id", "score")).alias("best")),
-        }
-    )
-    homes = stored["homes"]
-    sizes = homes.groupBy("location").agg(F.count("*").alias("customers"))
-    met = lookup_join(
-        homes, stored["location-best"], "location", lambda: heaviest(sizes, "location", "customers"), "customer_id"
+def evidence_lists(tables: ShopTables, cfg: HybridConfig, targets: DataFrame, training: Training) -> EvidenceLists:
+    """The lists of the stages with a weight; the others are left out."""
+    parts: list[DataFrame] = []
+    hot: list[Callable[[], DataFrame]] = []
+    homes = None
+
+    def item_key() -> Column:
+        return F.concat(F.lit("item:"), F.col("item_id")).alias("key")
+
+    if cfg.copurchase_weight:
+        entries = F.transform("near", lambda x: F.struct(x["neighbor_id"].alias("item_id"), x["score"].alias("score")))
+        parts.append(training.near.select(item_key(), entries.alias("entries")))
+        hot.append(lambda: training.hot_items().select(item_key()))
+    if cfg.category_weight:
+        parts.append(training.group_best.select(F.col("grp").alias("key"), F.col("best").alias("entries")))
+        hot.append(lambda: training.hot_groups().select(F.col("grp").alias("key")))
+    if cfg.location_weight:
+        tops = location_top_items(tables.transactions, cfg)
+        key = F.concat(F.lit("location:"), F.col("location").cast("string")).alias("key")
+        stored = materialize_all(
+            {
+                "homes": user_location(tables.transactions, cfg.cutoff, targets).select("customer_id", key),
+                "location-best": tops.groupBy(key).agg(F.collect_list(F.struct("item_id", "score")).alias("entries")),
+            }
+        )
+        homes = stored["homes"]
+        parts.append(stored["location-best"])
+        hot.append(lambda: heaviest(homes.groupBy("key").agg(F.count("*").alias("n")), "key", "n"))
+    lists = reduce(DataFrame.unionByName, parts) if parts else None
+    return EvidenceLists(lists, lambda: reduce(DataFrame.unionByName, [keys() for keys in hot]), homes)
+
+
+def target_history(pairs: DataFrame, targets: DataFrame, homes: DataFrame | None, cfg: HybridConfig) -> DataFrame:
+    """History of every target; one row without an item where there is none.
+
+    ``floor`` is the score of the k-th history item, ``home`` the key of the
+    customer's location list.
+    """
+    lead = targets.select("customer_id")
+    if homes is None:
+        lead = lead.withColumn("home", F.lit(None).cast("string"))
+    else:
+        lead = lead.join(homes.withColumnRenamed("key", "home"), "customer_id", "left")
+    whole = Window.partitionBy("customer_id").orderBy("rnk").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
-    return _evidence(met.select("customer_id", F.inline("best")), "location", F.col("score"))
+    history = user_history(pairs, cfg.max_user_items, targets)
+    history = history.withColumn("floor", F.nth_value("score", cfg.k).over(whole))
+    return lead.join(history, "customer_id", "left")
+
+
+def _fresh_groups(history: DataFrame, training: Training, cfg: HybridConfig) -> DataFrame:
+    """Adds the groups of each seed that no better-ranked seed of the customer belongs to."""
+    met = lookup_join(history, training.item_groups, "item_id", training.hot_items, "customer_id", "left")
+    met = met.withColumn("grps", F.when(F.col("rnk") <= cfg.max_seeds, F.col("grps")))
+    better = Window.partitionBy("customer_id").orderBy("rnk").rowsBetween(Window.unboundedPreceding, -1)
+    return met.withColumn("fresh", F.array_except("grps", F.flatten(F.collect_list("grps").over(better))))
 
 
 def collect_evidence(tables: ShopTables, cfg: HybridConfig, targets: DataFrame, training: Training) -> DataFrame:
     """One row per (target, candidate item) with its evidence by kind.
 
-    ``floor`` (on history rows) is the score of the customer's k-th history
-    item, see :func:`rank_lists`. Stages with weight 0 are left out. Every target adds one row with a null
-    item, so customers without history leave the same shuffle. Rows move once,
-    by customer; what one customer can gather is bounded by the settings.
+    ``targets`` are distinct. Each history row asks for itself and for the
+    lists it gives evidence through; one join fetches them all. A group counts
+    once per customer, from its best-ranked seed. The history is laid out by
+    customer first, a fraction of the rows it grows into; with broadcast lists
+    nothing moves after that. What one customer can gather is bounded by the
+    settings. ``floor`` is used by :func:`rank_lists`.
     """
-    history = materialize(user_history(training.pairs, cfg.max_user_items, targets, floor_at=cfg.k), "history")
-    seeds = history.filter(F.col("rnk") <= cfg.max_seeds)
-    rows = _evidence(history, "repeat", F.col("score"))
+    wanted = evidence_lists(tables, cfg, targets, training)
+    partitions = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = target_history(training.pairs, targets, wanted.homes, cfg).repartition(GROWTH * partitions, "customer_id")
+    none = F.array().cast("array<struct<kind:int,key:string>>")
+
+    def ask(kind: int, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    # No list has this key; spelt out per customer, as nulls would all meet in one task.
+    asked = [F.array(ask(REPEAT, F.concat(F.lit("own:"), F.col("customer_id").cast("string"))))]
     if cfg.copurchase_weight:
-        rows = rows.unionByName(copurchase_evidence(seeds, training))
+        seed = F.col("rnk").between(1, cfg.max_seeds)
+        asked.append(F.when(seed, F.array(ask(COPURCHASE, F.concat(F.lit("item:"), F.col("item_id"))))))
     if cfg.category_weight:
-        rows = rows.unionByName(group_evidence(seeds, training))
-    if cfg.location_weight:
-        rows = rows.unionByName(location_evidence(tables, cfg, targets))
-    marker = targets.select("customer_id", F.lit(None).cast("string").alias("item_id"))
-    rows = rows.unionByName(_evidence(marker, "target", F.lit(None).cast("double")))
+        rows = _fresh_groups(rows, training, cfg)
+        asked.append(F.transform("fresh", lambda grp: ask(CATEGORY, grp)))
+    if wanted.homes is not None:
+        first = F.coalesce(F.col("rnk"), F.lit(1)) == 1
+        asked.append(F.when(first & F.col("home").isNotNull(), F.array(ask(LOCATION, F.col("home")))))
+    rows = rows.select(
+        "customer_id", "item_id", "score", "floor", F.inline(F.concat(*[F.coalesce(keys, none) for keys in asked]))
+    )
+    own = F.array(F.struct("item_id", F.lit(1.0).alias("score")))
+    moved = False
+    if wanted.lists is None:
+        rows = rows.withColumn("entries", own)
+    else:
+        moved = not fits_broadcast(wanted.lists)
+        rows = lookup_join(rows, wanted.lists, "key", wanted.hot_keys, "customer_id", "left")
+        rows = rows.withColumn("entries", F.when(F.col("kind") == REPEAT, own).otherwise(F.col("entries")))
+    rows = rows.select(
+        "customer_id",
+        "kind",
+        "floor",
+        F.when(F.col("kind") == LOCATION, F.lit(1.0)).otherwise(F.col("score")).alias("weight"),
+        F.inline("entries"),
+    )
+    if moved:
+        rows = rows.repartition("customer_id")
+    value = F.col("weight") * F.col("score")
 
-    def total(kind: str) -> Column:
+    def total(kind: int, name: str) -> Column:
         # At most max_seeds (or one) shares of at most 1 each: bigint is wide enough.
-        return (F.sum(F.when(F.col("kind") == KINDS[kind], billionths(F.col("value")))) / SCALE).alias(kind)
-
-    return (
-        rows.repartition("customer_id")
-        .groupBy("customer_id", "item_id")
-        .agg(
-            F.max(F.when(F.col("kind") == KINDS["repeat"], F.col("value"))).alias("repeat"),
-            total("copurchase"),
-            total("category"),
-            total("location"),
-            F.max("floor").alias("floor"),
-        )
+        return (F.sum(F.when(F.col("kind") == kind, billionths(value))) / SCALE).alias(name)
+
+    return rows.groupBy("customer_id", "item_id").agg(
+        F.max(F.when(F.col("kind") == REPEAT, value)).alias("repeat"),
+        total(COPURCHASE, "copurchase"),
+        total(CATEGORY, "category"),
+        total(LOCATION, "location"),
+        F.max("floor").alias("floor"),
     )
 
 

@@ -32,6 +32,17 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
+def settle(spark: SparkSession) -> None:
+    """Turn off Spark 4.1's partitioning-aware union for this session.
+
+    It takes a union of equally partitioned parts for partitioned itself and
+    skips the shuffle before grouping. When a part is then replaced by a
+    reused exchange, the rows of a key end up in several partitions and
+    windows and sums over them come out wrong.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

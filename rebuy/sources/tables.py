@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from rebuy.session import settle
+
 _TIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 # Column -> type; "time" accepts any timestamp or date column as it is stored.
@@ -67,6 +69,7 @@ def conform(df: DataFrame, contract: dict[str, str], table: str) -> DataFrame:
 
 
 def shop_tables(transactions: DataFrame, events: DataFrame, items: DataFrame, source_key: str = "") -> ShopTables:
+    settle(transactions.sparkSession)
     return ShopTables(
         conform(transactions, TRANSACTIONS, "transactions"),
         conform(events, EVENTS, "events"),

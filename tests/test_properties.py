@@ -265,3 +265,17 @@ def test_als_finds_the_camps(spark):
     lists = latent.als_lists(pairs, heads, latent.AlsParams(factors=4, iterations=5, alpha=10.0))
     assert camp_share(lists) > 0.9
     assert lists.groupBy("customer_id").count().filter("count <> 20").count() == 0
+
+
+def test_two_lists_in_one_plan(shop):
+    """Lists that share stages of one plan are the same as lists planned alone."""
+    training = hybrid.train(shop, CFG)
+    targets = customers.target_customers(shop, CFG, "predict")
+    configs = [CFG, CFG.with_(k=5, repeat_weight=0.0, category_weight=0.0, location_weight=0.0)]
+    alone = [collected(hybrid.recommend(shop, cfg, targets=targets, training=training)) for cfg in configs]
+    first, second = (
+        hybrid.recommend(shop, cfg, targets=targets, training=training).withColumn("n", F.lit(i)) for i, cfg in enumerate(configs)
+    )
+    both = first.unionByName(second).collect()
+    for i in (0, 1):
+        assert sorted(tuple(r)[:-1] for r in both if r["n"] == i) == alone[i]
