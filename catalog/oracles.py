@@ -368,7 +368,7 @@ def candidates(q: Sql, r, cutoff: str, p: str = "") -> None:
 
 
 def _avg(column: str) -> str:
-    return f"CAST(sum(CAST({column} AS DECIMAL(18,6))) AS DOUBLE) / count({column})"
+    return f"CAST(sum({points(column)}) AS DOUBLE) / count({column}) / CAST(1e9 AS DOUBLE)"
 
 
 def features(q: Sql, r, cutoff: str, end: str, event_start: str, p: str = "") -> None:

@@ -287,6 +287,8 @@ def ceiling_overlap(spark, folder):
 
 
 CANDIDATES = features.CandidateConfig(event_start=S.EVENT_START)
+# Quotients of exact sums: shown unrounded, as they often end in a 5 just after the sixth digit.
+AVERAGES = ("user_avg_price", "item_avg_price")
 
 
 def _inputs(spark, folder, cutoff=S.CUTOFF, end=S.VALID_END):
@@ -342,12 +344,12 @@ def cand_merged(spark, folder):
 
 @query
 def feat_user(spark, folder):
-    return tidy(features.user_features(_inputs(spark, folder).own_profile))
+    return tidy(features.user_features(_inputs(spark, folder).own_profile), exact=AVERAGES)
 
 
 @query
 def feat_item(spark, folder):
-    return tidy(_inputs(spark, folder).items)
+    return tidy(_inputs(spark, folder).items, exact=AVERAGES)
 
 
 @query
@@ -363,7 +365,7 @@ def feat_event(spark, folder):
 
 @query
 def feature_frame(spark, folder):
-    return tidy(_frame(spark, folder)[1])
+    return tidy(_frame(spark, folder)[1], exact=AVERAGES)
 
 
 @query

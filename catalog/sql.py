@@ -185,7 +185,9 @@ def build() -> dict[str, str]:
     out["cand_merged"] = q.select("SELECT * FROM cands")
 
     def rounded(table: str, keys: list[str], names: list[str]) -> str:
-        return f"SELECT {', '.join(keys)}, {r6(*names)} FROM {table}"
+        plain = [name for name in names if name.endswith("_avg_price")]
+        columns = [*keys, *plain, r6(*[name for name in names if name not in plain])]
+        return f"SELECT {', '.join(columns)} FROM {table}"
 
     users = [f for f in FEATURES if f.startswith("user_")]
     items = [f for f in FEATURES if f.startswith("item_")]

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rebuy.functions.scoring import age_days, before, billionths, within, zero
+from rebuy.functions.scoring import SCALE, WIDE, age_days, before, billionths, within, zero
 from rebuy.operators.copurchase import adjacency, copurchase_neighbors
 from rebuy.operators.customers import only_customers, truth
 from rebuy.operators.popularity import item_groups
@@ -52,7 +52,6 @@ GROUP_LEVELS = ("brand", "category_l3")
 GROUPS_PER_LEVEL = 2
 RANKER_BASKET_LIMIT = 12
 NEVER = 9999.0
-EXACT = "decimal(18,6)"
 
 
 @dataclass(frozen=True)
@@ -70,18 +69,19 @@ def purchase_profile(transactions: DataFrame, cutoff: str) -> DataFrame:
 
     The only pass over the transactions: customer, item and pair features and
     three of the four candidate sources are roll-ups of it. Prices and
-    quantities are summed as decimals, so averages are reproducible.
+    quantities are summed in whole billionths, so averages are reproducible.
     """
     old = transactions.filter(before(transactions, "updated_date", cutoff)).withColumn(
         "days", age_days("updated_date", cutoff).cast("double")
     )
-    price = F.col("price").cast(EXACT)
-    quantity = F.col("quantity").cast(EXACT)
+    old = old.withColumn("price", billionths(F.col("price"))).withColumn("quantity", billionths(F.col("quantity")))
+    one = F.lit(int(SCALE))
+    at_least_one = F.when(F.col("quantity").isNotNull(), F.greatest("quantity", one))
     return old.groupBy("customer_id", "item_id").agg(
         F.count("*").alias("n"),
-        F.sum(quantity).alias("qty"),
-        F.sum(F.when(quantity.isNotNull(), F.greatest(quantity, F.lit(1).cast(EXACT)))).alias("qty_min1"),
-        F.sum(price).alias("price_sum"),
+        F.sum(F.col("quantity").cast(WIDE)).alias("qty"),
+        F.sum(at_least_one.cast(WIDE)).alias("qty_min1"),
+        F.sum(F.col("price").cast(WIDE)).alias("price_sum"),
         F.count("price").alias("price_n"),
         F.max("updated_date").alias("last_date"),
         F.min("days").alias("days"),
@@ -121,7 +121,7 @@ def _counts(prefix: str, limits: tuple[int, ...]) -> list[Column]:
 
 
 def _average_price() -> Column:
-    return F.try_divide(F.sum("price_sum").cast("double"), F.sum("price_n").cast("double"))
+    return F.try_divide(F.sum("price_sum").cast("double"), F.sum("price_n").cast("double")) / SCALE
 
 
 def user_features(own_profile: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def pair_features(own_profile: DataFrame) -> DataFrame:
         "customer_id",
         "item_id",
         F.col("n").cast("double").alias("ui_txns"),
-        F.col("qty").cast("double").alias("ui_qty"),
+        (F.col("qty").cast("double") / SCALE).alias("ui_qty"),
         F.col("days").alias("ui_days_since_last"),
     )
 
@@ -183,7 +183,7 @@ def event_features(events: DataFrame, customers: DataFrame, start: str, cutoff:
 
 def history_candidates(own_profile: DataFrame, n: int) -> DataFrame:
     """Best items per customer by ``2 * purchases + ln(quantity)``, then recency."""
-    volume = F.coalesce(F.ln(F.col("qty_min1").cast("double")), F.lit(-1e6))
+    volume = F.coalesce(F.ln(F.col("qty_min1").cast("double") / SCALE), F.lit(-1e6))
     scored = own_profile.select(
         "customer_id", "item_id", "last_date", billionths(F.col("n") * 2.0 + volume).alias("score")
     )

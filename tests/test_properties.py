@@ -60,6 +60,12 @@ def test_same_output_for_any_partitioning(spark, shop):
     assert collected(hybrid.recommend(shop, CFG)) == collected(hybrid.recommend(other, CFG))
 
 
+def test_spread_lookups_change_nothing(shop, monkeypatch):
+    wanted = collected(hybrid.recommend(shop, CFG, mode="predict"))
+    monkeypatch.setattr("rebuy.operators.skew.BROADCAST_BYTES", -1)
+    assert collected(hybrid.recommend(shop, CFG, mode="predict")) == wanted
+
+
 def test_shorter_lists_are_prefixes(shop):
     training = hybrid.train(shop, CFG)
     long = hybrid.recommend(shop, CFG, training=training)
