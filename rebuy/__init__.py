@@ -1 +1,9 @@
 """Next-purchase recommendation as Spark jobs: signals, candidates, blending, ranking metrics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with the job, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -285,3 +285,15 @@ def test_two_lists_in_one_plan(shop):
     both = first.unionByName(second).collect()
     for i in (0, 1):
         assert sorted(tuple(r)[:-1] for r in both if r["n"] == i) == alone[i]
+
+
+def test_task_functions_need_no_package(tmp_path):
+    """What runs in tasks can be loaded where this package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((ranker._gradient_batches, latent.sgd_epoch, latent.BprParams())))
+    code = "from pyspark import cloudpickle; cloudpickle.loads(open('f.bin', 'rb').read())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
