@@ -11,7 +11,9 @@ import duckdb
 import __spark_entry__ as entry
 from rebuy.session import local_session
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def sql_connection(folder: str) -> duckdb.DuckDBPyConnection:
