@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import string
 import sys
 import types
+import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rebuy.session import shared_dir
+
 # Word rule of the contracts: after lower-casing A-Z, a word is a run of digits, a-z and code
 # points from U+0080 on. In UTF-8 all bytes of such code points are 0x80 or more, so the rule
 # can be applied to bytes: everything else becomes a space.
@@ -38,10 +42,23 @@ def crc32_bucket(ids: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.encode(ids.cast("string"), "UTF-8")), F.lit(modulus)).cast("int")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return os.path.join(shared_dir(spark), "rebuy", f"{name}-{uuid.uuid4().hex}")
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_sample(rows: DataFrame, limit: int, *key: str) -> DataFrame:
+    """About ``limit`` rows at most, chosen by a hash of ``key``; all rows if there are no more."""
+    total = rows.count()
+    if total <= limit:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < F.lit(int(limit / total * (1 << 30))))
+
+
 def count_not_above(bounds: Column, value: Column, step: int) -> Column:
     """How many entries of the ascending array ``bounds`` are at most ``value``.
 

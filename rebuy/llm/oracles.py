@@ -11,4 +11,29 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY norm)
 """
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7}
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORDS}')"
+
+
+OP3 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, {_words("text")} AS w FROM benchmark),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+texts AS (SELECT DISTINCT w FROM d),
+spot AS (
+  SELECT w, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM texts, (SELECT DISTINCT k FROM win), unnest(range(1, greatest(len(w) - k + 2, 1))) AS t(i)),
+hit AS MATERIALIZED (SELECT w, i, spot.k, item_id FROM spot JOIN win ON spot.k = win.k AND spot.s = win.s),
+n AS (SELECT w, count(DISTINCT i + j) AS n_hit FROM hit, unnest(range(0, k)) AS t(j) GROUP BY w),
+m AS (SELECT w, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hit GROUP BY w)
+SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN n ON d.w = n.w LEFT JOIN m ON d.w = m.w
+"""
+
+ORACLES: dict[str, str] = {"op3_decontamination": OP3, "op7_exact_dedup": OP7}
