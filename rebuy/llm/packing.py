@@ -8,6 +8,10 @@
 4. Small pieces, and the few large ones that whole numbers of configurations leave over, go by
    decreasing length to the fullest sequence that still has room.
 
+Rounding wastes the room between a piece and its group's size unless small pieces fill it, so how
+long a large piece is, and how much room configurations leave, is decided by planning each of
+``SETTINGS`` on the histogram of lengths; the plan that needs the fewest sequences is carried out.
+
 The driver sees histograms only: of piece lengths and of free room, ``capacity`` entries at most.
 It answers with stretches of positions ("pieces of length 700 at positions 10 to 90 of the order
 go to sequences 400 to 480"), a number that depends on the capacity and the number of groups, not
@@ -33,7 +37,10 @@ from rebuy.llm.tokens import encoder
 from rebuy.session import materialize
 
 GROUPS = 64
-LARGE = 8  # a piece is large if it is longer than capacity / LARGE
+# What counts as large (longer than capacity / n), and the share of a sequence that configurations
+# leave free for small pieces (capacity / n, 0 for none). The plan with the fewest sequences wins.
+SETTINGS = ((3, 8), (2, 0), (4, 8), (8, 0))
+TRIAL_PIECES = 100_000  # histograms are scaled to about this many pieces to compare settings
 SALTS = 64
 ROUNDS = 4000  # of column generation; a bound against cycling
 
@@ -165,36 +172,39 @@ class Stretches:
         return sum(b - a for a, b in self.free[length])
 
 
-def plan_large(histogram: list[tuple[int, int]], capacity: int, groups: int = GROUPS) -> tuple[list[tuple], Stretches, int]:
+Plan = tuple[list[tuple], Stretches, int]
+
+
+def plan_large(histogram: list[tuple[int, int]], capacity: int, setting: tuple[int, int], groups: int = GROUPS) -> Plan:
     """Stretches of the order for full and large pieces: (length, from, to, first place, base, sequences).
 
     The piece at position p takes place ``first + p - from``, and goes to
-    sequence ``base + place % sequences``.
+    sequence ``base + place % sequences``. Also returns the positions that are
+    left and the number of sequences.
     """
     rest, out, base = Stretches(histogram), [], 0
     if histogram and histogram[0][0] == capacity:
-        n = histogram[0][1]
-        rest.take(capacity, n)
-        out.append((capacity, 0, n, 0, 0, n))
-        base = n
-    large = [(length, n) for length, n in histogram if capacity // LARGE < length < capacity]
-    cut = equal_groups(large, groups)
-    queue = [length for length, n in large for _ in (0,)]
-    starts, at = [], base
+        base = histogram[0][1]
+        rest.take(capacity, base)
+        out.append((capacity, 0, base, 0, 0, base))
+    large = [(length, n) for length, n in histogram if capacity // setting[0] < length < capacity]
+    spans = {length: tuple(rest.free[length][0]) for length, _ in large}
+    usable = capacity - (capacity // setting[1] if setting[1] else 0)
+    # A size beyond what configurations may use takes a sequence of its own.
+    cut = [(min(size, usable), n) for size, n in equal_groups(large, groups)]
+    nexts, at = [], base
     for _, n in cut:
-        starts.append(at)
+        nexts.append(at)
         at += n
-    spans = {length: tuple(rest.free[length][0]) for length in queue}
     assigned: list[tuple[int, int]] = []
-    for times, content in configurations(cut, capacity):
+    for times, content in configurations(cut, usable):
         for g, m in content.items():
-            begin, end = starts[g], starts[g] + times * m
-            starts[g] = end
+            begin, end = nexts[g], nexts[g] + times * m
+            nexts[g] = end
             assigned.append((begin, end))
             for length, (a, b) in spans.items():
                 if a < end and b > begin:
-                    lo, hi = max(a, begin), min(b, end)
-                    out.append((length, lo, hi, lo - begin, base, times))
+                    out.append((length, max(a, begin), min(b, end), max(a, begin) - begin, base, times))
         base += times
     assigned.sort()
     for length, (a, b) in spans.items():
@@ -204,13 +214,38 @@ def plan_large(histogram: list[tuple[int, int]], capacity: int, groups: int = GR
                 continue
             if begin > at:
                 gaps.append([at, begin])
-            at = max(at, min(end, b))
+            at = min(end, b)
         if at < b:
             gaps.append([at, b])
         rest.free[length] = gaps
     return out, rest, base
 
 
+def sequences_needed(histogram: list[tuple[int, int]], capacity: int, setting: tuple[int, int], groups: int) -> int:
+    """How many sequences a setting takes, by carrying out its plan on lengths alone."""
+    stretches, rest, base = plan_large(histogram, capacity, setting, groups)
+    used = np.zeros(base, np.int64)
+    for length, a, b, place, first, bins in stretches:
+        used[first : first + bins] += np.bincount((place + np.arange(b - a)) % bins, minlength=bins) * length
+    free, times = np.unique(capacity - used, return_counts=True)
+    small, _ = plan_rest(rest, list(zip(free.tolist(), times.tolist())), capacity)
+    return max([base, *(s[4] + s[5] for s in small)])
+
+
+def choose_setting(histogram: list[tuple[int, int]], capacity: int, groups: int = GROUPS) -> tuple[int, int]:
+    scale = max(1.0, sum(n for _, n in histogram) / TRIAL_PIECES)
+    scaled = [(length, max(1, round(n / scale))) for length, n in histogram]
+    least = -(-sum(length * n for length, n in scaled) // capacity)
+    best = None
+    for setting in SETTINGS:
+        need = sequences_needed(scaled, capacity, setting, groups)
+        if best is None or need < best[0]:
+            best = (need, setting)
+        if need == least:
+            break
+    return best[1]
+
+
 def plan_rest(rest: Stretches, room: list[tuple[int, int]], capacity: int) -> tuple[list[tuple], dict[int, int]]:
     """Best fit by decreasing length, for whole classes of equal sequences at a time.
 
@@ -295,7 +330,7 @@ def pack(cut: DataFrame, capacity: int, groups: int = GROUPS) -> DataFrame:
     """
     spark = cut.sparkSession
     histogram = sorted(_histogram(cut, "length"), reverse=True)
-    stretches, rest, _ = plan_large(histogram, capacity, groups)
+    stretches, rest, _ = plan_large(histogram, capacity, choose_setting(histogram, capacity, groups), groups)
     place = F.xxhash64("doc_id", "piece")
     order = [place, F.col("doc_id").asc_nulls_first(), F.col("piece"), *[F.col(c) for c in cut.columns if c in ("start", "ids_crc32")]]
     starts, at = [], 0

@@ -28,6 +28,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,34 +41,25 @@ SENTENCES = 12_000
 LONGEST = 64
 WEIGHTS = 1 << 18
 EPOCHS = 60
+SIGNALS = 4
+TEXTS = 512  # texts scored side by side
 TOKENS_REMEMBERED = 300_000
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
-_ENDS = frozenset(".!?\n")
+_WORD = re.compile(r"[^\W\d_]+")
+_END = re.compile(r"[.!?\n]+")
 
 
-Token = tuple[str, tuple[int, int]]  # lower-case word, its place in the text
-
-
-def sentences(text: str | None) -> list[list[Token]]:
-    """Tokens by sentence."""
-    out, now = [], []
-    for match in _TOKEN.finditer(text or ""):
-        word = match.group()
-        if word in _ENDS or len(now) == LONGEST:
-            if now:
-                out.append(now)
-            now = []
-            if word in _ENDS:
-                continue
-        now.append((word.lower(), match.span()))
-    if now:
-        out.append(now)
+def sentences(text: str | None) -> list[list[str]]:
+    """Lower-case words by sentence; all words of the text, in order."""
+    out = []
+    for part in _END.split(text or ""):
+        words = [w.lower() for w in _WORD.findall(part)]
+        out += [words[k : k + LONGEST] for k in range(0, len(words), LONGEST)]
     return out
 
 
 def _beginnings(word: str) -> list[str]:
-    return [f"^{word[:n]}" for n in (3, 4, 5) if len(word) > n]
+    return [f"^{word[:n]}" for n in range(3, 9) if len(word) > n]
 
 
 def _slots(kind: str, values: list[str]) -> list[int]:
@@ -119,12 +111,17 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(WEIGHTS, np.float32))
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: float = 0.0
-    head: np.ndarray = field(default_factory=lambda: np.zeros(3))  # of the document score
+    head: np.ndarray = field(default_factory=lambda: np.zeros(SIGNALS))  # of the document score
+
+    def parts(self) -> "Memo":
+        """For a word, what it adds to its own toxic potential, to the next word's, and to the one before."""
+        weight = self.weights.tolist()
+
+        def of(word: str) -> tuple[float, float, float]:
+            own = sum([weight[k] for k in own_slots(word)])
+            return own, weight[_slots("p", [word])[0]], weight[_slots("n", [word])[0]]
 
-    def parts(self, word: str) -> tuple[float, float, float]:
-        """What a word adds to its own toxic potential, to the next word's, and to the one before."""
-        own = float(self.weights[own_slots(word)].sum())
-        return own, float(self.weights[_slots("p", [word])[0]]), float(self.weights[_slots("n", [word])[0]])
+        return Memo(of, TOKENS_REMEMBERED)
 
 
 def marginals(potential: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: float) -> np.ndarray:
@@ -238,21 +235,21 @@ def fit_chain(tagged: list[list[tuple[str, int]]], model: Model) -> None:
 
 
 def _signals(probabilities: list[np.ndarray]) -> np.ndarray:
-    """What the document score looks at: 1, the greatest marginal's log-odds, the log of the expected number."""
+    """What the document score looks at: 1, the greatest marginal's log-odds, the logs of the toxic tokens' expected number and share."""
     p = np.concatenate(probabilities) if probabilities else np.zeros(1)
-    top = min(max(float(p.max()), 1e-6), 1 - 1e-6)
-    return np.array([1.0, math.log(top / (1 - top)), math.log1p(float(p.sum()))])
+    top = min(max(float(p.max()), 1e-4), 1 - 1e-4)
+    return np.array([1.0, math.log(top / (1 - top)), math.log1p(float(p.sum())), math.log(float(p.sum()) / (len(p) + 20) + 1e-4)])
 
 
-def token_marginals(texts: list[str | None], model: Model, memo: Memo) -> list[tuple[list[list[Token]], list[np.ndarray]]]:
-    """Per text its sentences and their tokens' marginals; sentences of all texts are worked on side by side."""
-    split = [sentences(text) for text in texts]
+def token_marginals(split: list[list[list[str]]], model: Model, memo: Memo) -> list[list[np.ndarray]]:
+    """The tokens' marginals by text and sentence; sentences of all texts are worked on side by side."""
     flat = [s for text in split for s in text]
-    lengths = np.array([len(s) for s in flat], np.int64)
     out: list[np.ndarray] = [np.zeros(0)] * len(flat)
+    lengths = np.array([len(s) for s in flat], np.int64)
+    order = np.argsort(lengths, kind="stable")
     if len(flat):
-        order = np.argsort(lengths, kind="stable")
-        parts = np.array([memo[word] for k in order for word, _ in flat[k]])
+        tokens = chain.from_iterable(map(memo.__getitem__, chain.from_iterable(flat[k] for k in order)))
+        parts = np.fromiter(tokens, float, 3 * int(lengths.sum())).reshape(-1, 3)
         bounds = np.append(0, np.cumsum(lengths[order]))
         potential = parts[:, 0].copy()
         potential[1:] += parts[:-1, 1]
@@ -261,23 +258,21 @@ def token_marginals(texts: list[str | None], model: Model, memo: Memo) -> list[t
         firsts = bounds[1:-1]
         potential[firsts] -= parts[firsts - 1, 1]
         potential[firsts - 1] -= parts[firsts, 2]
-        ordered = lengths[order]
-        at = 0
+        ordered, at = lengths[order], 0
         while at < len(order):
             # As many sentences as are not much longer than the first, so little is padded.
-            end = min(int(np.searchsorted(ordered, ordered[at] + 2, side="right")), at + 20_000)
+            end = min(int(np.searchsorted(ordered, ordered[at] * 1.25 + 1, side="right")), at + 20_000)
             group = ordered[at:end]
-            width = int(group[-1])
-            inside = np.arange(width)[None, :] < group[:, None]
+            inside = np.arange(int(group[-1]))[None, :] < group[:, None]
             matrix = np.zeros(inside.shape)
             matrix[inside] = potential[bounds[at] : bounds[end]]
             found = marginals(matrix, group, model.transitions, model.start)
-            for k in range(end - at):
-                out[order[at + k]] = found[k, : group[k]]
+            for k, (row, length) in enumerate(zip(order[at:end].tolist(), group.tolist())):
+                out[row] = found[k, :length]
             at = end
-    result, at = [], 0
+    at, result = 0, []
     for text in split:
-        result.append((text, out[at : at + len(text)]))
+        result.append(out[at : at + len(text)])
         at += len(text)
     return result
 
@@ -289,13 +284,13 @@ def fit(sample: list[tuple[str | None, int]], totals: tuple[int, int] | None = N
     totals = totals or (len(sample) - toxic, toxic)
     if not toxic or toxic == len(sample):
         share = totals[1] / max(1, sum(totals))
-        model.head = np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0])
+        model.head[0] = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return model
     weight = totals[0] / (len(sample) - toxic), totals[1] / toxic
     split = [sentences(text) for text, _ in sample]
     terms = []
     for text, (_, label) in zip(split, sample):
-        words = {w for s in text for w, _ in s}
+        words = {w for s in text for w in s}
         terms.append((words | {b for w in words for b in _beginnings(w)}, label))
     listed = set(offending_terms(terms, weight))
 
@@ -305,7 +300,7 @@ def fit(sample: list[tuple[str | None, int]], totals: tuple[int, int] | None = N
     with_toxic, without = [], []
     for text, (_, label) in zip(split, sample):
         for sentence in text:
-            tagged = [(w, int(bool(label) and matches(w))) for w, _ in sentence]
+            tagged = [(w, int(bool(label) and matches(w))) for w in sentence]
             (with_toxic if any(t for _, t in tagged) else without).append(tagged)
     pick = np.random.default_rng(3)
     for group in (with_toxic, without):
@@ -313,21 +308,31 @@ def fit(sample: list[tuple[str | None, int]], totals: tuple[int, int] | None = N
     half = SENTENCES // 2
     fit_chain([*with_toxic[:half], *without[:half]], model)
 
-    memo = Memo(model.parts, TOKENS_REMEMBERED)
-    x = np.array([_signals(p) for _, p in token_marginals([text for text, _ in sample], model, memo)])
+    memo, x = model.parts(), []
+    for at in range(0, len(split), TEXTS):
+        x += [_signals(p) for p in token_marginals(split[at : at + TEXTS], model, memo)]
+    x = np.array(x)
     y = np.array([label for _, label in sample], float)
     w = np.where(y == 1, weight[1], weight[0])
     w *= len(w) / w.sum()
-    head = np.zeros(3)
+    head = np.zeros(SIGNALS)
     for _ in range(30):  # Newton's method with a small penalty
         p = 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
         slope = x.T @ (w * (y - p)) - 0.1 * head
-        bend = (x * (w * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
+        bend = (x * (w * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(SIGNALS)
         head = head + np.linalg.solve(bend, slope)
     model.head = head
     return model
 
 
+def _spans(text: str | None, found: list[np.ndarray]) -> list[dict]:
+    if not any((p >= 0.5).any() for p in found):
+        return []
+    # Splitting at sentence ends drops no word, so words come in the same order.
+    pairs = zip(_WORD.finditer(text), chain.from_iterable(found))
+    return [{"start": m.start(), "end": m.end(), "probability": float(p)} for m, p in pairs if p >= 0.5]
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic") -> Model:
     """Fit on at most ``SAMPLE`` documents of each label (about), chosen by a hash of their ids and texts.
 
@@ -353,23 +358,16 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, with_spans: bool =
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        memo = worker_state(name, lambda: Memo(model.parts, TOKENS_REMEMBERED))
+        memo = worker_state(name, model.parts)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                scores, spans = [], []
-                for text, found in token_marginals(part.column(1).to_pylist(), model, memo):
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                texts, scores, spans = part.column(1).to_pylist(), [], []
+                for text, found in zip(texts, token_marginals([sentences(t) for t in texts], model, memo)):
                     z = float(_signals(found) @ model.head)
                     scores.append(1 / (1 + math.exp(-min(max(z, -30.0), 30.0))))
                     if with_spans:
-                        spans.append(
-                            [
-                                {"start": start, "end": end, "probability": float(p)}
-                                for sentence, ps in zip(text, found)
-                                for (_, (start, end)), p in zip(sentence, ps)
-                                if p >= 0.5
-                            ]
-                        )
+                        spans.append(_spans(text, found))
                 columns = [part.column(0), pa.array(scores, pa.float64())]
                 names = ["doc_id", "score"]
                 if with_spans:
