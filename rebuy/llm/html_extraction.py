@@ -5,8 +5,8 @@ block of the page, with its text, its number of inline tags, and the content con
 main) that it stands in. A line's text-to-tag ratio is its characters over its tags. The ratios in
 page order are smoothed with a Gaussian; two-means clustering of the smoothed ratios gives the
 threshold between content and the rest. Lines above it select regions: the content containers
-that hold them, or, on pages without such containers, the lines between the first and the last
-of each run. Short lines of a selected region belong to it.
+that hold them, or, on pages without such containers, runs of lines with at most two others
+between them. Short lines of a selected region belong to it.
 
 Elements that never hold article text count as tags without text: navigation, page headers,
 footers, asides, forms, scripts, styles, and blocks whose class, id or role says menu, advert,
@@ -48,6 +48,7 @@ HINTS = frozenset(
     "complementary contentinfo search".split()
 )
 SIGMA = 1.0
+GAP = 2
 
 
 class Lines(HTMLParser):
@@ -107,9 +108,9 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # as browsers do: the slash means nothing, except in void elements
 
     def handle_endtag(self, tag: str) -> None:
+        self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        self.tags += 1
         if tag not in VOID:
             self._close(tag, CONTAINERS if tag not in CONTAINERS and tag not in ("html", "body") else frozenset())
 
@@ -167,12 +168,13 @@ def main_text(html: str | None) -> str:
             regions = {max(mass, key=lambda c: (mass[c], -c))}  # an article of short lines only
         if regions:
             return "\n".join(text for text, _, container in lines if text and container in regions)
-    # No container: chosen lines and the short ones between them, as long as no tag-only line parts them.
-    kept, run = set(chosen), None
-    for k in chosen:
-        if run is not None and all(lines[m][0] for m in range(run, k)):
-            kept.update(range(run, k))
-        run = k
+    # No container: chosen lines, and up to GAP others between two of them.
+    shown = [k for k, (text, _, _) in enumerate(lines) if text]
+    place = {k: n for n, k in enumerate(shown)}
+    kept = set(chosen)
+    for a, b in zip(chosen, chosen[1:]):
+        if place[b] - place[a] <= GAP + 1:
+            kept.update(shown[place[a] : place[b]])
     return "\n".join(lines[k][0] for k in sorted(kept))
 
 

@@ -73,36 +73,44 @@ def own_slots(word: str) -> list[int]:
 def offending_terms(documents: list[tuple[set[str], int]], weight: tuple[float, float]) -> list[str]:
     """Words and beginnings that explain the toxic documents, most useful first (greedy cover).
 
-    ``weight`` is what a document of label 0 and of label 1 stands for.
+    ``documents`` are sets of words with their labels; ``weight`` is what a
+    document of label 0 and of label 1 stands for. A word that a chosen term
+    matches is explained, so longer and shorter beginnings of it gain nothing.
     """
     toxic = sum(label for _, label in documents)
     count: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for terms, label in documents:
-        for term in terms:
+    for words, label in documents:
+        for term in words | {b for w in words for b in _beginnings(w)}:
             count[term][label] += 1
-    base, strong = toxic / len(documents), {}
+    base, strong = toxic / len(documents), set()
     for term, (c, t) in count.items():
         rate = t / (c + t)
-        if weight[1] * t < 0.75 * (weight[0] * c + weight[1] * t):
-            continue
-        if t >= 3 and rate > base:
-            gain = 2 * (t * math.log(rate / base) + (c * math.log((1 - rate) / (1 - base)) if c else 0))
-            if gain >= 15:
-                strong[term] = gain
-    where = defaultdict(set)
-    for k, (terms, label) in enumerate(documents):
+        if t >= 3 and rate > base and weight[1] * t >= 0.75 * (weight[0] * c + weight[1] * t):
+            surprise = t * math.log(rate / base) + (c * math.log((1 - rate) / (1 - base)) if c else 0)
+            if surprise >= 7.5:
+                strong.add(term)
+    where: dict[str, set[tuple[int, str]]] = defaultdict(set)
+    for k, (words, label) in enumerate(documents):
         if label:
-            for term in terms & strong.keys():
-                where[term].add(k)
+            for word in words:
+                for term in strong.intersection([word, *_beginnings(word)]):
+                    where[term].add((k, word))
     out, covered = [], Counter()
-    # Each toxic document may be explained three times, so that rarer terms are found too.
     while where:
-        worth = {term: sum(1 / (1 + covered[k]) ** 2 for k in ks) - 3 * count[term][0] for term, ks in where.items()}
+        # A further word of a document counts less than its first.
+        worth = {
+            term: sum(1 / (1 + covered[k]) ** 2 for k in {k for k, _ in pairs}) - 3 * count[term][0] for term, pairs in where.items()
+        }
         best = max(worth, key=lambda term: (worth[term], term))
-        if worth[best] < max(1.0, 0.002 * toxic):
+        if worth[best] < max(1.0, 0.006 * toxic):
             break
         out.append(best)
-        covered.update(where.pop(best))
+        explained = where.pop(best)
+        covered.update({k for k, _ in explained})
+        for term in list(where):
+            where[term] -= explained
+            if not where[term]:
+                del where[term]
     return out
 
 
@@ -288,11 +296,8 @@ def fit(sample: list[tuple[str | None, int]], totals: tuple[int, int] | None = N
         return model
     weight = totals[0] / (len(sample) - toxic), totals[1] / toxic
     split = [sentences(text) for text, _ in sample]
-    terms = []
-    for text, (_, label) in zip(split, sample):
-        words = {w for s in text for w in s}
-        terms.append((words | {b for w in words for b in _beginnings(w)}, label))
-    listed = set(offending_terms(terms, weight))
+    found = [({w for s in text for w in s}, label) for text, (_, label) in zip(split, sample)]
+    listed = set(offending_terms(found, weight))
 
     def matches(word: str) -> bool:
         return word in listed or any(b in listed for b in _beginnings(word))

@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import hashlib
+import string
+from collections import Counter, defaultdict
+
+import pytest
+
+from rebuy.llm import exact_dedup, sharding
+from tests.llm.helpers import awkward, docs_table
+
+FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def expected_groups(rows):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[(text or "").translate(FOLD)].append(doc_id)
+    return groups
+
+
+@pytest.mark.parametrize("slices", [1, 3, 64])
+def test_groups_match_brute_force(spark, slices):
+    rows = awkward() + [(500 + i, "copied many times") for i in range(300)]
+    groups = expected_groups(rows)
+    found = exact_dedup.duplicate_groups(docs_table(spark, rows), slices=slices).collect()
+    assert len(found) == len(rows)
+    by_sha = {hashlib.sha256(norm.encode()).hexdigest(): ids for norm, ids in groups.items()}
+    for row in found:
+        ids = by_sha[row.text_sha256]
+        assert row.group_size == len(ids)
+        assert row.keep_id == max((i for i in ids if i is not None), default=None)
+    kept = Counter(row.text_sha256 for row in found if row.kept)
+    assert kept == Counter(by_sha.keys())
+    assert all(row.doc_id == row.keep_id for row in found if row.kept)
+
+
+def test_kept_rows_keep_their_columns(spark):
+    rows = awkward()
+    docs = docs_table(spark, rows)
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.text or "").translate(FOLD) for r in kept.collect()) == Counter(expected_groups(rows).keys())
+
+
+def test_empty_tables(spark):
+    docs = docs_table(spark, [])
+    assert exact_dedup.duplicate_groups(docs).count() == exact_dedup.deduplicate(docs).count() == 0
+    assert sharding.exact_shuffle(docs, 5).count() == 0
+
+
+@pytest.mark.parametrize(("shards", "stretches"), [(40, 1), (7, 3), (3, 40)])
+def test_shards_are_exact_and_gapless(spark, shards, stretches):
+    rows = awkward() + [(None, None)] * 30 + [(9, "x")] * 90
+    docs = docs_table(spark, rows).withColumnRenamed("word", "slot")
+    placed = sharding.exact_shuffle(docs.repartition(6), shards, seed=5, stretches=stretches).collect()
+    slots = defaultdict(list)
+    for row in placed:
+        slots[row.shard].append(row.slot)
+    sizes = [len(slots[s]) for s in range(shards)]
+    assert sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+    assert Counter((r.doc_id, r.text) for r in placed) == Counter(rows)
+
+
+def test_matrix_sums_are_exact():
+    blocks, sizes = [10, 0, 25, 7], [11, 11, 10, 10]
+    matrix = sharding.communication_matrix(blocks, sizes, 3)
+    assert matrix.sum(axis=1).tolist() == blocks and matrix.sum(axis=0).tolist() == sizes and (matrix >= 0).all()
+
+
+def test_assignment_is_uniform(spark):
+    """Each row reaches each shard and each slot about equally often over many seeds."""
+    docs = spark.range(12).repartition(3)
+    seen = Counter()
+    runs = 60
+    for seed in range(runs):
+        for row in sharding.exact_shuffle(docs, 3, seed=seed).collect():
+            seen[row.id % 4, row.shard] += 1
+    # 3 rows in each of 4 classes, 3 shards: 60 expected in each cell, standard deviation below 6.
+    assert all(35 <= seen[c, s] <= 85 for c in range(4) for s in range(3))
+
+
+def test_written_shards_hold_the_rows(spark, tmp_path):
+    rows = awkward()
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs_table(spark, rows), 4, path)
+    back = spark.read.parquet(path)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect())[0] >= len(rows) // 4

@@ -1,0 +1,145 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from rebuy.llm import packing, simple8b, tokens
+from rebuy.session import materialize
+from tests.llm.helpers import awkward, docs_table, prose
+
+VOCABULARY = tokens.default_vocabulary()
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return tokens.Encoder(VOCABULARY)
+
+
+def direct(library, text, end):
+    return library.encode(text or "", add_special_tokens=False).ids + [end]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("aAbs'.,!<|> \n\t\r é́ñİßﬁ12-"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_ids_are_those_of_whole_texts(library, encoder, text):
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**64 - 1)), max_size=700))
+def test_simple8b_round_trip(values):
+    words, firsts, escapes = simple8b.encode(np.array(values, dtype=np.uint64))
+    assert simple8b.decode(words, firsts, escapes, len(values)).tolist() == values
+
+
+@pytest.mark.parametrize(("value", "words"), [(1, 3), (1023, 22), (2**15 - 1, 32), (2**60 - 1, 128), (2**60, 128)])
+def test_words_are_full(value, words):
+    """128 equal ids take as few words as their width allows."""
+    assert len(simple8b.encode(np.full(128, value, np.uint64))[0]) == words
+
+
+def test_token_files(spark, tmp_path, library):
+    rows = awkward()
+    path = str(tmp_path / "tokens")
+    simple8b.write_token_files(docs_table(spark, rows), path, VOCABULARY, end_id=1)
+    found = simple8b.read_token_files(spark, path, with_ids=True).orderBy("start").collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in found) == Counter((i, tuple(direct(library, t, 1))) for i, t in rows)
+    assert [r.start for r in found] == np.cumsum([0] + [r.n_tokens for r in found[:-1]]).tolist()
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in found]
+    assert keys == sorted(keys)
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in found)
+
+
+def test_token_files_of_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "none")
+    simple8b.write_token_files(docs_table(spark, []), path, VOCABULARY, end_id=1)
+    assert simple8b.read_token_files(spark, path).count() == 0
+
+
+def checked_sequences(packed, capacity):
+    sequences = defaultdict(list)
+    for row in packed:
+        sequences[row.sequence_id].append((row.offset, row.length))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+def test_packing_loses_nothing(spark, library):
+    rng = random.Random(2)
+    rows = awkward() + [(100 + i, prose(rng, rng.randint(1, 400))) for i in range(150)]
+    cut = materialize(packing.pieces(docs_table(spark, rows), VOCABULARY, 0, 256, with_ids=True), "test-pieces")
+    packed = packing.pack(cut, 256).collect()
+    checked_sequences(packed, 256)
+    whole = Counter()
+    for i, text in rows:
+        ids = direct(library, text, 0)
+        for piece, at in enumerate(range(0, len(ids), 256)):
+            part = ids[at : at + 256]
+            whole[i, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), tuple(part)] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, tuple(r.ids)) for r in packed) == whole
+
+
+def test_sequences_join_their_pieces(spark):
+    cut = materialize(packing.pieces(docs_table(spark, awkward()), VOCABULARY, 0, 256, with_ids=True), "test-pieces")
+    packed = packing.pack(cut, 256)
+    by_sequence = defaultdict(dict)
+    for row in packed.collect():
+        by_sequence[row.sequence_id][row.offset] = list(row.ids)
+    for row in packing.sequences(packed).collect():
+        assert list(row.ids) == [x for offset in sorted(by_sequence[row.sequence_id]) for x in by_sequence[row.sequence_id][offset]]
+
+
+def test_empty_table_packs_to_nothing(spark):
+    cut = packing.pieces(docs_table(spark, []), VOCABULARY, 0, 256)
+    assert packing.pack(cut, 256).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("name", "lengths"),
+    [
+        ("uniform", lambda rng: rng.integers(1, 257, 4000)),
+        ("thirds", lambda rng: rng.integers(80, 90, 3000)),
+        ("one length", lambda rng: np.full(500, 100)),
+        ("full", lambda rng: np.full(50, 256)),
+        ("tiny", lambda rng: rng.integers(1, 4, 1000)),
+    ],
+)
+def test_plans_need_few_sequences(spark, name, lengths):
+    values = lengths(np.random.default_rng(3)).tolist()
+    cut = spark.createDataFrame([(i, 0, n) for i, n in enumerate(values)], "doc_id bigint, piece int, length bigint")
+    packed = packing.pack(cut, 256).collect()
+    assert Counter(r.length for r in packed) == Counter(values) and len(packed) == len(values)
+    used = checked_sequences(packed, 256)
+    # Best fit decreasing, one piece after another.
+    bins: list[int] = []
+    for n in sorted(values, reverse=True):
+        open_ = [k for k, free in enumerate(bins) if free >= n]
+        if open_:
+            best = min(open_, key=lambda k: bins[k])
+            bins[best] -= n
+        else:
+            bins.append(256 - n)
+    assert used <= len(bins) * 1.01 + 1
+
+
+def test_equal_groups():
+    histogram = [(9, 3), (7, 4), (5, 5)]
+    assert packing.equal_groups(histogram, 3) == [(9, 4), (7, 4), (5, 4)]
+    assert packing.equal_groups(histogram, 100) == [(9, 1)] * 3 + [(7, 1)] * 4 + [(5, 1)] * 5
+    assert packing.equal_groups([], 3) == []
