@@ -2,26 +2,32 @@
 
 After each round the edges are written to the shared folder, which cuts the lineage; the rounds
 end when a round changes nothing, and then every node is tied to the smallest node of its
-component. All work is grouping and joins, so components of any size pass.
+component. All work is grouping and joins, and busy nodes are spread, so components of any size pass.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rebuy.operators.skew import heaviest, spread_join
 from rebuy.session import materialize
 
 
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least neighbour of ``a``; the edges of the busiest nodes are spread over several tasks."""
+    return spread_join(edges, least.drop("n"), "a", heaviest(least, "a", "n"), "b")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+    return _joined(both, least).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a").select("m", F.explode(F.array("a", "b")).alias("a"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _joined(down, least).select("m", F.explode(F.array("a", "b")).alias("a"))
     return joined.filter(F.col("a") != F.col("m")).select("a", F.col("m").alias("b")).distinct()
 
 
