@@ -22,7 +22,7 @@ CUTOFF, END, EVENT_START = "2001-07-01", "2001-08-01", "2001-06-10"
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
-CFG = production_config(CUTOFF, END, half_life_days=365.0, event_start=EVENT_START)
+CFG = production_config(CUTOFF, END, event_start=EVENT_START)
 
 
 def jobs(spark) -> dict:

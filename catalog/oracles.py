@@ -3,8 +3,6 @@ full cross joins and unlimited windows, independent of the Spark plans."""
 
 from __future__ import annotations
 
-import math
-
 from catalog import settings as S
 from rebuy.config import HybridConfig, metadata_levels
 from rebuy.sources.star_schema import event_shift_days
@@ -12,6 +10,16 @@ from rebuy.sources.star_schema import event_shift_days
 RATE = "DECIMAL(18,12)"
 
 
+def strength(column: str = "points") -> str:
+    """What totals are ranked by: relative differences below 1e-10 are noise of summation."""
+    return f"round(CASE WHEN {column} > 0 THEN ln({column}) END, 10) DESC NULLS LAST"
+
+
+def shares(score: str) -> str:
+    """Scores relative to a best one, to 11 digits."""
+    return f"CAST(floor(({score}) * CAST(1e11 AS DOUBLE) + 0.5) AS BIGINT)"
+
+
 def points(score: str) -> str:
     """Scores in whole billionths."""
     return f"CAST(floor(({score}) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)"
@@ -83,13 +91,13 @@ def signals(q: Sql, cfg: HybridConfig, p: str = "") -> None:
     q.add(
         f"{p}bought",
         f"""SELECT customer_id, item_id, 'purchase' AS signal, updated_date AS signal_date,
-        {points('CAST(8.0 AS DOUBLE) * ' + decay('updated_date', cfg))} AS points
+        {'CAST(8.0 AS DOUBLE) * ' + decay('updated_date', cfg)} AS points
         FROM tx WHERE updated_date < TIMESTAMP '{cfg.cutoff}' AND {VALID}""",
     )
     q.add(
         f"{p}browsed",
         f"""SELECT customer_id, item_id, event_type AS signal, event_date AS signal_date,
-        {points("CAST(CASE WHEN event_type = 'add_to_cart' THEN 3.0 ELSE 1.0 END AS DOUBLE) * " + decay('event_date', cfg))} AS points
+        {"CAST(CASE WHEN event_type = 'add_to_cart' THEN 3.0 ELSE 1.0 END AS DOUBLE) * " + decay('event_date', cfg)} AS points
         FROM ev WHERE event_date >= TIMESTAMP '{cfg.event_start}' AND event_date < TIMESTAMP '{cfg.cutoff}'
         AND event_type IN ('view_item', 'add_to_cart') AND {VALID}""",
     )
@@ -102,7 +110,7 @@ def popularity(q: Sql, cfg: HybridConfig, p: str = "") -> None:
     q.add(
         f"{p}popular",
         f"""SELECT item_id, points, n, rnk, CAST(points AS DOUBLE) / CAST(max(points) OVER () AS DOUBLE) AS score
-        FROM (SELECT *, row_number() OVER (ORDER BY points DESC, n DESC, item_id) AS rnk FROM {p}totals)
+        FROM (SELECT *, row_number() OVER (ORDER BY {strength()}, n DESC, item_id) AS rnk FROM {p}totals)
         WHERE rnk <= {cfg.global_limit}""",
     )
 
@@ -117,13 +125,12 @@ def history(q: Sql, cfg: HybridConfig, p: str = "", targets: str | None = None)
     q.add(
         f"{p}history",
         f"""SELECT customer_id, item_id, rnk, CAST(points AS DOUBLE) / CAST(max(points) OVER (PARTITION BY customer_id) AS DOUBLE) AS score
-        FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY points DESC, last_date DESC, item_id) AS rnk FROM {p}pairs {only})
+        FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY {strength()}, last_date DESC, item_id) AS rnk FROM {p}pairs {only})
         WHERE rnk <= {cfg.max_user_items}""",
     )
 
 
 def neighbors(q: Sql, cutoff: str, max_basket: int, n: int, p: str = "") -> None:
-    unit = math.lcm(*range(1, max_basket))
     q.add(
         f"{p}lines",
         f"SELECT DISTINCT bill_id, item_id FROM tx WHERE updated_date < TIMESTAMP '{cutoff}'",
@@ -131,14 +138,14 @@ def neighbors(q: Sql, cutoff: str, max_basket: int, n: int, p: str = "") -> None
     q.add(f"{p}bills", f"SELECT bill_id, count(*) AS n FROM {p}lines GROUP BY bill_id HAVING count(*) BETWEEN 2 AND {max_basket}")
     q.add(
         f"{p}weights",
-        f"""SELECT a.item_id, b.item_id AS neighbor_id, sum({unit} // (n - 1)) AS points
+        f"""SELECT a.item_id, b.item_id AS neighbor_id, sum(CAST(1 AS DOUBLE) / (n - 1)) AS points
         FROM {p}bills JOIN {p}lines a USING (bill_id) JOIN {p}lines b USING (bill_id)
         WHERE a.item_id <> b.item_id GROUP BY 1, 2""",
     )
     q.add(
         f"{p}near",
-        f"""SELECT item_id, neighbor_id, rnk, CAST(points AS DOUBLE) / {unit} AS weight, CAST(points AS DOUBLE) / CAST(max(points) OVER (PARTITION BY item_id) AS DOUBLE) AS score
-        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY points DESC, neighbor_id) AS rnk FROM {p}weights)
+        f"""SELECT item_id, neighbor_id, rnk, points AS weight, CAST(points AS DOUBLE) / CAST(max(points) OVER (PARTITION BY item_id) AS DOUBLE) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {strength()}, neighbor_id) AS rnk FROM {p}weights)
         WHERE rnk <= {n}""",
     )
 
@@ -156,7 +163,7 @@ def group_tops(q: Sql, cfg: HybridConfig, p: str = "") -> None:
     q.add(
         f"{p}gtops",
         f"""SELECT grp, item_id, rnk, CAST(points AS DOUBLE) / CAST(max(points) OVER (PARTITION BY grp) AS DOUBLE) AS score
-        FROM (SELECT grp, item_id, points, row_number() OVER (PARTITION BY grp ORDER BY points DESC, item_id) AS rnk
+        FROM (SELECT grp, item_id, points, row_number() OVER (PARTITION BY grp ORDER BY {strength()}, item_id) AS rnk
               FROM {p}totals JOIN {p}groups USING (item_id))
         WHERE rnk <= {cfg.max_category_items}""",
     )
@@ -181,8 +188,8 @@ def locations(q: Sql, cfg: HybridConfig, p: str = "") -> None:
     q.add(
         f"{p}ltops",
         f"""SELECT location, item_id, rnk, CAST(points AS DOUBLE) / CAST(max(points) OVER (PARTITION BY location) AS DOUBLE) AS score
-        FROM (SELECT location, item_id, points, row_number() OVER (PARTITION BY location ORDER BY points DESC, item_id) AS rnk
-              FROM (SELECT location, item_id, sum({points('CAST(8.0 AS DOUBLE) * ' + decay('updated_date', cfg))}) AS points
+        FROM (SELECT location, item_id, points, row_number() OVER (PARTITION BY location ORDER BY {strength()}, item_id) AS rnk
+              FROM (SELECT location, item_id, sum({'CAST(8.0 AS DOUBLE) * ' + decay('updated_date', cfg)}) AS points
                     FROM tx WHERE updated_date < TIMESTAMP '{cfg.cutoff}' GROUP BY 1, 2))
         WHERE rnk <= {cfg.max_location_items}""",
     )
@@ -223,7 +230,7 @@ def hybrid(q: Sql, cfg: HybridConfig, p: str = "", name: str = "recs", base: str
         locations(q, cfg, b)
         rows.append(f"SELECT customer_id, item_id, 'l', score FROM {b}homes JOIN {b}ltops USING (location)")
     sums = ", ".join(
-        f"coalesce(CAST(sum(CASE WHEN kind = '{kind}' THEN {points('value')} END) AS DOUBLE) / CAST(1e9 AS DOUBLE), 0) AS {kind}" for kind in "cml"
+        f"coalesce(CAST(sum(CASE WHEN kind = '{kind}' THEN {shares('value')} END) AS DOUBLE) / CAST(1e11 AS DOUBLE), 0) AS {kind}" for kind in "cml"
     )
     plain = ", ".join(f"coalesce(max(CASE WHEN kind = '{kind}' THEN value END), 0) AS {kind}" for kind in "rg")
     q.add(f"{p}{name}_ev", f"SELECT customer_id, item_id, {plain}, {sums} FROM ({' UNION ALL '.join(rows)}) GROUP BY 1, 2")
@@ -237,9 +244,9 @@ def hybrid(q: Sql, cfg: HybridConfig, p: str = "", name: str = "recs", base: str
     score = " + ".join(f"CAST({float(weight)} AS DOUBLE) * {kind}" for kind, weight in w.items())
     return q.add(
         f"{p}{name}",
-        f"""SELECT customer_id, item_id, rnk, CAST(s AS DOUBLE) / CAST(1e9 AS DOUBLE) AS score FROM (
+        f"""SELECT customer_id, item_id, rnk, CAST(s AS DOUBLE) / CAST(1e11 AS DOUBLE) AS score FROM (
           SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, g DESC, item_id DESC) AS rnk
-          FROM (SELECT customer_id, item_id, g, {points(score)} AS s FROM {p}{name}_ev))
+          FROM (SELECT customer_id, item_id, g, {shares(score)} AS s FROM {p}{name}_ev))
         WHERE rnk <= {cfg.k}""",
     )
 

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from catalog import settings as S
-from rebuy.functions.scoring import SCALE
 from rebuy.operators import blending, ceiling, copurchase, customers, features, interactions, metrics, popularity, signals
 from rebuy.plans import experiments, hybrid, latent, ranker
 from rebuy.session import shared_dir
@@ -50,9 +49,14 @@ def tidy(df: DataFrame, exact: tuple[str, ...] = ()) -> DataFrame:
 
 
 def scored(df: DataFrame) -> DataFrame:
-    """Points (whole billionths) shown as a score."""
-    columns = [F.col(c).alias(c) if c != "points" else (F.col(c) / SCALE).alias("score") for c in df.columns]
-    return tidy(df.withColumn("points", F.col("points").cast("double")).select(*columns), exact=("score",))
+    """Points shown as a score, and their logarithm, which tells old (small) ones apart."""
+    columns: list[Column] = []
+    for c in df.columns:
+        if c == "points":
+            columns += [F.col(c).cast("double").alias("score"), F.ln(c).alias("log_score")]
+        else:
+            columns.append(F.col(c))
+    return tidy(df.select(*columns))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -166,8 +170,7 @@ def location_top_items(spark, folder):
 
 
 def ranked(recs: DataFrame) -> DataFrame:
-    """Scores are exact decimals with 9 digits already."""
-    return tidy(recs, exact=("score",))
+    return tidy(recs)
 
 
 # --- customers and recommendations -------------------------------------------------------------
@@ -293,7 +296,7 @@ AVERAGES = ("user_avg_price", "item_avg_price")
 
 def _inputs(spark, folder, cutoff=S.CUTOFF, end=S.VALID_END):
     t = style(spark, folder)
-    users = customers.sample_customers(t.transactions, cutoff, end, S.ALL_BUYERS, S.SEED + 1)
+    users = customers.buyers(t.transactions, cutoff, end)
     return features.ranker_inputs(t, cutoff, users)
 
 
@@ -405,7 +408,7 @@ def interaction_matrix(spark, folder):
     pairs = interactions.interactions(
         t, S.CUTOFF, customers.target_customers(t, S.DEFAULT), _heads(t), event_start=S.EVENT_START
     )
-    return tidy(interactions.interaction_matrix(pairs), exact=("rating",))
+    return tidy(interactions.interaction_matrix(pairs))
 
 
 @query
@@ -471,20 +474,19 @@ def rolling_config_means(spark, folder):
 
 @query
 def rolling_subset(spark, folder):
-    splits = experiments.named([experiments.Split(*split) for split in S.SPLITS], ["1996-07"])
+    splits = [experiments.Split(*split) for split in S.SPLITS[-1:]]
     configs = experiments.named(experiments.CONFIGS, ["baseline_hl60", "brand_l3_hl60_cw015_mw006"])
     path = scratch(spark, "summary")
-    sinks.append_summary(experiments.run_grid(style(spark, folder), S.GRID_BASE, splits, configs), path)
-    schema = ", ".join(
-        f"{name} {'string' if i < 4 else 'bigint' if i == 4 else 'double'}" for i, name in enumerate(sinks.SUMMARY_COLUMNS)
-    )
-    return tidy(spark.read.option("header", True).schema(schema).csv(path))
+    # The second run replaces what the first one wrote.
+    for chosen in (configs[:1], configs):
+        summary = experiments.run_grid_to(style(spark, folder), S.GRID_BASE, path, splits, chosen)
+    return tidy(summary)
 
 
 # --- learned models (no SQL equivalent) ----------------------------------------------------------------
 
 
-WINDOWS = ranker.RankerWindows(S.TRAIN_CUTOFF, S.TRAIN_END, S.CUTOFF, S.VALID_END, S.ALL_BUYERS, S.ALL_BUYERS, S.SEED)
+WINDOWS = ranker.RankerWindows(S.TRAIN_CUTOFF, S.TRAIN_END, S.CUTOFF, S.VALID_END, seed=S.SEED)
 RANKER = ranker.RankerParams(num_boost_round=5, num_leaves=15, min_data_in_leaf=20, learning_rate=0.1)
 
 
@@ -530,22 +532,37 @@ def _latent_inputs(spark, folder):
 def als_recs(spark, folder):
     t, targets, heads = _latent_inputs(spark, folder)
     pairs = interactions.interactions(t, S.CUTOFF, targets, heads, event_start=S.EVENT_START)
-    return tidy(latent.als_lists(pairs, heads, latent.AlsParams(factors=16, iterations=5)))
+    return tidy(latent.als_lists(pairs, heads, latent.AlsParams()))
 
 
 @query
 def als_blend_metrics(spark, folder):
     t, targets, heads = _latent_inputs(spark, folder)
     pairs = interactions.interactions(t, S.CUTOFF, targets, heads, event_start=S.EVENT_START)
-    model = latent.als_lists(pairs, heads, latent.AlsParams(factors=16, iterations=5))
+    model = latent.als_lists(pairs, heads, latent.AlsParams())
     base = hybrid.recommend(t, S.PRODUCTION)
     wanted = customers.truth(t.transactions, S.CUTOFF, S.VALID_END)
     return tidy(blending.blend_metrics(base, model, wanted, blending.standard_variants("als"), 10))
 
 
-@query
-def bpr_recs(spark, folder):
+# Few customers: fewer buckets than the default, so that each has some.
+BPR = latent.BprParams(buckets=8)
+
+
+def _bpr_lists(spark, folder):
     t, targets, heads = _latent_inputs(spark, folder)
     pairs = interactions.positive_pairs(t.transactions, S.CUTOFF, targets, heads)
-    params = latent.BprParams(factors=16, epochs=3, batch_size=512, batches_per_epoch=40, buckets=8)
-    return tidy(latent.bpr_lists(latent.train_bpr(pairs, heads, params)[0], params.candidates))
+    return t, latent.bpr_lists(latent.train_bpr(pairs, heads, BPR)[0], BPR.candidates)
+
+
+@query
+def bpr_recs(spark, folder):
+    return tidy(_bpr_lists(spark, folder)[1])
+
+
+@query
+def bpr_blend_metrics(spark, folder):
+    t, model = _bpr_lists(spark, folder)
+    base = hybrid.recommend(t, S.PRODUCTION)
+    wanted = customers.truth(t.transactions, S.CUTOFF, S.VALID_END)
+    return tidy(blending.blend_metrics(base, model, wanted, blending.standard_variants("bpr"), 10))

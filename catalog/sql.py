@@ -7,7 +7,7 @@ from rebuy.operators import blending
 from rebuy.operators.features import FEATURES, CandidateConfig
 from rebuy.plans.experiments import CONFIGS, Split
 
-SCORE = "CAST(points AS DOUBLE) / CAST(1e9 AS DOUBLE) AS score"
+SCORE = "round(points, 6) AS score, round(CASE WHEN points > 0 THEN ln(points) END, 6) AS log_score"
 RANKER = CandidateConfig(event_start=S.EVENT_START)
 
 
@@ -41,8 +41,8 @@ def build() -> dict[str, str]:
     q = start("sku")
     O.signals(q, D)
     out["customer_items"] = q.select(
-        """SELECT customer_id, item_id, CAST(sum(points) AS DOUBLE) / CAST(1e9 AS DOUBLE) AS score, max(signal_date) AS last_date,
-        count(*) AS n FROM signals GROUP BY 1, 2"""
+        f"""SELECT customer_id, item_id, {SCORE}, last_date, n FROM (
+          SELECT customer_id, item_id, sum(points) AS points, max(signal_date) AS last_date, count(*) AS n FROM signals GROUP BY 1, 2)"""
     )
     O.popularity(q, D)
     out["item_totals"] = q.select(f"SELECT item_id, {SCORE}, n FROM totals")
@@ -91,7 +91,7 @@ def build() -> dict[str, str]:
     O.truth(q, D)
     out["truth"] = q.select("SELECT customer_id, item_id FROM truth")
 
-    recs = f"SELECT customer_id, item_id, rnk, {exact('score')} FROM recs"
+    recs = f"SELECT customer_id, item_id, rnk, {r6('score')} FROM recs"
 
     def recs_query(name: str, variant: str, cfg, targets: str | None = None) -> None:
         q = start(variant)
@@ -173,7 +173,7 @@ def build() -> dict[str, str]:
 
     def ranker(cutoff: str, end: str) -> O.Sql:
         q = start("style")
-        O.sample(q, cutoff, end, S.ALL_BUYERS, S.SEED + 1)
+        q.add("users", f"SELECT DISTINCT customer_id FROM tx WHERE updated_date >= TIMESTAMP '{cutoff}' AND updated_date < TIMESTAMP '{end}'")
         O.features(q, RANKER, cutoff, end, S.EVENT_START)
         return q
 
@@ -225,11 +225,11 @@ def build() -> dict[str, str]:
     out["head_items"] = q.select("SELECT item_id, n, item_idx FROM heads")
     q.add(
         "ratings",
-        """SELECT customer_id, item_id, item_idx, CAST(sum(points) AS DOUBLE) / CAST(1e9 AS DOUBLE) AS rating FROM signals JOIN heads USING (item_id)
+        """SELECT customer_id, item_id, item_idx, sum(points) AS rating FROM signals JOIN heads USING (item_id)
         WHERE customer_id IN (SELECT customer_id FROM targets) GROUP BY 1, 2, 3""",
     )
     out["interaction_matrix"] = q.select(
-        f"""SELECT customer_id, item_id, dense_rank() OVER (ORDER BY customer_id) - 1 AS user_idx, item_idx, {exact('rating')} FROM ratings"""
+        f"""SELECT customer_id, item_id, dense_rank() OVER (ORDER BY customer_id) - 1 AS user_idx, item_idx, {r6('rating')} FROM ratings"""
     )
     out["positive_pairs"] = q.select(
         f"""SELECT DISTINCT customer_id, item_id, item_idx FROM tx JOIN heads USING (item_id)

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rebuy.config import CART_WEIGHT, INVALID_ITEM_IDS, PURCHASE_WEIGHT, VIEW_WEIGHT
 
-# Scores are summed as whole billionths, so that totals and ranks do not depend
-# on the order in which tasks finish. Sums without a proven bound are taken over
-# WIDE, which cannot overflow; sums of a bounded number of shares over bigint.
+# Decayed signals are doubles of any size: a customer's or an item's newest signal may be years old,
+# and only sizes relative to each other count. Totals are ranked by their logarithm to DIGITS
+# digits, so that the order in which tasks finish cannot change a rank.
+DIGITS = 10
+# Quantities, prices and list scores have a natural size. They are summed as whole billionths (over
+# WIDE, which cannot overflow), shares of at most 1 as whole units of SHARE over bigint.
 SCALE = 1e9
+SHARE = 1e11
 WIDE = "decimal(18,0)"
 RATE = "decimal(18,12)"
 
@@ -60,12 +64,12 @@ def quantity_boost(column: str = "quantity") -> Column:
 
 
 def purchase_points(anchor: str, half_life_days: float) -> Column:
-    return billionths(F.lit(PURCHASE_WEIGHT) * quantity_boost() * recency("updated_date", anchor, half_life_days))
+    return F.lit(PURCHASE_WEIGHT) * quantity_boost() * recency("updated_date", anchor, half_life_days)
 
 
 def event_points(anchor: str, half_life_days: float) -> Column:
     weight = F.when(F.col("event_type") == "add_to_cart", F.lit(CART_WEIGHT)).otherwise(F.lit(VIEW_WEIGHT))
-    return billionths(weight * quantity_boost() * recency("event_date", anchor, half_life_days))
+    return weight * quantity_boost() * recency("event_date", anchor, half_life_days)
 
 
 def billionths(score: Column) -> Column:
@@ -73,9 +77,19 @@ def billionths(score: Column) -> Column:
     return F.floor(score * F.lit(SCALE) + F.lit(0.5))
 
 
+def shares(score: Column) -> Column:
+    """Nearest whole number of SHARE units (bigint), for scores relative to a best one."""
+    return F.floor(score * F.lit(SHARE) + F.lit(0.5))
+
+
 def total_points(column: str = "points") -> Column:
-    """Overflow-free sum of points; 0 where every value is null."""
-    return F.coalesce(F.sum(F.col(column).cast(WIDE)), F.lit(0).cast("decimal(28,0)"))
+    """Sum of points; 0 where every value is null."""
+    return F.coalesce(F.sum(column), F.lit(0.0))
+
+
+def strength(column: str = "points") -> Column:
+    """Points to rank by: their logarithm to DIGITS digits, null for 0 (which sorts last when descending)."""
+    return F.round(F.ln(column), DIGITS)
 
 
 def zero(column: Column | str) -> Column:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import os
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from rebuy.config import HybridConfig
-from rebuy.functions.scoring import before
+from rebuy.functions.scoring import before, strength
 from rebuy.operators.topk import top_n, top_n_shares
-from rebuy.session import shared_dir
+from rebuy.session import materialize, shared_dir
 from rebuy.sources.tables import ShopTables
 
 
@@ -33,11 +33,9 @@ def copurchase_neighbors(transactions: DataFrame, cutoff: str, max_basket_items:
 
     Each unordered pair of a basket is emitted once (at most
     ``n * (n - 1) / 2`` for the largest allowed basket), summed map-side and
-    shuffled on the pair; only the sums are mirrored. The weights are added as
-    whole fractions of :func:`weight_unit`.
+    shuffled on the pair; only the sums are mirrored.
     """
-    unit = weight_unit(max_basket_items)
-    share = F.floor(F.lit(float(unit)) / (F.size("items") - 1) + 0.5)
+    share = F.lit(1.0) / (F.size("items") - 1)
     firsts = baskets(transactions, cutoff, max_basket_items).select(
         "items", share.alias("weight"), F.posexplode("items").alias("pos", "item_id")
     )
@@ -49,17 +47,12 @@ def copurchase_neighbors(transactions: DataFrame, cutoff: str, max_basket_items:
         F.struct(a.alias("item_id"), b.alias("neighbor_id")), F.struct(b.alias("item_id"), a.alias("neighbor_id"))
     )
     weights = sums.select("points", F.inline(mirrored))
-    order = [F.desc("points"), F.col("neighbor_id")]
+    order = [strength().desc(), F.col("neighbor_id")]
     return top_n_shares(weights, ["item_id"], order, max_neighbors).select(
-        "item_id", "neighbor_id", (F.col("points") / unit).alias("weight"), "score", "rnk"
+        "item_id", "neighbor_id", F.col("points").alias("weight"), "score", "rnk"
     )
 
 
-def weight_unit(max_basket_items: int) -> int:
-    """Common denominator of all basket weights; a fixed one where that grows too large for sums."""
-    return min(math.lcm(*range(1, max_basket_items)), 10**9)
-
-
 def adjacency(neighbors: DataFrame) -> DataFrame:
     """One row per item with its (bounded) neighbour list: joins move one row per seed."""
     entry = F.struct("neighbor_id", "score")
@@ -67,17 +60,28 @@ def adjacency(neighbors: DataFrame) -> DataFrame:
 
 
 def cached_neighbors(tables: ShopTables, cfg: HybridConfig, folder: str | None = None) -> DataFrame:
-    """Neighbour table kept in the shared folder, reused only for the very same key."""
+    """Neighbour table kept in the shared folder, reused only for the very same key.
+
+    Each writer uses a new folder below the key's, and only finished folders
+    are read, so no table that somebody reads is ever overwritten. Tables
+    without a source key are not shared.
+    """
     spark = tables.spark
+    fresh = copurchase_neighbors(tables.transactions, cfg.cutoff, cfg.max_basket_items, cfg.max_neighbors)
+    if not tables.source_key:
+        return materialize(fresh, "neighbors")
     key = f"{tables.source_key}|{cfg.cutoff}|{cfg.max_basket_items}|{cfg.max_neighbors}"
     name = "neighbors-" + hashlib.sha256(key.encode()).hexdigest()[:32]
     path = os.path.join(folder or os.path.join(shared_dir(spark), "rebuy"), name)
-    fresh = copurchase_neighbors(tables.transactions, cfg.cutoff, cfg.max_basket_items, cfg.max_neighbors)
-    if not tables.source_key or not _finished(spark, path):
-        fresh.write.mode("overwrite").parquet(path)
-    return spark.read.schema(fresh.schema).parquet(path)
-
-
-def _finished(spark, path: str) -> bool:
-    marker = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    found = _finished(spark, path)
+    if found is None:
+        found = os.path.join(path, uuid.uuid4().hex)
+        fresh.write.parquet(found)
+    return spark.read.schema(fresh.schema).parquet(found)
+
+
+def _finished(spark, path: str) -> str | None:
+    """A finished table below ``path``."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "*", "_SUCCESS"))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return min((marker.getPath().getParent().toString() for marker in found or ()), default=None)

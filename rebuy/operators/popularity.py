@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rebuy.config import HybridConfig, metadata_levels
-from rebuy.functions.scoring import before, purchase_points, ratio, total_points
+from rebuy.functions.scoring import before, purchase_points, ratio, strength, total_points
 from rebuy.operators.customers import only_customers
 from rebuy.operators.topk import head, top_n, top_n_shares
 
@@ -26,7 +26,7 @@ def global_scores(totals: DataFrame, limit: int) -> DataFrame:
     throughout when the best item has no points: then nothing is scored and
     the ranks alone order the fallback.
     """
-    order = [F.desc("points"), F.desc("n"), F.col("item_id")]
+    order = [strength().desc(), F.desc("n"), F.col("item_id")]
     ranked = head(totals.select("item_id", "points", "n"), order, limit)
     best = ranked.agg(F.max("points")).scalar()
     return ranked.withColumn("score", F.when(best > 0, ratio(F.col("points"), best)))
@@ -46,7 +46,7 @@ def item_groups(items: DataFrame, category_level: str) -> DataFrame:
 
 def group_top_items(totals: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     joined = totals.select("item_id", "points").join(groups, "item_id")
-    order = [F.desc("points"), F.col("item_id")]
+    order = [strength().desc(), F.col("item_id")]
     return top_n_shares(joined, ["grp"], order, n).select("grp", "item_id", "score", "rnk")
 
 
@@ -68,7 +68,7 @@ def location_top_items(transactions: DataFrame, cfg: HybridConfig) -> DataFrame:
         .groupBy("location", "item_id")
         .agg(total_points().alias("points"))
     )
-    order = [F.desc("points"), F.col("item_id")]
+    order = [strength().desc(), F.col("item_id")]
     return top_n_shares(scored, ["location"], order, cfg.max_location_items).select(
         "location", "item_id", "score", "rnk"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rebuy.config import EVENT_TYPES, HybridConfig
-from rebuy.functions.scoring import event_points, every, purchase_points, total_points, valid_item, within
+from rebuy.functions.scoring import event_points, every, purchase_points, strength, total_points, valid_item, within
 from rebuy.operators.customers import only_customers
 from rebuy.operators.topk import top_n_shares
 from rebuy.sources.tables import ShopTables
@@ -57,7 +57,7 @@ def user_history(pairs: DataFrame, max_user_items: int, customers: DataFrame | N
     """Best items per customer by points, then recency; scores relative to the best item."""
     if customers is not None:
         pairs = only_customers(pairs, customers)
-    order = [F.desc("points"), F.desc("last_date"), F.col("item_id")]
+    order = [strength().desc(), F.desc("last_date"), F.col("item_id")]
     return top_n_shares(pairs, ["customer_id"], order, max_user_items).select(
         "customer_id", "item_id", "score", "rnk"
     )

@@ -23,7 +23,7 @@ def top_n_shares(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     """First ``n`` rows per key by ``points``, with ``score`` = points / best points of the key."""
     window = Window.partitionBy(*keys).orderBy(*order)
     kept = top_n(df, keys, order, n)
-    return kept.withColumn("score", ratio(F.col("points"), F.first("points").over(window)))
+    return kept.withColumn("score", F.least(ratio(F.col("points"), F.first("points").over(window)), F.lit(1.0)))
 
 
 def head(df: DataFrame, order: Sequence[Column], n: int, rank: str = "rnk") -> DataFrame:

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuy.config import HybridConfig
-from rebuy.functions.scoring import SCALE, billionths, zero
-from rebuy.operators.copurchase import adjacency, copurchase_neighbors
+from rebuy.functions.scoring import SHARE, shares, zero
+from rebuy.operators.copurchase import adjacency, cached_neighbors
 from rebuy.operators.customers import target_customers, truth
 from rebuy.operators.metrics import ranking_metrics, segmented_metrics
 from rebuy.operators.popularity import (
@@ -87,8 +87,7 @@ def train(tables: ShopTables, cfg: HybridConfig, near: DataFrame | None = None)
     """
     baskets = None
     if cfg.copurchase_weight and near is None:
-        lookup = neighbor_lookup(tables, cfg)
-        baskets = in_background(tables.spark, lambda: materialize(lookup, "near"))
+        baskets = in_background(tables.spark, lambda: materialize(neighbor_lookup(tables, cfg), "near"))
     first = {"customer-items": customer_items(train_signals(tables, cfg))}
     groups = None
     if cfg.category_weight:
@@ -113,7 +112,8 @@ def train(tables: ShopTables, cfg: HybridConfig, near: DataFrame | None = None)
 
 
 def neighbor_lookup(tables: ShopTables, cfg: HybridConfig) -> DataFrame:
-    return adjacency(copurchase_neighbors(tables.transactions, cfg.cutoff, cfg.max_basket_items, cfg.max_neighbors))
+    """From the neighbour table of this source and cutoff, which is made only once."""
+    return adjacency(cached_neighbors(tables, cfg))
 
 
 # Kinds of evidence.
@@ -246,7 +246,7 @@ def collect_evidence(tables: ShopTables, cfg: HybridConfig, targets: DataFrame,
 
     def total(kind: int, name: str) -> Column:
         # At most max_seeds (or one) shares of at most 1 each: bigint is wide enough.
-        return (F.sum(F.when(F.col("kind") == kind, billionths(value))) / SCALE).alias(name)
+        return (F.sum(F.when(F.col("kind") == kind, shares(value))) / SHARE).alias(name)
 
     return rows.groupBy("customer_id", "item_id").agg(
         F.max(F.when(F.col("kind") == REPEAT, value)).alias("repeat"),
@@ -305,26 +305,26 @@ def rank_lists(evidence: DataFrame, popular: DataFrame, weights: Sequence[Weight
         "customer_id",
         "entry.item_id",
         (F.col("place") + 1).cast("bigint").alias("rnk"),
-        F.greatest(F.col("entry.score") / SCALE, F.lit(0.0)).alias("score"),
+        F.greatest(F.col("entry.score") / SHARE, F.lit(0.0)).alias("score"),
     )
 
 
 def _score(w: Weights) -> Column:
-    """Weighted evidence in billionths; null where no weighted stage offers the item."""
+    """Weighted evidence in SHARE units; null where no weighted stage offers the item."""
     offered = F.col("repeat").isNotNull()
     for part in ("copurchase", "category", "location"):
         if getattr(w, part):
             offered = offered | F.col(part).isNotNull()
     parts = ("repeat", "copurchase", "category", "location", "glob")
     terms = [F.lit(float(getattr(w, part))) * zero(part) for part in parts]
-    return F.when(offered, billionths(sum(terms[1:], terms[0])))
+    return F.when(offered, shares(sum(terms[1:], terms[0])))
 
 
 def _least_score(w: Weights) -> Column:
-    """What the k-th entry scores at least, in billionths; null where nothing is known."""
+    """What the k-th entry scores at least, in SHARE units; null where nothing is known."""
     if min(w.repeat, w.copurchase, w.category, w.location, w.glob) < 0:
         return F.lit(None).cast("bigint")
-    return billionths(F.lit(float(w.repeat)) * F.col("floor"))
+    return shares(F.lit(float(w.repeat)) * F.col("floor"))
 
 
 def _popular_entries(shared: DataFrame, weights: Sequence[Weights]) -> Column:
@@ -342,7 +342,7 @@ def _popular_entries(shared: DataFrame, weights: Sequence[Weights]) -> Column:
                 lambda item: F.when(
                     item["glob"].isNotNull(),
                     F.struct(
-                        billionths(F.lit(float(weight)) * item["glob"]).alias("score"),
+                        shares(F.lit(float(weight)) * item["glob"]).alias("score"),
                         item["glob"].alias("glob"),
                         item["item_id"].alias("item_id"),
                     ),

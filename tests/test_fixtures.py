@@ -12,6 +12,7 @@ from rebuy.config import HybridConfig, metadata_levels
 from rebuy.functions.scoring import SCALE
 from rebuy.operators import blending, ceiling, copurchase, customers, features, metrics, popularity, signals
 from rebuy.plans import hybrid
+from rebuy.sources import sinks
 from rebuy.sources.tables import shop_tables
 
 CUTOFF, END = "2025-12-01", "2026-01-01"
@@ -39,7 +40,7 @@ def tables(spark, tx=(), ev=(), items=()):
 
 
 def points(df) -> list:
-    return [(r["item_id"], r["signal"], None if r["points"] is None else round(r["points"] / SCALE, 6)) for r in df.collect()]
+    return [(r["item_id"], r["signal"], None if r["points"] is None else round(r["points"], 6)) for r in df.collect()]
 
 
 def test_signals(spark):
@@ -96,10 +97,51 @@ def test_neighbors(spark):
     ]
 
 
-def test_weight_unit_is_exact_for_small_baskets():
-    unit = copurchase.weight_unit(12)
-    assert all(unit % n == 0 for n in range(1, 12))
-    assert copurchase.weight_unit(200) == 10**9
+@pytest.mark.parametrize("size", [23, 24, 40])
+def test_basket_weights_do_not_depend_on_the_limit(spark, size):
+    tx = tx_rows(spark, [buy(1, f"Z{i:02d}", 1) for i in range(size)] + [buy(1, f"Z{i:02d}", 2) for i in range(4)])
+    found = copurchase.copurchase_neighbors(tx, CUTOFF, 40, 40).collect()
+    weights = {(r["item_id"], r["neighbor_id"]): r["weight"] for r in found}
+    assert weights["Z00", "Z01"] == pytest.approx(1 / (size - 1) + 1 / 3, abs=1e-15)
+    assert weights["Z00", "Z10"] == pytest.approx(1 / (size - 1), abs=1e-15)
+
+
+def test_dormant_customers_keep_their_order(spark):
+    """Scores are relative: what was bought years ago still counts in full if nothing is newer."""
+    old = [buy(1, "OLD", bill, when="2021-10-01") for bill in range(20)] + [buy(1, "ONCE", 50, when="2021-10-01")]
+    older = [buy(3, "ANCIENT", 60, when="2009-01-01")]
+    new = [buy(2, f"N{i}", 100 + i, when="2025-11-30") for i in range(12)]
+    shop = tables(spark, old + older + new, [], [])
+    cfg = HybridConfig(CUTOFF, END, include_events=False)
+    history = signals.user_history(signals.customer_items(signals.train_signals(shop, cfg)), 5).collect()
+    scores = {(r["customer_id"], r["item_id"]): r["score"] for r in history}
+    assert scores[1, "OLD"] == scores[3, "ANCIENT"] == 1.0
+    assert scores[1, "ONCE"] == pytest.approx(0.05)
+    recs = hybrid.recommend(shop, cfg, mode="predict").filter("rnk <= 2").collect()
+    ranks = {(r["customer_id"], r["rnk"]): r["item_id"] for r in recs}
+    assert ranks[1, 1] == "OLD" and ranks[3, 1] == "ANCIENT"
+
+
+def test_neighbours_of_nameless_shops_are_kept_apart(spark):
+    one = tables(spark, [buy(1, "A", 1), buy(1, "B", 1)], [], [])
+    two = tables(spark, [buy(1, "X", 1), buy(1, "Y", 1)], [], [])
+    cfg = HybridConfig(CUTOFF, END)
+    first, second = copurchase.cached_neighbors(one, cfg), copurchase.cached_neighbors(two, cfg)
+    assert {r["item_id"] for r in first.collect()} == {"A", "B"}
+    assert {r["item_id"] for r in second.collect()} == {"X", "Y"}
+
+
+def test_summary_replaces_what_runs_again(spark, tmp_path):
+    def rows(split, hits):
+        values = [split, "c", "2025-01-01", "2025-02-01", hits, *[0.5] * 7]
+        return spark.createDataFrame([tuple(values)], ", ".join(f"{n} {'string' if i < 4 else 'bigint' if i == 4 else 'double'}" for i, n in enumerate(sinks.SUMMARY_COLUMNS)))
+
+    path = str(tmp_path / "summary")
+    for split, hits in (("a", 1), ("b", 2), ("a", 3)):
+        sinks.write_summary(rows(split, hits), path)
+    found = sinks.read_summary(spark, path)
+    assert found.columns == sinks.SUMMARY_COLUMNS
+    assert sorted((r["split"], r["total_correct"]) for r in found.collect()) == [("a", 3), ("b", 2)]
 
 
 def _m3(spark):
@@ -111,10 +153,10 @@ def _m3(spark):
     grps = spark.createDataFrame([("A", ["brand:x"]), ("B", ["brand:x"])], "item_id string, grps array<string>")
     best = spark.createDataFrame([("brand:x", [("A", 1.0), ("E", 0.5)])], "grp string, best array<struct<item_id:string,score:double>>")
     popular = spark.createDataFrame([("D", 1, 1.0), ("A", 2, 0.6)], "item_id string, rnk int, score double")
-    totals = spark.createDataFrame([("A", 1, 1, 1), ("B", 1, 1, 1)], "item_id string, points bigint, n bigint, customers bigint")
+    totals = spark.createDataFrame([("A", 1.0, 1, 1), ("B", 1.0, 1, 1)], "item_id string, points double, n bigint, customers bigint")
     pairs = spark.createDataFrame(
-        [(1, "A", 10, at("2025-11-01"), 1), (1, "B", 5, at("2025-11-01"), 1)],
-        "customer_id bigint, item_id string, points decimal(28,0), last_date timestamp_ntz, n bigint".replace("decimal(28,0)", "bigint"),
+        [(1, "A", 10.0, at("2025-11-01"), 1), (1, "B", 5.0, at("2025-11-01"), 1)],
+        "customer_id bigint, item_id string, points double, last_date timestamp_ntz, n bigint",
     )
     training = hybrid.Training(pairs, totals, popular, near, grps, best)
     targets = spark.createDataFrame([(1,), (2,)], "customer_id bigint")

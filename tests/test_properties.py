@@ -228,6 +228,7 @@ def test_ranker_learns_and_repeats(ranked_data):
     again = ranker.train_ranker(ranked_data.train, params)
     assert collected(ranker.score_frame(model, ranked_data.evaluation)) == collected(ranker.score_frame(again, ranked_data.evaluation))
     gains = list(model.importance().values())
+    assert all(len(set(tree.values)) <= 7 for tree in model.trees)
     assert len(gains) == 29 and gains == sorted(gains, reverse=True) and gains[0] > 0
     top = ranker.predict_ranker(model, ranked_data.evaluation, 10)
     assert top.groupBy("customer_id").count().filter("count <> 10").count() == 0
@@ -240,6 +241,25 @@ def test_tuning_draws_are_seeded_and_first_wins():
     assert all(params.num_leaves in ranker.TUNING_GRID["num_leaves"] for _, params in first[1:])
 
 
+def test_pruning_keeps_the_strongest_splits():
+    def split(gain, start, end, *children):
+        return ranker._Split(0, gain, range(start, end), list(children))
+
+    root = split(9.0, 0, 5, split(1.0, 0, 2), split(5.0, 2, 5, split(4.0, 3, 5)))
+    assert ranker.prune(root, 5, 5)[0] == [0, 1, 2, 3, 4]
+    assert ranker.prune(root, 5, 4)[0] == [0, 0, 2, 3, 4]
+    assert ranker.prune(root, 5, 3)[0] == [0, 0, 2, 3, 3]
+    assert ranker.prune(root, 5, 1) == ([0] * 5, [])
+    assert [s.gain for s in ranker.prune(root, 5, 3)[1]] == [9.0, 5.0]
+
+
+def test_best_columns_match_a_full_sort():
+    rng = np.random.default_rng(1)
+    scores = rng.integers(0, 6, (40, 30)).astype(float)
+    for n in (1, 7, 30):
+        assert np.array_equal(latent.best_columns(scores, n), np.argsort(-scores, axis=1, kind="stable")[:, :n])
+
+
 def taste_pairs(spark):
     """Two camps of customers with disjoint tastes."""
     rng = random.Random(4)
@@ -294,6 +314,6 @@ def test_task_functions_need_no_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((ranker._gradient_batches, latent.sgd_epoch, latent.BprParams())))
+    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((ranker._gradient_batches, latent.block_rounds, latent.BprParams())))
     code = "from pyspark import cloudpickle; cloudpickle.loads(open('f.bin', 'rb').read())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
