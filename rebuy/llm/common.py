@@ -85,14 +85,22 @@ def worker_state(name: str, make: Callable[[], Any]) -> Any:
 
 
 class Memo(dict):
-    """A dict that computes missing entries and starts over beyond ``limit`` entries, which bounds its memory."""
+    """A dict that computes missing entries and holds ``limit`` of them at most.
+
+    When half of them are new, the other half is forgotten; entries that are
+    still in use are taken over.
+    """
 
     def __init__(self, compute: Callable[[Any], Any], limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.before = compute, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.limit // 2:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value

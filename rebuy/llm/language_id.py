@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ LONGEST_PIECE = 8
 LONGEST_WORD = 32  # longer words are cut
 UNKNOWN = 1e-7  # probability of a character that is in no piece
 SMOOTHING = 0.01
-WORDS_REMEMBERED = 400_000
+WORDS_REMEMBERED = 800_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -66,33 +67,47 @@ def _parts(word: str) -> list[str]:
     return [marked[k : k + LONGEST_WORD] for k in range(0, len(marked), LONGEST_WORD)]
 
 
+def beginnings(pieces: list[str]) -> dict[str, int]:
+    """Number of each piece, and -1 for a beginning of a piece that is none itself."""
+    out = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+    out.update((p, k) for k, p in enumerate(pieces))
+    return out
+
+
 def _lattice(part: str, known: dict[str, int]) -> list[list[tuple[int, int]]]:
     """For each end, the (start, piece) that can end there; piece -1 is a character in no piece."""
-    out = [[]]
-    for end in range(1, len(part) + 1):
-        here = [(k, known[part[k:end]]) for k in range(max(0, end - LONGEST_PIECE), end) if part[k:end] in known]
-        if not any(k == end - 1 for k, _ in here):
-            here.append((end - 1, -1))
-        out.append(here)
+    n = len(part)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for start in range(n):
+        piece = known.get(part[start], -1)
+        out[start + 1].append((start, piece))
+        for end in range(start + 2, n + 1):
+            piece = known.get(part[start:end])
+            if piece is None:
+                break  # no piece begins like this
+            if piece >= 0:
+                out[end].append((start, piece))
     return out
 
 
-def log_probability(word: str, known: dict[str, int], table: list[tuple[float, ...]]) -> tuple[float, ...]:
-    """Log of the word's summed probability in each language; ``table`` has a row for each piece and one more for unknown characters."""
-    total = [0.0] * len(table[-1])
-    languages = range(len(total))
+def log_probability(word: str, known: dict[str, int], tables: list[list[float]]) -> list[float]:
+    """Log of the word's summed probability in each language.
+
+    Each of ``tables`` has the probability of each piece and, last, that of an
+    unknown character.
+    """
+    total = [0.0] * len(tables)
     for part in _parts(word):
-        forward = [(1.0,) * len(total)]
-        for ends in _lattice(part, known)[1:]:
-            sums = [0.0] * len(total)
-            for start, piece in ends:
-                before, own = forward[start], table[piece]
-                for k in languages:
-                    sums[k] += before[k] * own[k]
-            forward.append(tuple(sums))
-        for k in languages:
-            total[k] += math.log(max(forward[-1][k], 1e-300))
-    return tuple(total)
+        lattice = _lattice(part, known)[1:]
+        for k, table in enumerate(tables):
+            forward = [1.0]
+            for ends in lattice:
+                here = 0.0
+                for start, piece in ends:
+                    here += forward[start] * table[piece]
+                forward.append(here)
+            total[k] += math.log(max(forward[-1], 1e-300))
+    return total
 
 
 def expected_counts(counts: dict[str, int], known: dict[str, int], probability: np.ndarray) -> np.ndarray:
@@ -114,9 +129,9 @@ def expected_counts(counts: dict[str, int], known: dict[str, int], probability:
     return out
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> tuple[list[str], dict[str, int], list[tuple[float, ...]]]:
-    """Languages, piece numbers and the table of piece probabilities."""
-    known = {p: k for k, p in enumerate(pieces)}
+def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> tuple[list[str], dict[str, int], list[list[float]]]:
+    """Languages, piece numbers and each language's piece probabilities."""
+    known = beginnings(pieces)
     columns = []
     for language in sorted(counts):
         probability = np.full(len(pieces) + 1, 1 / len(pieces))
@@ -124,8 +139,8 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> tuple[list[str]
         for _ in range(ROUNDS):
             used = expected_counts(counts[language], known, probability)[:-1] + SMOOTHING
             probability[:-1] = used / used.sum()
-        columns.append(probability)
-    return sorted(counts), known, [tuple(row) for row in np.array(columns).T.tolist()]
+        columns.append(probability.tolist())
+    return sorted(counts), known, columns
 
 
 def train(docs: DataFrame, usable: Column, vocabulary: str, lang_col: str = "lang", text_col: str = "text"):
@@ -160,11 +175,15 @@ def predict(spark: SparkSession, docs: DataFrame, model, text_col: str = "text",
     """The kept columns, lang_pred and score (the language's posterior probability with equal priors)."""
     languages = model[0]
     sent = spark.sparkContext.broadcast(model)  # bounded by the vocabulary and the number of languages
-    name = f"word-languages:{zlib.crc32(repr((languages, model[2][:200])).encode())}"
+    name = f"word-languages:{zlib.crc32(np.array(model[2]).tobytes())}"
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, known, table = sent.value
-        memo = worker_state(name, lambda: Memo(lambda word: log_probability(word, known, table), WORDS_REMEMBERED))
+        _, known, tables = sent.value
+
+        def logs(word: str) -> bytes:
+            return array("d", log_probability(word, known, tables)).tobytes()
+
+        memo = worker_state(name, lambda: Memo(logs, WORDS_REMEMBERED))
         for batch in batches:
             best, scores = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
@@ -175,7 +194,8 @@ def predict(spark: SparkSession, docs: DataFrame, model, text_col: str = "text",
                     continue
                 total = np.zeros(len(languages))
                 for at in range(0, len(found), 4096):
-                    total += np.array([memo[w] for w in found[at : at + 4096]]).sum(axis=0)
+                    logs_of = b"".join(map(memo.__getitem__, found[at : at + 4096]))
+                    total += np.frombuffer(logs_of).reshape(-1, len(languages)).sum(axis=0)
                 k = int(total.argmax())
                 best.append(languages[k])
                 scores.append(float(1 / np.exp(total - total[k]).sum()))
