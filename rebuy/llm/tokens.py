@@ -17,7 +17,7 @@ REMEMBERED = 500_000  # stretches and words kept by each worker; about 100 MB ea
 LONGEST_REMEMBERED = 48  # characters
 
 _PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")  # ASCII letters, then punctuation without an apostrophe
-_PROBE = "Some words, l'été <|endoftext|>x\nand 12 of it's; O.K. naïve"
+_PROBE = "Some words, l'été <|endoftext|>x\nand 12 of it's; O.K. naïve TAR\u0130H\u0130, VERG\u0130. \u09b9\u09df, \u0958. abc\ufb2a, été."
 
 
 class Encoder:
@@ -27,6 +27,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.words = Memo(self._word, REMEMBERED)
         self.stretches = Memo(self._stretch, REMEMBERED)
+        self.letters = Memo(self._ends_in_letter, REMEMBERED)
         if self.ids(_PROBE) != self._full(_PROBE):
             raise ValueError(f"the tokens of {path} cross white space")
 
@@ -37,11 +38,16 @@ class Encoder:
         """Ids of lower-case ASCII letters, or of ASCII punctuation: one pre-token, no normalisation to do."""
         return array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
 
+    def _ends_in_letter(self, char: str) -> bool:
+        """Whether a mark after ``char`` is a pre-token of its own; normalised, some letters end in a combining mark."""
+        text = self.library.normalizer.normalize_str(char + ".")
+        return char.isalpha() and self.library.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "."
+
     def _stretch(self, text: str) -> bytes:
         if plain := _PLAIN.fullmatch(text):
             letters, marks = plain.groups()
             return self.words[letters.lower()] + (self.words[marks] if marks else b"")
-        if text[-1:] in (".", ",") and text[-2:-1].isalpha() and "<|" not in text:
+        if text[-1:] in (".", ",") and len(text) > 1 and self.letters[text[-2]] and "<|" not in text:
             return self.stretches[text[:-1]] + self.words[text[-1]]
         return self._full(text) if text else b""
 

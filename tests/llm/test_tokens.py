@@ -36,6 +36,18 @@ def test_ids_are_those_of_whole_texts(library, encoder, text):
     assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["TAR\u0130H\u0130,", "VERG\u0130.", "\u09b9\u09df,", "\u0958.", "abc\ufb2a,", "in \u0130, x", "été.", "한글, ABC."])
+def test_ids_where_normalised_letters_end_in_marks(library, encoder, text):
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_every_letter_before_a_mark(library, encoder):
+    for first in range(0, 0x30000, 256):
+        stretches = ["a" + chr(k) + mark for k in range(first, first + 256) if chr(k).isalpha() for mark in ".,"]
+        expected = [i for e in library.encode_batch(stretches, add_special_tokens=False) for i in e.ids]
+        assert np.frombuffer(encoder.ids(" ".join(stretches)), "<u4").tolist() == expected
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**64 - 1)), max_size=700))
 def test_simple8b_round_trip(values):
