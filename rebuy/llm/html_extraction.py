@@ -145,7 +145,8 @@ def threshold(values: list[float]) -> float:
         low, high = new
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, separator: str = "\n") -> str:
+    """The page's blocks of main text in page order, joined by ``separator``."""
     if not html:
         return ""
     parser = Lines()
@@ -167,7 +168,7 @@ def main_text(html: str | None) -> str:
         if not regions and any(mass.values()):
             regions = {max(mass, key=lambda c: (mass[c], -c))}  # an article of short lines only
         if regions:
-            return "\n".join(text for text, _, container in lines if text and container in regions)
+            return separator.join(text for text, _, container in lines if text and container in regions)
     # No container: chosen lines, and up to GAP others between two of them.
     shown = [k for k, (text, _, _) in enumerate(lines) if text]
     place = {k: n for n, k in enumerate(shown)}
@@ -175,15 +176,15 @@ def main_text(html: str | None) -> str:
     for a, b in zip(chosen, chosen[1:]):
         if place[b] - place[a] <= GAP + 1:
             kept.update(shown[place[a] : place[b]])
-    return "\n".join(lines[k][0] for k in sorted(kept))
+    return separator.join(lines[k][0] for k in sorted(kept))
 
 
-def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The kept columns and the page's main text in ``text``."""
+def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), separator: str = "\n") -> DataFrame:
+    """The kept columns and the page's main text in ``text``, its blocks joined by ``separator``."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [main_text(h, separator) for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
     rows = df.select(*keep, F.col(html_col).alias("__html"))

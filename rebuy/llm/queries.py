@@ -27,7 +27,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_extraction.extract(table(spark, sf_dir, "pages"))
+    found = html_extraction.extract(table(spark, sf_dir, "pages"), separator="\n\n")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from rebuy.llm import html_extraction as H
+from rebuy.llm.queries import op2_html_extraction
 from tests.llm.helpers import awkward
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
@@ -70,3 +71,14 @@ def test_threshold_splits_two_clusters():
     assert 2 < cut < 50
     assert H.threshold([3.0, 3.0]) < 3.0
     assert H.smoothed([5.0] * 7) == pytest.approx([5.0] * 7)
+
+
+def test_query_joins_blocks_by_two_line_ends(spark, tmp_path):
+    page = f"<nav><a>Home</a></nav><article><h1>Title</h1><p>{'One two three. ' * 9}</p><p>{'Four five six. ' * 9}</p></article>"
+    story = "".join(f"<p>Paragraph {k} has words enough to stand out from the menu and from the links around it.</p>" for k in range(3))
+    rows = [(1, "u", page), (2, "v", f"<div>{'<a>one</a> ' * 8}</div>{story}")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in op2_html_extraction(spark, str(tmp_path)).collect()}
+    assert got[1].text == "\n\n".join(["Title", " ".join(["One two three."] * 9), " ".join(["Four five six."] * 9)])
+    assert got[2].text.count("\n\n") == 2 and got[2].text.count("\n") == 4
+    assert all(r.n_chars == len(r.text) for r in got.values())
