@@ -10,7 +10,10 @@ between them. Short lines of a selected region belong to it.
 
 Elements that never hold article text count as tags without text: navigation, page headers,
 footers, asides, forms, scripts, styles, and blocks whose class, id or role says menu, advert,
-notice, comment and the like.
+notice, comment and the like. Names such as has-sidebar, no-comments or tag-advertising say nothing
+of the kind. As layout wrappers and forms around a whole page bear such names too, an article or
+main within one counts as a container again, an article only if it is as long as the page's main
+text without such articles; but never one within comments, related items or adverts, or named so.
 
 Defined cases: a null, empty or markup-free page without blocks of text gives "" or its text as
 one block; unclosed and stray tags are tolerated; an unfinished tag at the end is dropped. Rows
@@ -47,23 +50,42 @@ HINTS = frozenset(
     "related replies reply respond responses share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets "
     "complementary contentinfo search".split()
 )
+FOREIGN = frozenset(  # other texts than the page's own, also as articles
+    "ad ads adv advert adverts advertisement advertising comment comments disqus promo promoted related replies reply respond "
+    "response responses sponsor sponsored".split()
+)
+# A name that begins or ends like these tells what the page has or is about.
+ABOUT = frozenset("no has have with without hide category cat tag topic type format status".split())
+STATES = frozenset("open closed enabled disabled allowed off on free count".split())
+LAYOUT, NEVER = 1, 2  # why an element is skipped; a container within the first may count
 SIGMA = 1.0
 GAP = 2
 
 
+def hints(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words of the class, id and role that name the element itself."""
+    out: set[str] = set()
+    for name in " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().split():
+        parts = [w for w in re.split("[_-]+", name) if w]
+        if parts and (len(parts) == 1 or (parts[0] not in ABOUT and parts[-1] not in STATES)):
+            out.update(parts)
+    return out
+
+
 class Lines(HTMLParser):
     """Collects (text, tags, container) lines of a page; container -1 stands for none."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, skipped from here on, container
+        self.open: list[tuple[str, int, int]] = []  # tag, skipped from here on (0, LAYOUT, NEVER), container
         self.text: list[str] = []
         self.tags = 0
         self.containers = 0
+        self.wrapped: set[int] = set()  # containers that are articles in a skipped layout
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, -1)
+    def _state(self) -> tuple[int, int]:
+        return (self.open[-1][1], self.open[-1][2]) if self.open else (0, -1)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -97,11 +119,19 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         skipped, container = self._state()
-        if not skipped and tag not in ("html", "body"):
-            named = re.split(r"[\s_-]+", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower())
-            skipped = tag in SKIPPED or (tag == "header" and container < 0) or (tag not in CONTAINERS and not HINTS.isdisjoint(named))
-        if tag in CONTAINERS and container < 0 and not skipped:
-            container, self.containers = self.containers, self.containers + 1
+        if skipped < NEVER and tag not in ("html", "body"):
+            named = hints(attrs)
+            if tag in CONTAINERS:
+                if not FOREIGN.isdisjoint(named):
+                    skipped = NEVER
+                elif skipped or container < 0:
+                    if skipped and tag == "article":
+                        self.wrapped.add(self.containers)
+                    skipped, container, self.containers = 0, self.containers, self.containers + 1
+            elif not FOREIGN.isdisjoint(named) or (tag in SKIPPED and tag != "form"):
+                skipped = NEVER
+            elif tag == "form" or (tag == "header" and container < 0) or not HINTS.isdisjoint(named):
+                skipped = LAYOUT
         self.open.append((tag, skipped, container))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -145,22 +175,15 @@ def threshold(values: list[float]) -> float:
         low, high = new
 
 
-def main_text(html: str | None, separator: str = "\n") -> str:
-    """The page's blocks of main text in page order, joined by ``separator``."""
-    if not html:
-        return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+def blocks(lines: list[tuple[str, int, int]], containers: bool) -> list[str]:
+    """The texts of the selected lines."""
     if not any(text for text, _, _ in lines):
-        return ""
+        return []
     values = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
     cut = threshold(values)
     chosen = [k for k, (text, _, _) in enumerate(lines) if text and values[k] > cut]
     regions = {lines[k][2] for k in chosen} - {-1}
-    if parser.containers:
+    if containers:
         mass: dict[int, int] = {}
         for text, _, container in lines:
             if container >= 0:
@@ -168,7 +191,7 @@ def main_text(html: str | None, separator: str = "\n") -> str:
         if not regions and any(mass.values()):
             regions = {max(mass, key=lambda c: (mass[c], -c))}  # an article of short lines only
         if regions:
-            return separator.join(text for text, _, container in lines if text and container in regions)
+            return [text for text, _, container in lines if text and container in regions]
     # No container: chosen lines, and up to GAP others between two of them.
     shown = [k for k, (text, _, _) in enumerate(lines) if text]
     place = {k: n for n, k in enumerate(shown)}
@@ -176,7 +199,27 @@ def main_text(html: str | None, separator: str = "\n") -> str:
     for a, b in zip(chosen, chosen[1:]):
         if place[b] - place[a] <= GAP + 1:
             kept.update(shown[place[a] : place[b]])
-    return separator.join(lines[k][0] for k in sorted(kept))
+    return [lines[k][0] for k in sorted(kept)]
+
+
+def main_text(html: str | None, separator: str = "\n") -> str:
+    """The page's blocks of main text in page order, joined by ``separator``."""
+    if not html:
+        return ""
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    lines = parser.lines
+    if parser.wrapped:
+        sizes: dict[int, int] = {}
+        for text, _, container in lines:
+            sizes[container] = sizes.get(container, 0) + len(text)
+        others = [("", tags, -1) if container in parser.wrapped else (text, tags, container) for text, tags, container in lines]
+        without = blocks(others, parser.containers > len(parser.wrapped))
+        if max(sizes.get(c, 0) for c in parser.wrapped) < sum(map(len, without)):
+            return separator.join(without)
+    return separator.join(blocks(lines, parser.containers > 0))
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), separator: str = "\n") -> DataFrame:

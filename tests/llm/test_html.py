@@ -82,3 +82,31 @@ def test_query_joins_blocks_by_two_line_ends(spark, tmp_path):
     assert got[1].text == "\n\n".join(["Title", " ".join(["One two three."] * 9), " ".join(["Four five six."] * 9)])
     assert got[2].text.count("\n\n") == 2 and got[2].text.count("\n") == 4
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+STORY = [f"Paragraph {k} has words enough to stand out from the menu and from the links around it." for k in range(4)]
+BODY = "".join(f"<p>{p}</p>" for p in STORY)
+CARDS = "".join(f"<article class='card'><p>Another story {k}, of some interest to readers.</p></article>" for k in range(20))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content-sidebar-wrap'><main>{BODY}</main></div>",
+        f"<div class='content-sidebar-wrap'><article>{BODY}</article><div class='sidebar'>Other things to read, at length.</div></div>",
+        f"<div class='has-sidebar'><article>{BODY}</article></div>",
+        f"<div id='page' class='footer-widgets no-comments'><nav><a>Home</a></nav><div><main>{BODY}</main></div></div>",
+        f"<form><input name='state'><div>{'<a>one</a> ' * 8}</div><article>{BODY}</article></form>",
+        f"<main><div class='content-sidebar-wrap'><article>{BODY}</article></div></main>",
+        f"<div class='menu'><a>unclosed</a><article>{BODY}</article>",
+        f"<article class='post tag-advertising category-related comments-open'>{BODY}</article>",
+        f"<article>{BODY}</article><article class='comment'>{BODY.replace('Paragraph', 'Remark')}</article>",
+        f"<article>{BODY}<article id='comment-7'>{BODY.replace('Paragraph', 'Remark')}</article></article>",
+        f"<article>{BODY}</article><div class='related'>{CARDS}</div><div id='comments'>{CARDS}</div><div class='ad'>{CARDS}</div>",
+        f"<article>{BODY}</article><div class='sidebar'>{CARDS}</div>",
+        f"<div>{BODY}</div><div class='sidebar'>{CARDS}</div>",
+        f"<div class='has-sidebar'>{BODY}</div>",
+    ],
+)
+def test_layout_wrappers_and_foreign_articles(page):
+    assert H.main_text(f"<html><body class='has-sidebar'>{page}</body></html>").split("\n") == STORY
