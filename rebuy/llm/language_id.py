@@ -7,7 +7,7 @@ probabilities are fitted by expectation-maximisation, where the expected piece c
 forward-backward pass over the same sums.
 
 Parameters that bound the fit: the ``WORDS`` most frequent words of each language in
-``DOCUMENTS`` documents of that language. Scoring reads every text whole; a worker remembers the
+``DOCUMENTS`` different texts of that language, each taken once. Scoring reads every text whole; a worker remembers the
 probabilities of words it has seen.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter. Languages are the
@@ -144,15 +144,14 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> tuple[list[str]
 
 
 def train(docs: DataFrame, usable: Column, vocabulary: str, lang_col: str = "lang", text_col: str = "text"):
-    """Fit on about ``DOCUMENTS`` documents of each language at most, chosen by a hash of their text."""
-    rows = docs.filter(usable).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
-    if not sizes:
-        return fit({}, vocabulary_pieces(vocabulary))
-    share = F.lit(0)
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], F.lit(int(min(1.0, DOCUMENTS / row["n"]) * (1 << 30)))).otherwise(share)
-    sampled = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share)
+    """Fit on ``DOCUMENTS`` different texts of each language at most, those of the smallest hashes."""
+    rows = docs.filter(usable).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.filter("lang is not null and text is not null").withColumn("digest", F.xxhash64("text"))
+    least = Window.partitionBy("lang").orderBy("digest")  # cut to DOCUMENTS in each task before the exchange
+    different = rows.select("lang", "digest").distinct().withColumn("rank", F.row_number().over(least))
+    last = different.filter(F.col("rank") <= DOCUMENTS).groupBy("lang").agg(F.max("digest").alias("last"))
+    chosen = rows.join(F.broadcast(last), "lang").filter("digest <= last")  # one row per language
+    sampled = chosen.groupBy("lang", "digest").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -132,6 +132,27 @@ def test_language_of_awkward_texts(spark):
     assert unknown == {(60, 0.0), (61, 0.0), (62, 0.0), (63, 0.0), (None, 0.0)}
 
 
+def test_languages_of_few_copied_texts_are_learned(spark):
+    """1,000 rows of two texts in each of 12 languages, and a hot text that is one of 30."""
+    letters = "abcdefghijkl"
+    rows = [(f"l{k}", f"{c}{c}x {c}o{c} " * 20 + f"{c}{i % 2}") for k, c in enumerate(letters) for i in range(1000)]
+    rows += [("hot", "zuz vuv " * 20)] * 3000 + [("hot", f"ziz {'y' * (1 + k)} yiy") for k in range(29)]
+    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id bigint, lang string, text string")
+    seen: dict[str, dict[str, int]] = {}
+
+    def fit(counts, pieces, true=language_id.fit):
+        seen.update(counts)
+        return true(counts, pieces)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_id, "fit", fit)
+        model = language_id.train(docs, F.lit(True), language_id.default_vocabulary())
+    assert model[0] == sorted({lang for lang, _ in rows})
+    assert seen["hot"]["zuz"] == 20 and seen["hot"]["yiy"] == 29  # each text once
+    found = language_id.predict(spark, docs, model, keep=("doc_id", "lang"))
+    assert found.filter("lang != lang_pred").count() == 0
+
+
 def test_language_without_anything_to_learn(spark):
     docs = docs_table(spark, [(1, "some words"), (2, None)]).withColumn("lang", F.lit(None).cast("string"))
     model = language_id.train(docs, F.lit(True), language_id.default_vocabulary())
