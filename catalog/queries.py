@@ -487,7 +487,8 @@ def rolling_subset(spark, folder):
 
 
 WINDOWS = ranker.RankerWindows(S.TRAIN_CUTOFF, S.TRAIN_END, S.CUTOFF, S.VALID_END, seed=S.SEED)
-RANKER = ranker.RankerParams(num_boost_round=5, num_leaves=15, min_data_in_leaf=20, learning_rate=0.1)
+RANKER = ranker.RankerParams()
+TRIALS = 6  # as in the reference's tuned run
 
 
 def _ranker_data(spark, folder):
@@ -511,8 +512,7 @@ def ranker_importance(spark, folder):
 @query
 def ranker_tuning(spark, folder):
     _, data = _ranker_data(spark, folder)
-    grid = ranker.TUNING_GRID | {"num_boost_round": [2, 3], "num_leaves": [7, 15]}
-    trials, _ = ranker.tune(data.train, data.evaluation, data.eval_truth, 10, ranker.tuning_trials(RANKER, 1, grid))
+    trials, _ = ranker.tune(data.train, data.evaluation, data.eval_truth, 10, ranker.tuning_trials(RANKER, TRIALS))
     return tidy(ranker.trial_rows(spark, trials))
 
 

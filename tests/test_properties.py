@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from catalog import settings as S
+from catalog import queries, settings as S
 from rebuy.config import production_config
 from rebuy.operators import copurchase, customers, features, interactions
 from rebuy.operators.skew import heaviest, spread_join
@@ -221,6 +222,28 @@ def pair_accuracy(scores, frame) -> float:
     return right / total
 
 
+@pytest.mark.parametrize("name", ["ranker_recs", "ranker_importance", "ranker_vs_hybrid", "ranker_tuning"])
+def test_ranker_queries_use_full_settings(monkeypatch, name):
+    class Used(Exception):
+        pass
+
+    def train(data, params):
+        raise Used([params])
+
+    def tune(train, tuning, bought, k, trials):
+        raise Used([params for _, params in trials])
+
+    monkeypatch.setattr(queries, "_ranker_data", lambda spark, folder: (None, SimpleNamespace(train=None, evaluation=None, eval_truth=None)))
+    monkeypatch.setattr(ranker, "train_ranker", train)
+    monkeypatch.setattr(ranker, "tune", tune)
+    with pytest.raises(Used) as used:
+        queries.QUERIES[name](None, "")
+    first, *rest = used.value.args[0]
+    assert first == ranker.RankerParams() and len(set(rest)) == len(rest)
+    assert all(getattr(params, key) in choices for params in rest for key, choices in ranker.TUNING_GRID.items())
+    assert len(rest) > 1 if name == "ranker_tuning" else not rest
+
+
 def test_ranker_learns_and_repeats(ranked_data):
     params = ranker.RankerParams(num_boost_round=6, num_leaves=7, min_data_in_leaf=5, learning_rate=0.2)
     model = ranker.train_ranker(ranked_data.train, params)
