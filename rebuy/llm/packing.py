@@ -40,7 +40,6 @@ GROUPS = 64
 # What counts as large (longer than capacity / n), and the share of a sequence that configurations
 # leave free for small pieces (capacity / n, 0 for none). The plan with the fewest sequences wins.
 SETTINGS = ((3, 8), (2, 0), (4, 8), (8, 0))
-TRIAL_PIECES = 100_000  # histograms are scaled to about this many pieces to compare settings
 SALTS = 64
 ROUNDS = 4000  # of column generation; a bound against cycling
 
@@ -221,24 +220,38 @@ def plan_large(histogram: list[tuple[int, int]], capacity: int, setting: tuple[i
     return out, rest, base
 
 
+def room_left(stretches: list[tuple], base: int, capacity: int) -> list[tuple[int, int]]:
+    """(free room, sequences) of the first ``base`` sequences, from where the stretches' fill changes."""
+    changes: dict[tuple[int, int], dict[int, int]] = {}
+    for length, a, b, place, first, bins in stretches:
+        change = changes.setdefault((first, bins), defaultdict(int))
+        whole, more = divmod(b - a, bins)
+        begin, end = place % bins, place % bins + more
+        change[0] += whole * length + (length if end > bins else 0)
+        change[begin] += length if more else 0
+        change[end % bins if end > bins else end] -= length if more else 0
+    out: dict[int, int] = defaultdict(int)
+    out[capacity] = base - sum(bins for _, bins in changes)
+    for (_, bins), change in changes.items():
+        places, used = sorted({*change, bins}), 0
+        for at, following in zip(places, places[1:]):
+            used += change.get(at, 0)
+            out[capacity - used] += following - at
+    return [(free, n) for free, n in sorted(out.items()) if n]
+
+
 def sequences_needed(histogram: list[tuple[int, int]], capacity: int, setting: tuple[int, int], groups: int) -> int:
-    """How many sequences a setting takes, by carrying out its plan on lengths alone."""
+    """How many sequences a setting takes, by carrying out its plan on the histogram."""
     stretches, rest, base = plan_large(histogram, capacity, setting, groups)
-    used = np.zeros(base, np.int64)
-    for length, a, b, place, first, bins in stretches:
-        used[first : first + bins] += np.bincount((place + np.arange(b - a)) % bins, minlength=bins) * length
-    free, times = np.unique(capacity - used, return_counts=True)
-    small, _ = plan_rest(rest, list(zip(free.tolist(), times.tolist())), capacity)
+    small, _ = plan_rest(rest, room_left(stretches, base, capacity), capacity)
     return max([base, *(s[4] + s[5] for s in small)])
 
 
 def choose_setting(histogram: list[tuple[int, int]], capacity: int, groups: int = GROUPS) -> tuple[int, int]:
-    scale = max(1.0, sum(n for _, n in histogram) / TRIAL_PIECES)
-    scaled = [(length, max(1, round(n / scale))) for length, n in histogram]
-    least = -(-sum(length * n for length, n in scaled) // capacity)
+    least = -(-sum(length * n for length, n in histogram) // capacity)
     best = None
     for setting in SETTINGS:
-        need = sequences_needed(scaled, capacity, setting, groups)
+        need = sequences_needed(histogram, capacity, setting, groups)
         if best is None or need < best[0]:
             best = (need, setting)
         if need == least:

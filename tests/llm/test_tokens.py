@@ -155,3 +155,29 @@ def test_equal_groups():
     assert packing.equal_groups(histogram, 3) == [(9, 4), (7, 4), (5, 4)]
     assert packing.equal_groups(histogram, 100) == [(9, 1)] * 3 + [(7, 1)] * 4 + [(5, 1)] * 5
     assert packing.equal_groups([], 3) == []
+
+
+def test_settings_are_compared_on_the_true_histogram(monkeypatch):
+    histogram = [(length, 4_000_000 if length in (40, 90) else 1 + length % 3) for length in range(256, 0, -1)]
+    seen = []
+
+    def needed(lengths, *rest, true=packing.sequences_needed):
+        seen.append((lengths, rest[1], true(lengths, *rest)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(packing, "sequences_needed", needed)
+    chosen = packing.choose_setting(histogram, 256)
+    assert seen and all(lengths == histogram for lengths, _, _ in seen)
+    assert min(seen, key=lambda s: s[2])[1] == chosen
+
+
+@pytest.mark.parametrize("setting", packing.SETTINGS)
+def test_room_left_is_that_of_each_sequence(setting):
+    rng = random.Random(5)
+    histogram = [(length, rng.randint(1, 300)) for length in range(256, 0, -1) if rng.random() < 0.5]
+    stretches, _, base = packing.plan_large(histogram, 256, setting)
+    used = np.zeros(base, np.int64)
+    for length, a, b, place, first, bins in stretches:
+        for k in range(b - a):
+            used[first + (place + k) % bins] += length
+    assert packing.room_left(stretches, base, 256) == sorted(Counter((256 - used).tolist()).items())
