@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rebuy.llm import decontamination, exact_dedup, html_extraction, language_id, near_join, packing, quality, sharding, simple8b, tokens, toxicity
+from rebuy.llm import (
+    decontamination,
+    exact_dedup,
+    html_extraction,
+    language_id,
+    lexical_search,
+    near_join,
+    packing,
+    quality,
+    sharding,
+    simple8b,
+    spelling,
+    tokens,
+    toxicity,
+    warc,
+)
 from rebuy.llm.common import crc32_bucket, scratch_path, table
 from rebuy.session import materialize
 
@@ -96,6 +111,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write_archives(pages, path)
+    found = warc.read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), modulus=199)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -107,4 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_crf": op8_toxicity_crf,
     "op9_token_binary": op9_token_binary,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_warc": op11_warc,
+    "op12_spelling": op12_spelling,
+    "op13_lexical_search": op13_lexical_search,
 }

@@ -24,8 +24,8 @@ def test_query_equals_sql(spark, name):
     assert difference(spark, sql_connection(FOLDER), name, FOLDER) is None
 
 
-def test_ten_operators():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
