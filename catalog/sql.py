@@ -129,7 +129,8 @@ def build() -> dict[str, str]:
         """SELECT 'all' AS segment, * FROM cust UNION ALL
         SELECT CASE WHEN customer_id IN (SELECT customer_id FROM signals) THEN 'seen' ELSE 'cold' END, * FROM cust""",
     )
-    by_segment = f"SELECT segment, {O.metric_select(10)} FROM cust_seg GROUP BY segment"
+    every = "(VALUES ('all'), ('seen'), ('cold')) AS segments(segment)"
+    by_segment = f"SELECT segment, {O.metric_select(10)} FROM {every} LEFT JOIN cust_seg USING (segment) GROUP BY segment"
     out["metrics_by_segment"] = q.select(by_segment)
     out["metrics_sink"] = q.select(
         f"""SELECT segment, users_evaluated, total_correct, map_at_k, '{P.cutoff}' AS cutoff,
