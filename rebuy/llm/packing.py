@@ -50,11 +50,11 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: s
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, end, step = encoder(vocabulary).ids, np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode, end, step = encoder(vocabulary).texts, np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             source, piece, start, data = [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode_text(text) + end
+            for row, ids in enumerate(encode(batch.column(1))):
+                ids += end
                 for number, at in enumerate(range(0, len(ids), step)):
                     source.append(row)
                     piece.append(number)

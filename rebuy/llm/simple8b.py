@@ -10,8 +10,8 @@ A *page* is one row of a Parquet table and holds whole documents, at least ``PAG
 it is the last of its part; parts follow each other in ascending document order. Spark's own writer
 commits the pages, so any store that Spark writes to will do, and a lost task leaves nothing behind.
 
-Defined cases: a null or empty text gives just the end id. Rows with a null id come first; rows
-that repeat an id are ordered by text. An empty table gives an empty table of pages.
+Defined cases: a null or empty text gives just the end id. Rows with a null id come first; rows that repeat
+an id are ordered by a hash of the text. An empty table gives an empty table of pages.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def write_token_files(
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, part, end = encoder(vocabulary).ids, TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        encode_texts, part, end = encoder(vocabulary).texts, TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         names = ["part", "page", "first", "n_ids", "doc_ids", "ends", "words", "firsts", "escapes"]
         state = {"page": 0, "first": 0}
 
@@ -149,9 +149,9 @@ def write_token_files(
         ids, texts, held, id_arrow = [], [], 0, None
         for batch in batches:
             id_arrow = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, data in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1))):
                 ids.append(doc_id)
-                texts.append(encode_text(text) + end)
+                texts.append(data + end)
                 held += len(texts[-1]) // 4
                 if held >= PAGE_IDS:
                     yield page(ids, texts, id_arrow)

@@ -1,8 +1,11 @@
 """Token ids of whole texts with a public vocabulary of the ``tokenizers`` library.
 
 The vocabulary drops white space and never lets a token cross it, so a text's ids are the ids of
-its stretches between spaces and line ends, joined. Each Python worker keeps the ids of stretches
-it has seen (a bounded number), so the library encodes a stretch once and not at each occurrence.
+its stretches between spaces and line ends, joined. A batch of texts is split by Arrow, equal
+stretches are found by dictionary coding, only different ones are encoded, and the ids of all
+occurrences are gathered with array operations. Of a stretch of Latin letters and marks, the
+letters are one word for the vocabulary's model; each Python worker keeps the ids of words it has seen (a bounded
+number). Everything else goes through the whole library.
 ``Encoder`` refuses a vocabulary for which this does not hold on a probe text.
 """
 
@@ -10,14 +13,22 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from rebuy.llm.common import Memo, worker_state
 
-REMEMBERED = 500_000  # stretches and words kept by each worker; about 100 MB each
+REMEMBERED = 500_000  # words kept by each worker; about 100 MB
 LONGEST_REMEMBERED = 48  # characters
+CHUNK_BYTES = 32 << 20  # of text that is split at once, unless a single text is longer
 
-_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")  # ASCII letters, then punctuation without an apostrophe
-_PROBE = "Some words, l'été <|endoftext|>x\nand 12 of it's; O.K. naïve TAR\u0130H\u0130, VERG\u0130. \u09b9\u09df, \u0958. abc\ufb2a, été."
+# Letters of ASCII and Latin-1, then ASCII punctuation without an apostrophe.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_LATIN = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+_PROBE = "Some words, l'été <|endoftext|>x\nand 12 of it's; O.K. naïve TARİHİ, VERGİ. হয়, क़. abcשׁ, été." + "., ".join(_LATIN)
 
 
 class Encoder:
@@ -26,8 +37,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.words = Memo(self._word, REMEMBERED)
-        self.stretches = Memo(self._stretch, REMEMBERED)
+        self.others = Memo(self._other, REMEMBERED // 4)
         self.letters = Memo(self._ends_in_letter, REMEMBERED)
+        # How the vocabulary writes the bytes of a letter.
+        self.spelt = str.maketrans({c: self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN})
         if self.ids(_PROBE) != self._full(_PROBE):
             raise ValueError(f"the tokens of {path} cross white space")
 
@@ -35,31 +48,71 @@ class Encoder:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Ids of lower-case ASCII letters, or of ASCII punctuation: one pre-token, no normalisation to do."""
-        return array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
+        """Ids of lower-case Latin letters, or of ASCII punctuation: one pre-token, no normalisation to do."""
+        spelt = word if word.isascii() else word.translate(self.spelt)
+        return array("I", [t.id for t in self.library.model.tokenize(spelt)]).tobytes()
 
     def _ends_in_letter(self, char: str) -> bool:
         """Whether a mark after ``char`` is a pre-token of its own; normalised, some letters end in a combining mark."""
         text = self.library.normalizer.normalize_str(char + ".")
         return char.isalpha() and self.library.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "."
 
-    def _stretch(self, text: str) -> bytes:
-        if plain := _PLAIN.fullmatch(text):
-            letters, marks = plain.groups()
-            return self.words[letters.lower()] + (self.words[marks] if marks else b"")
+    def _other(self, text: str) -> bytes:
         if text[-1:] in (".", ",") and len(text) > 1 and self.letters[text[-2]] and "<|" not in text:
-            return self.stretches[text[:-1]] + self.words[text[-1]]
+            return self.stretch(text[:-1]) + self.words[text[-1]]
         return self._full(text) if text else b""
 
+    def stretch(self, text: str) -> bytes:
+        """The ids of a text without spaces and line ends."""
+        if len(text) > LONGEST_REMEMBERED:
+            return self._full(text)
+        if plain := _PLAIN.fullmatch(text):
+            letters, marks = plain.groups()
+            return self.words[letters.lower()] + self.words[marks] if marks else self.words[letters.lower()]
+        return self.others[text]
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For consecutive chunks of the texts: where each text's ids end, and the ids.
+
+        A null or empty text has none.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(np.asarray(pc.binary_length(texts)))
+        at = 0
+        while at < len(texts):
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, side="right")))
+            yield self._chunk(texts.slice(at, end - at))
+            at = end
+
+    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # Special tokens are read before letters are lower-cased; without them the order does not matter.
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = pc.list_flatten(parts).dictionary_encode()
+        word, stretch = self.words.get, self.stretch
+        known = [word(s) or stretch(s) for s in found.dictionary.to_pylist()]
+        sizes = np.fromiter((len(k) // 4 for k in known), np.int64, len(known))
+        table = np.frombuffer(b"".join(known), "<u4")
+        which = np.asarray(found.indices)
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        starts = (np.cumsum(sizes) - sizes)[which]
+        ids = table[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum(np.asarray(pc.list_value_length(parts)))
+        return np.concatenate(([0], ends))[last], ids
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        for ends, ids in self.batches(texts):
+            data, start = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
+            for end in ends.tolist():
+                yield bytes(data[4 * start : 4 * end])
+                start = end
+
     def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; a null or empty text has none."""
-        if not text:
-            return b""
-        parts = text.replace("\n", " ").split(" ")
-        stretches = self.stretches
-        if max(map(len, parts)) > LONGEST_REMEMBERED:
-            return b"".join([stretches[p] if len(p) <= LONGEST_REMEMBERED else self._full(p) for p in parts])
-        return b"".join(map(stretches.__getitem__, parts))
+        return next(self.texts(pa.array([text], pa.string())))
 
 
 def encoder(path: str) -> Encoder:
