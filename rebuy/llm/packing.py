@@ -9,8 +9,9 @@
    decreasing length to the fullest sequence that still has room.
 
 Rounding wastes the room between a piece and its group's size unless small pieces fill it, so how
-long a large piece is, and how much room configurations leave, is decided by planning each of
-``SETTINGS`` on the histogram of lengths; the plan that needs the fewest sequences is carried out.
+long a large piece is, how much room configurations leave, and how many of the configurations of several
+pieces are used is decided by planning each of ``SETTINGS`` on the histogram of lengths. The plan that
+needs the fewest sequences is carried out; of equally good ones the first, which uses most configurations.
 
 The driver sees histograms only: of piece lengths and of free room, ``capacity`` entries at most.
 It answers with stretches of positions ("pieces of length 700 at positions 10 to 90 of the order
@@ -25,6 +26,7 @@ an empty result.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,9 +39,11 @@ from rebuy.llm.tokens import encoder
 from rebuy.session import materialize
 
 GROUPS = 64
-# What counts as large (longer than capacity / n), and the share of a sequence that configurations
-# leave free for small pieces (capacity / n, 0 for none). The plan with the fewest sequences wins.
-SETTINGS = ((3, 8), (2, 0), (4, 8), (8, 0))
+# What counts as large (longer than capacity / n), the share of a sequence that configurations leave free for small
+# pieces (capacity / n, 0 for none), and the share of the configurations of several pieces that is used; pieces of
+# the others are left to best fit. The plan with the fewest sequences wins, the first of these if there are several.
+SHARES = (0.8, 0.65, 0.5, 0.4, 0.3, 0.2, 0.1)
+SETTINGS = ((4, 8, 1.0), (8, 0, 1.0), (3, 8, 1.0), *((3, 8, share) for share in SHARES), (2, 0, 1.0))
 SALTS = 64
 ROUNDS = 4000  # of column generation; a bound against cycling
 
@@ -114,7 +118,8 @@ def _best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) ->
     return float(best[capacity]), counts
 
 
-def configurations(groups: list[tuple[int, int]], capacity: int) -> list[tuple[int, dict[int, int]]]:
+@functools.lru_cache(maxsize=8)
+def configurations(groups: tuple[tuple[int, int], ...], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """(sequences, {group: pieces in each}) from the linear relaxation, numbers of sequences rounded down."""
     if not groups:
         return []
@@ -174,7 +179,7 @@ class Stretches:
 Plan = tuple[list[tuple], Stretches, int]
 
 
-def plan_large(histogram: list[tuple[int, int]], capacity: int, setting: tuple[int, int], groups: int = GROUPS) -> Plan:
+def plan_large(histogram: list[tuple[int, int]], capacity: int, setting: tuple[int, int, float], groups: int = GROUPS) -> Plan:
     """Stretches of the order for full and large pieces: (length, from, to, first place, base, sequences).
 
     The piece at position p takes place ``first + p - from``, and goes to
@@ -196,7 +201,11 @@ def plan_large(histogram: list[tuple[int, int]], capacity: int, setting: tuple[i
         nexts.append(at)
         at += n
     assigned: list[tuple[int, int]] = []
-    for times, content in configurations(cut, usable):
+    for times, content in configurations(tuple(cut), usable):
+        if sum(content.values()) > 1:
+            times = int(times * setting[2])
+        if not times:
+            continue
         for g, m in content.items():
             begin, end = nexts[g], nexts[g] + times * m
             nexts[g] = end
@@ -240,14 +249,14 @@ def room_left(stretches: list[tuple], base: int, capacity: int) -> list[tuple[in
     return [(free, n) for free, n in sorted(out.items()) if n]
 
 
-def sequences_needed(histogram: list[tuple[int, int]], capacity: int, setting: tuple[int, int], groups: int) -> int:
+def sequences_needed(histogram: list[tuple[int, int]], capacity: int, setting: tuple[int, int, float], groups: int) -> int:
     """How many sequences a setting takes, by carrying out its plan on the histogram."""
     stretches, rest, base = plan_large(histogram, capacity, setting, groups)
     small, _ = plan_rest(rest, room_left(stretches, base, capacity), capacity)
     return max([base, *(s[4] + s[5] for s in small)])
 
 
-def choose_setting(histogram: list[tuple[int, int]], capacity: int, groups: int = GROUPS) -> tuple[int, int]:
+def choose_setting(histogram: list[tuple[int, int]], capacity: int, groups: int = GROUPS) -> tuple[int, int, float]:
     least = -(-sum(length * n for length, n in histogram) // capacity)
     best = None
     for setting in SETTINGS:
@@ -259,6 +268,16 @@ def choose_setting(histogram: list[tuple[int, int]], capacity: int, groups: int
     return best[1]
 
 
+def configured_share(histogram: list[tuple[int, int]], capacity: int, setting: tuple[int, int, float], groups: int = GROUPS) -> float:
+    """The share of sequences that begin as a configuration of two or more large pieces."""
+    stretches, _, _ = plan_large(histogram, capacity, setting, groups)
+    pieces: dict[tuple[int, int], int] = defaultdict(int)
+    for _, a, b, _, first, bins in stretches:
+        pieces[(first, bins)] += b - a
+    several = sum(bins for (_, bins), n in pieces.items() if n >= 2 * bins)
+    return several / max(1, sequences_needed(histogram, capacity, setting, groups))
+
+
 def plan_rest(rest: Stretches, room: list[tuple[int, int]], capacity: int) -> tuple[list[tuple], dict[int, int]]:
     """Best fit by decreasing length, for whole classes of equal sequences at a time.
 

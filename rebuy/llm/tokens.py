@@ -23,7 +23,7 @@ from rebuy.llm.common import Memo, worker_state
 
 REMEMBERED = 500_000  # words kept by each worker; about 100 MB
 LONGEST_REMEMBERED = 48  # characters
-CHUNK_BYTES = 32 << 20  # of text that is split at once, unless a single text is longer
+CHUNK_BYTES = 8 << 20  # of text that is split at once, unless a single text is longer
 
 # Letters of ASCII and Latin-1, then ASCII punctuation without an apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -98,10 +98,10 @@ class Encoder:
         which = np.asarray(found.indices)
         lengths = sizes[which]
         ends = np.cumsum(lengths)
-        starts = (np.cumsum(sizes) - sizes)[which]
-        ids = table[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - lengths), lengths)
+        at += np.arange(len(at))
         last = np.cumsum(np.asarray(pc.list_value_length(parts)))
-        return np.concatenate(([0], ends))[last], ids
+        return np.concatenate(([0], ends))[last], table[at]
 
     def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

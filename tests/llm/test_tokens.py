@@ -171,6 +171,18 @@ def test_settings_are_compared_on_the_true_histogram(monkeypatch):
     assert min(seen, key=lambda s: s[2])[1] == chosen
 
 
+def test_configurations_of_several_pieces_carry_a_share():
+    """Without costing a sequence, on lengths of which best fit alone already reaches the least number."""
+    rng = random.Random(6)
+    lengths = Counter(min(255, int(rng.lognormvariate(4.2, 0.9)) + 1) for _ in range(20_000))
+    histogram = sorted(lengths.items(), reverse=True)
+    chosen = packing.choose_setting(histogram, 256)
+    alone = packing.sequences_needed(histogram, 256, (2, 0, 1.0), packing.GROUPS)
+    assert packing.sequences_needed(histogram, 256, chosen, packing.GROUPS) <= alone
+    assert packing.configured_share(histogram, 256, chosen) > 0.02
+    assert packing.configured_share(histogram, 256, (2, 0, 1.0)) == 0
+
+
 @pytest.mark.parametrize("setting", packing.SETTINGS)
 def test_room_left_is_that_of_each_sequence(setting):
     rng = random.Random(5)
