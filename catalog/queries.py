@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from catalog import settings as S
-from rebuy.operators import blending, ceiling, copurchase, customers, features, interactions, metrics, popularity, signals
+from rebuy.operators import blending, boosting, ceiling, copurchase, customers, features, interactions, metrics, popularity, signals
 from rebuy.plans import experiments, hybrid, latent, ranker
 from rebuy.session import shared_dir
 from rebuy.sources import sinks, tables as readers
@@ -496,31 +496,49 @@ def _ranker_data(spark, folder):
     return t, ranker.ranker_data(t, WINDOWS, CANDIDATES)
 
 
+def _trained(data):
+    return ranker.train_ranker(data.train, RANKER, data.key)
+
+
 @query
 def ranker_recs(spark, folder):
     _, data = _ranker_data(spark, folder)
-    return tidy(ranker.predict_ranker(ranker.train_ranker(data.train, RANKER), data.evaluation, 10))
+    return tidy(ranker.predict_ranker(_trained(data), data.evaluation, 10))
 
 
 @query
 def ranker_importance(spark, folder):
     _, data = _ranker_data(spark, folder)
-    gains = ranker.train_ranker(data.train, RANKER).importance()
-    return tidy(spark.createDataFrame(list(gains.items()), "feature string, gain double"))
+    return tidy(_trained(data).importance())
 
 
 @query
 def ranker_tuning(spark, folder):
     _, data = _ranker_data(spark, folder)
-    trials, _ = ranker.tune(data.train, data.evaluation, data.eval_truth, 10, ranker.tuning_trials(RANKER, TRIALS))
-    return tidy(ranker.trial_rows(spark, trials))
+    return tidy(ranker.trial_rows(spark, _tuned(data)[0]))
+
+
+@query
+def ranker_report(spark, folder):
+    t, data = _ranker_data(spark, folder)
+    trials, model = _tuned(data)
+    return tidy(ranker.ranker_report(t, WINDOWS, data, trials, model, 10, S.EVENT_START))
+
+
+@query
+def ranker_first_gradients(spark, folder):
+    _, data = _ranker_data(spark, folder)
+    return tidy(boosting.gradient_table(data.train.withColumn("score", F.lit(0.0))).drop("score"))
+
+
+def _tuned(data):
+    return ranker.tune(data.train, data.evaluation, data.eval_truth, 10, ranker.tuning_trials(RANKER, TRIALS), data.key)
 
 
 @query
 def ranker_vs_hybrid(spark, folder):
     t, data = _ranker_data(spark, folder)
-    model = ranker.train_ranker(data.train, RANKER)
-    return tidy(ranker.compare_with_hybrid(t, WINDOWS, data, model, 10, S.EVENT_START))
+    return tidy(ranker.compare_with_hybrid(t, WINDOWS, data, _trained(data), 10, S.EVENT_START))
 
 
 def _latent_inputs(spark, folder):

@@ -217,6 +217,29 @@ def build() -> dict[str, str]:
         """SELECT customer_id, item_id, CAST(label AS BIGINT) AS label FROM frame
         WHERE customer_id IN (SELECT customer_id FROM frame GROUP BY 1 HAVING sum(label) > 0)"""
     )
+    q.add(
+        "placed",
+        """SELECT customer_id, item_id, label, 1 / log2(1 + row_number() OVER (PARTITION BY customer_id ORDER BY item_id)) AS discount
+        FROM frame WHERE customer_id IN (SELECT customer_id FROM frame GROUP BY 1 HAVING sum(label) > 0)""",
+    )
+    q.add(
+        "ideal",
+        """SELECT customer_id, sum(1 / log2(1 + place)) AS ideal
+        FROM (SELECT customer_id, row_number() OVER (PARTITION BY customer_id) AS place FROM placed WHERE label = 1) GROUP BY 1""",
+    )
+    q.add(
+        "swaps",
+        """SELECT customer_id, a.item_id AS high, b.item_id AS low, abs(a.discount - b.discount) / ideal AS swap
+        FROM placed a JOIN placed b USING (customer_id) JOIN ideal USING (customer_id) WHERE a.label = 1 AND b.label = 0""",
+    )
+    # At equal scores each pair pulls with 1/2 and bends with 1/4.
+    out["ranker_first_gradients"] = q.select(
+        """SELECT customer_id, item_id, CAST(label AS BIGINT) AS label, round(coalesce(sum(pull), 0), 6) AS gradient,
+          round(coalesce(sum(abs(pull)) / 2, 0), 6) AS curvature
+        FROM placed LEFT JOIN (SELECT customer_id, high AS item_id, swap / 2 AS pull FROM swaps
+                               UNION ALL SELECT customer_id, low, -swap / 2 FROM swaps) USING (customer_id, item_id)
+        GROUP BY customer_id, item_id, label"""
+    )
 
     # latent factors and blends
     q = start("sku")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from rebuy.config import HybridConfig
 from rebuy.functions.scoring import before, strength
 from rebuy.operators.topk import top_n, top_n_shares
-from rebuy.session import materialize, shared_dir
+from rebuy.session import kept
 from rebuy.sources.tables import ShopTables
 
 
@@ -66,22 +62,6 @@ def cached_neighbors(tables: ShopTables, cfg: HybridConfig, folder: str | None =
     are read, so no table that somebody reads is ever overwritten. Tables
     without a source key are not shared.
     """
-    spark = tables.spark
     fresh = copurchase_neighbors(tables.transactions, cfg.cutoff, cfg.max_basket_items, cfg.max_neighbors)
-    if not tables.source_key:
-        return materialize(fresh, "neighbors")
-    key = f"{tables.source_key}|{cfg.cutoff}|{cfg.max_basket_items}|{cfg.max_neighbors}"
-    name = "neighbors-" + hashlib.sha256(key.encode()).hexdigest()[:32]
-    path = os.path.join(folder or os.path.join(shared_dir(spark), "rebuy"), name)
-    found = _finished(spark, path)
-    if found is None:
-        found = os.path.join(path, uuid.uuid4().hex)
-        fresh.write.parquet(found)
-    return spark.read.schema(fresh.schema).parquet(found)
-
-
-def _finished(spark, path: str) -> str | None:
-    """A finished table below ``path``."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "*", "_SUCCESS"))
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return min((marker.getPath().getParent().toString() for marker in found or ()), default=None)
+    key = f"{tables.source_key}|{cfg.cutoff}|{cfg.max_basket_items}|{cfg.max_neighbors}" if tables.source_key else ""
+    return kept(tables.spark, "neighbors", key, lambda: fresh, folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -86,3 +87,42 @@ def in_background(spark: SparkSession, work: Callable[[], T]) -> Future[T]:
     job = pool.submit(inheritable_thread_target(spark)(work))
     pool.shutdown(wait=False)
     return job
+
+
+def source_version(spark: SparkSession, *paths: str) -> str:
+    """A name for what the paths hold now: it changes when files are added, replaced or removed."""
+    parts = []
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        content = store.getContentSummary(path)
+        parts.append(f"{name}@{store.getFileStatus(path).getModificationTime()}/{content.getLength()}/{content.getFileCount()}")
+    return "|".join(parts)
+
+
+def finished_folder(spark: SparkSession, path: str) -> str | None:
+    """A finished table below ``path``."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "*", "_SUCCESS"))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return min((marker.getPath().getParent().toString() for marker in found or ()), default=None)
+
+
+def kept_folder(spark: SparkSession, kind: str, key: str, folder: str | None = None) -> str:
+    return os.path.join(folder or os.path.join(shared_dir(spark), "rebuy"), f"{kind}-{hashlib.sha256(key.encode()).hexdigest()[:32]}")
+
+
+def kept(spark: SparkSession, kind: str, key: str, make: Callable[[], DataFrame], folder: str | None = None) -> DataFrame:
+    """The table of this kind and key in the shared folder (or ``folder``); it is made and written if it is not there.
+
+    Each writer uses a new folder below the key's, and only finished folders are read, so
+    no table that somebody reads is ever overwritten. An empty key stands for nothing in
+    particular: such tables are not shared.
+    """
+    if not key:
+        return materialize(make(), kind)
+    path = kept_folder(spark, kind, key, folder)
+    found = finished_folder(spark, path)
+    if found is None:
+        found = os.path.join(path, uuid.uuid4().hex)
+        make().write.parquet(found)
+    return spark.read.parquet(found)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rebuy.session import settle
+from rebuy.session import settle, source_version
 
 _TIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -83,7 +83,7 @@ def read_shop_tables(spark: SparkSession, transactions: str, events: str, items:
         spark.read.parquet(transactions),
         spark.read.parquet(events),
         spark.read.parquet(items),
-        source_key=transactions,
+        source_key=source_version(spark, transactions, events, items),
     )
 
 

@@ -4,21 +4,17 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
-from types import SimpleNamespace
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from catalog import queries, settings as S
 from rebuy.config import production_config
-from rebuy.operators import copurchase, customers, features, interactions
+from rebuy.operators import boosting, copurchase, customers, features, interactions
 from rebuy.operators.skew import heaviest, spread_join
-from rebuy.plans import experiments, hybrid, latent, ranker
+from rebuy.plans import experiments, hybrid, latent
 from rebuy.session import shared_dir
 from rebuy.sources import sinks
-from rebuy.sources.star_schema import star_tables
 from rebuy.sources.tables import conform, read_targets, shop_tables
 from tests.test_fixtures import EV, ITEMS, TX
 
@@ -191,91 +187,6 @@ def test_shared_dir_is_the_configured_one(spark):
 # --- learned models ----------------------------------------------------------------------------------
 
 
-def test_gradients_favour_positives_and_batches_do_not_matter():
-    rng = np.random.default_rng(3)
-    owner = np.repeat(np.arange(40), rng.integers(1, 30, 40))
-    label, score = (rng.random(len(owner)) < 0.2).astype(np.int32), rng.normal(size=len(owner))
-    table = pa.table({"customer_id": owner, "label": label, "score": score})
-    results = []
-    for size in (7, 64, 10_000):
-        out = pa.Table.from_batches(list(ranker._gradient_batches(iter(table.to_batches(max_chunksize=size)))))
-        results.append(out.to_pydict())
-    assert results[0] == results[1] == results[2]
-    gradient = np.array(results[0]["gradient"])
-    assert np.all(gradient[label == 1] >= 0) and np.all(gradient[label == 0] <= 0)
-    assert abs(gradient.sum()) < 1e-9 and np.all(np.array(results[0]["curvature"]) >= 0)
-
-
-@pytest.fixture(scope="module")
-def ranked_data(spark):
-    t = star_tables(spark, "/root/testdata/sf0.001", S.CUTOFF, "style")
-    windows = ranker.RankerWindows(S.TRAIN_CUTOFF, S.TRAIN_END, S.CUTOFF, S.VALID_END)
-    return ranker.ranker_data(t, windows, features.CandidateConfig(event_start=S.EVENT_START))
-
-
-def pair_accuracy(scores, frame) -> float:
-    rows = frame.select("customer_id", "item_id", "label").join(scores, ["customer_id", "item_id"]).toPandas()
-    right = total = 0.0
-    for _, group in rows.groupby("customer_id"):
-        gap = group.loc[group.label == 1, "score"].to_numpy()[:, None] - group.loc[group.label == 0, "score"].to_numpy()[None, :]
-        right, total = right + (gap > 0).sum() + 0.5 * (gap == 0).sum(), total + gap.size
-    return right / total
-
-
-@pytest.mark.parametrize("name", ["ranker_recs", "ranker_importance", "ranker_vs_hybrid", "ranker_tuning"])
-def test_ranker_queries_use_full_settings(monkeypatch, name):
-    class Used(Exception):
-        pass
-
-    def train(data, params):
-        raise Used([params])
-
-    def tune(train, tuning, bought, k, trials):
-        raise Used([params for _, params in trials])
-
-    monkeypatch.setattr(queries, "_ranker_data", lambda spark, folder: (None, SimpleNamespace(train=None, evaluation=None, eval_truth=None)))
-    monkeypatch.setattr(ranker, "train_ranker", train)
-    monkeypatch.setattr(ranker, "tune", tune)
-    with pytest.raises(Used) as used:
-        queries.QUERIES[name](None, "")
-    first, *rest = used.value.args[0]
-    assert first == ranker.RankerParams() and len(set(rest)) == len(rest)
-    assert all(getattr(params, key) in choices for params in rest for key, choices in ranker.TUNING_GRID.items())
-    assert len(rest) > 1 if name == "ranker_tuning" else not rest
-
-
-def test_ranker_learns_and_repeats(ranked_data):
-    params = ranker.RankerParams(num_boost_round=6, num_leaves=7, min_data_in_leaf=5, learning_rate=0.2)
-    model = ranker.train_ranker(ranked_data.train, params)
-    assert pair_accuracy(ranker.score_frame(model, ranked_data.train), ranked_data.train) > 0.6
-    again = ranker.train_ranker(ranked_data.train, params)
-    assert collected(ranker.score_frame(model, ranked_data.evaluation)) == collected(ranker.score_frame(again, ranked_data.evaluation))
-    gains = list(model.importance().values())
-    assert all(len(set(tree.values)) <= 7 for tree in model.trees)
-    assert len(gains) == 29 and gains == sorted(gains, reverse=True) and gains[0] > 0
-    top = ranker.predict_ranker(model, ranked_data.evaluation, 10)
-    assert top.groupBy("customer_id").count().filter("count <> 10").count() == 0
-
-
-def test_tuning_draws_are_seeded_and_first_wins():
-    first = ranker.tuning_trials(ranker.RankerParams(), 3)
-    assert first == ranker.tuning_trials(ranker.RankerParams(), 3)
-    assert first[0] == ("default", ranker.RankerParams())
-    assert all(params.num_leaves in ranker.TUNING_GRID["num_leaves"] for _, params in first[1:])
-
-
-def test_pruning_keeps_the_strongest_splits():
-    def split(gain, start, end, *children):
-        return ranker._Split(0, gain, range(start, end), list(children))
-
-    root = split(9.0, 0, 5, split(1.0, 0, 2), split(5.0, 2, 5, split(4.0, 3, 5)))
-    assert ranker.prune(root, 5, 5)[0] == [0, 1, 2, 3, 4]
-    assert ranker.prune(root, 5, 4)[0] == [0, 0, 2, 3, 4]
-    assert ranker.prune(root, 5, 3)[0] == [0, 0, 2, 3, 3]
-    assert ranker.prune(root, 5, 1) == ([0] * 5, [])
-    assert [s.gain for s in ranker.prune(root, 5, 3)[1]] == [9.0, 5.0]
-
-
 def test_best_columns_match_a_full_sort():
     rng = np.random.default_rng(1)
     scores = rng.integers(0, 6, (40, 30)).astype(float)
@@ -337,6 +248,6 @@ def test_task_functions_need_no_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((ranker._gradient_batches, latent.block_rounds, latent.BprParams())))
+    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((boosting.lambda_gradients, boosting._finish({}, []), latent.block_rounds, latent.BprParams())))
     code = "from pyspark import cloudpickle; cloudpickle.loads(open('f.bin', 'rb').read())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
