@@ -6,9 +6,11 @@ pass along the word adds them up. A text's log probability is the sum over its w
 probabilities are fitted by expectation-maximisation, where the expected piece counts come from a
 forward-backward pass over the same sums.
 
-Parameters that bound the fit: the ``WORDS`` most frequent words of each language in
-``DOCUMENTS`` different texts of that language, each taken once. Scoring reads every text whole; a worker remembers the
-probabilities of words it has seen.
+The fit reads ``DOCUMENTS`` different texts of each language at most, each taken once and whole, with
+all their words; its rounds are Spark aggregations over the counted words. Scoring reads every
+text whole, every word whole and every segmentation; a worker remembers the probabilities of words it has seen.
+
+A word is a letter with the letters and combining marks that follow it (Unicode categories L and M).
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter. Languages are the
 values of the language column that may be learned from; without any, every text is ``und``.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
@@ -26,20 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rebuy.llm.common import Memo, worker_state
+from rebuy.llm.common import Memo, partitions_of, worker_state
+from rebuy.session import materialize
 
 DOCUMENTS = 400
-WORDS = 8000
 ROUNDS = 3
-LONGEST_PIECE = 8
-LONGEST_WORD = 32  # longer words are cut
 UNKNOWN = 1e-7  # probability of a character that is in no piece
 SMOOTHING = 0.01
 WORDS_REMEMBERED = 800_000
+LONGEST_REMEMBERED = 64  # characters
+LINEAR = 30  # characters; the sums of longer words are kept as logarithms, as they would vanish
 
-_WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile("[a-zªµºß-öø-ÿ]+")  # the lower-case letters up to U+00FF
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -49,7 +54,7 @@ def vocabulary_pieces(path: str) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
     bare = ((p, p.removeprefix("▁")) for p in pieces)
-    return sorted({p for p, b in bare if p == "▁" or (b.isalpha() and b == b.lower() and len(p) <= LONGEST_PIECE)})
+    return sorted({p for p, b in bare if p == "▁" or (b and b == b.lower() and all(unicodedata.category(c)[0] in "LM" for c in b))})
 
 
 def default_vocabulary() -> str:
@@ -59,12 +64,14 @@ def default_vocabulary() -> str:
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
-def _parts(word: str) -> list[str]:
-    marked = "▁" + word
-    return [marked[k : k + LONGEST_WORD] for k in range(0, len(marked), LONGEST_WORD)]
+    if not text:
+        return []
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    return _LATIN.findall(text)
 
 
 def beginnings(pieces: list[str]) -> dict[str, int]:
@@ -90,66 +97,119 @@ def _lattice(part: str, known: dict[str, int]) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
+
+
 def log_probability(word: str, known: dict[str, int], tables: list[list[float]]) -> list[float]:
     """Log of the word's summed probability in each language.
 
     Each of ``tables`` has the probability of each piece and, last, that of an
     unknown character.
     """
-    total = [0.0] * len(tables)
-    for part in _parts(word):
-        lattice = _lattice(part, known)[1:]
-        for k, table in enumerate(tables):
+    lattice = _lattice("▁" + word, known)[1:]
+    total = []
+    for table in tables:
+        if len(word) < LINEAR:
             forward = [1.0]
             for ends in lattice:
                 here = 0.0
                 for start, piece in ends:
                     here += forward[start] * table[piece]
                 forward.append(here)
-            total[k] += math.log(max(forward[-1], 1e-300))
+            total.append(math.log(forward[-1]))
+        else:
+            logs = [0.0]
+            for ends in lattice:
+                logs.append(_log_sum([logs[start] + math.log(table[piece]) for start, piece in ends]))
+            total.append(logs[-1])
     return total
 
 
 def expected_counts(counts: dict[str, int], known: dict[str, int], probability: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the counted words."""
-    out, table = np.zeros(len(probability)), probability.tolist()
+    out, table, logs = np.zeros(len(probability)), probability.tolist(), np.log(probability).tolist()
     for word, n in counts.items():
-        for part in _parts(word):
-            lattice = _lattice(part, known)
+        part = "▁" + word
+        lattice = _lattice(part, known)
+        if len(word) < LINEAR:
             forward, backward = [1.0] + [0.0] * len(part), [0.0] * len(part) + [1.0]
             for end in range(1, len(part) + 1):
                 forward[end] = sum(forward[start] * table[piece] for start, piece in lattice[end])
-            if forward[-1] <= 0:
-                continue
             for end in range(len(part), 0, -1):
                 for start, piece in lattice[end]:
                     used = table[piece] * backward[end]
                     backward[start] += used
                     out[piece] += n * forward[start] * used / forward[-1]
+            continue
+        ahead: list[list[tuple[int, int]]] = [[] for _ in range(len(part))]
+        for end, starts in enumerate(lattice):
+            for start, piece in starts:
+                ahead[start].append((end, piece))
+        before, after = [0.0], [0.0] * (len(part) + 1)
+        for ends in lattice[1:]:
+            before.append(_log_sum([before[start] + logs[piece] for start, piece in ends]))
+        for start in range(len(part) - 1, -1, -1):
+            after[start] = _log_sum([logs[piece] + after[end] for end, piece in ahead[start]])
+            for end, piece in ahead[start]:
+                out[piece] += n * math.exp(before[start] + logs[piece] + after[end] - before[-1])
     return out
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> tuple[list[str], dict[str, int], list[list[float]]]:
-    """Languages, piece numbers and each language's piece probabilities."""
-    known = beginnings(pieces)
-    columns = []
-    for language in sorted(counts):
-        probability = np.full(len(pieces) + 1, 1 / len(pieces))
-        probability[-1] = UNKNOWN
-        for _ in range(ROUNDS):
-            used = expected_counts(counts[language], known, probability)[:-1] + SMOOTHING
-            probability[:-1] = used / used.sum()
-        columns.append(probability.tolist())
-    return sorted(counts), known, columns
+def first_probability(pieces: int) -> np.ndarray:
+    return np.append(np.full(pieces, 1 / pieces), UNKNOWN)
+
+
+def next_probability(used: np.ndarray) -> np.ndarray:
+    """Probabilities from expected uses; the last entry is that of an unknown character."""
+    counted = used[:-1] + SMOOTHING
+    return np.append(counted / counted.sum(), UNKNOWN)
+
+
+def fit(counts: DataFrame, pieces: list[str]) -> tuple[list[str], dict[str, int], list[list[float]]]:
+    """Languages, piece numbers and each language's piece probabilities, from a stored table of lang, word and n."""
+    spark, known = counts.sparkSession, beginnings(pieces)
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    tables = {language: first_probability(len(pieces)) for language in languages}
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((known, tables))  # bounded by the vocabulary and the number of languages
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, tables = sent.value
+            totals: dict[str, np.ndarray] = {}
+            for batch in batches:
+                mine: dict[str, dict[str, int]] = {}
+                for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                    mine.setdefault(lang, {})[word] = n
+                for lang, found in mine.items():
+                    totals[lang] = totals.get(lang, 0.0) + expected_counts(found, known, tables[lang])
+            for lang, used in totals.items():
+                at = np.flatnonzero(used[:-1])
+                columns = [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(used[at])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "piece", "used"])
+
+        used = {language: np.zeros(len(pieces) + 1) for language in languages}
+        parts = counts.mapInArrow(expect, "lang string, piece int, used double")
+        # Added up in a fixed order, so that a model does not depend on the order of tasks.
+        sums = parts.groupBy("lang", "piece").agg(F.array_sort(F.collect_list("used")).alias("parts"))
+        for row in sums.select("lang", "piece", F.aggregate("parts", F.lit(0.0), lambda a, b: a + b).alias("used")).collect():
+            used[row["lang"]][row["piece"]] = row["used"]
+        tables = {language: next_probability(used[language]) for language in languages}
+    return languages, known, [tables[language].tolist() for language in languages]
 
 
 def train(docs: DataFrame, usable: Column, vocabulary: str, lang_col: str = "lang", text_col: str = "text"):
     """Fit on ``DOCUMENTS`` different texts of each language at most, those of the smallest hashes."""
     rows = docs.filter(usable).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter("lang is not null and text is not null").withColumn("digest", F.xxhash64("text"))
-    least = Window.partitionBy("lang").orderBy("digest")  # cut to DOCUMENTS in each task before the exchange
-    different = rows.select("lang", "digest").distinct().withColumn("rank", F.row_number().over(least))
-    last = different.filter(F.col("rank") <= DOCUMENTS).groupBy("lang").agg(F.max("digest").alias("last"))
+    different = rows.select("lang", "digest").distinct()
+    # Of uniform hashes the share below ``share`` holds more than DOCUMENTS but for a chance of 1e-50 or so; only these are ranked.
+    sizes = different.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * DOCUMENTS + 100) / F.count("*")).alias("share"))
+    low = different.join(F.broadcast(sizes), "lang").filter(F.col("digest") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    least = Window.partitionBy("lang").orderBy("digest")
+    ranked = low.withColumn("rank", F.row_number().over(least))
+    last = ranked.filter(F.col("rank") <= DOCUMENTS).groupBy("lang").agg(F.max("digest").alias("last"))
     chosen = rows.join(F.broadcast(last), "lang").filter("digest <= last")  # one row per language
     sampled = chosen.groupBy("lang", "digest").agg(F.min("text").alias("text")).select("lang", "text")
 
@@ -162,11 +222,7 @@ def train(docs: DataFrame, usable: Column, vocabulary: str, lang_col: str = "lan
             )
 
     totals = sampled.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # words of a bounded sample
-    top = totals.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= WORDS)
-    counts: dict[str, dict[str, int]] = {}
-    for row in top.orderBy("lang", "rank").collect():
-        counts.setdefault(row["lang"], {})[row["word"]] = row["n"]
+    counts = materialize(totals.repartition(partitions_of(docs.sparkSession), "lang", "word"), "language-words")
     return fit(counts, vocabulary_pieces(vocabulary))
 
 
@@ -193,7 +249,7 @@ def predict(spark: SparkSession, docs: DataFrame, model, text_col: str = "text",
                     continue
                 total = np.zeros(len(languages))
                 for at in range(0, len(found), 4096):
-                    logs_of = b"".join(map(memo.__getitem__, found[at : at + 4096]))
+                    logs_of = b"".join([memo[w] if len(w) <= LONGEST_REMEMBERED else logs(w) for w in found[at : at + 4096]])
                     total += np.frombuffer(logs_of).reshape(-1, len(languages)).sum(axis=0)
                 k = int(total.argmax())
                 best.append(languages[k])

@@ -10,9 +10,9 @@ token's marginal; a document's score is a logistic function of its greatest marg
 expected number of toxic tokens, fitted to the document labels. Tokens with a marginal of 0.5 or
 more are the offending spans.
 
-Parameters that bound the fit: ``SAMPLE`` documents of each label (weighted by how many there are),
-``SENTENCES`` sentences.
-Scoring reads every text whole; only runs of more than 64 tokens without a sentence end are cut.
+Parameters that bound the fit: ``SAMPLE`` documents of each label (weighted by how many there are) of
+at most ``FIT_CHARS`` code points, ``SENTENCES`` sentences in pieces of at most ``FIT_TOKENS`` tokens.
+Scoring reads every text and every sentence whole.
 
 Defined cases: a text without words (null, empty) has no tokens; its score is that of a document
 with no toxic token. Without labelled documents of both kinds nothing can be learned: scores are
@@ -37,8 +37,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rebuy.llm.common import Memo, bounded_sample, worker_state
 
 SAMPLE = 1500  # labelled documents of each label
+FIT_CHARS = 20_000  # code points of a document of the sample; longer ones are scored, not learned from
 SENTENCES = 12_000
-LONGEST = 64
+FIT_TOKENS = 64  # of a sentence of the fit; longer ones are learned from in pieces
+LEAST_EXPLAINED = 1.0  # documents that a listed term newly explains, net of clean ones, times 3, that have it
 WEIGHTS = 1 << 18
 EPOCHS = 60
 SIGNALS = 4
@@ -51,11 +53,8 @@ _END = re.compile(r"[.!?\n]+")
 
 def sentences(text: str | None) -> list[list[str]]:
     """Lower-case words by sentence; all words of the text, in order."""
-    out = []
-    for part in _END.split(text or ""):
-        words = [w.lower() for w in _WORD.findall(part)]
-        out += [words[k : k + LONGEST] for k in range(0, len(words), LONGEST)]
-    return out
+    parts = ([w.lower() for w in _WORD.findall(part)] for part in _END.split(text or ""))
+    return [words for words in parts if words]
 
 
 def _beginnings(word: str) -> list[str]:
@@ -102,7 +101,7 @@ def offending_terms(documents: list[tuple[set[str], int]], weight: tuple[float,
             term: sum(1 / (1 + covered[k]) ** 2 for k in {k for k, _ in pairs}) - 3 * count[term][0] for term, pairs in where.items()
         }
         best = max(worth, key=lambda term: (worth[term], term))
-        if worth[best] < max(1.0, 0.006 * toxic):
+        if worth[best] < LEAST_EXPLAINED:
             break
         out.append(best)
         explained = where.pop(best)
@@ -305,8 +304,9 @@ def fit(sample: list[tuple[str | None, int]], totals: tuple[int, int] | None = N
     with_toxic, without = [], []
     for text, (_, label) in zip(split, sample):
         for sentence in text:
-            tagged = [(w, int(bool(label) and matches(w))) for w in sentence]
-            (with_toxic if any(t for _, t in tagged) else without).append(tagged)
+            for at in range(0, len(sentence), FIT_TOKENS):
+                tagged = [(w, int(bool(label) and matches(w))) for w in sentence[at : at + FIT_TOKENS]]
+                (with_toxic if any(t for _, t in tagged) else without).append(tagged)
     pick = np.random.default_rng(3)
     for group in (with_toxic, without):
         pick.shuffle(group)
@@ -349,7 +349,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     for label in (0, 1):
         mine = rows.filter(F.col("label") == label)
         totals.append(mine.count())
-        picked = bounded_sample(mine, SAMPLE, "doc_id", "text").select("text").collect()
+        short = mine.filter(F.length(F.coalesce("text", F.lit(""))) <= FIT_CHARS)
+        picked = bounded_sample(short, SAMPLE, "doc_id", "text").select("text").collect()
         chosen += [(text, label) for text in sorted((r["text"] for r in picked), key=lambda t: t or "")]
     return fit(chosen, (totals[0], totals[1]))
 
@@ -357,12 +358,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 def score(spark: SparkSession, docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
     """doc_id, score and, if asked for, the offending spans (start, end, probability; offsets in code points)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(model)  # WEIGHTS numbers, whatever the data
+    # WEIGHTS numbers, whatever the data; plain arrays, as workers need no copy of this package.
+    sent = spark.sparkContext.broadcast((model.weights, model.transitions, model.start, model.head))
     name = f"toxic-tokens:{zlib.crc32(model.weights.tobytes())}"
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Model(*sent.value)
         memo = worker_state(name, model.parts)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):

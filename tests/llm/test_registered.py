@@ -61,3 +61,31 @@ def test_run_returns_the_last_stage(spark):
     found = corpus_pipeline.run(spark, FOLDER)
     assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert found.count() > 0
+
+
+def test_workers_need_no_package(tmp_path):
+    """All queries where only the driver finds this package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from rebuy.llm.queries import QUERIES
+from rebuy.session import local_session
+spark = local_session("4", partitions=4)
+def found(batches):
+    import importlib.util
+    import pyarrow as pa
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({{"n": [int(importlib.util.find_spec("reb" + "uy") is not None)]}})
+assert spark.range(1).mapInArrow(found, "n long").first().n == 0
+for name, query in QUERIES.items():
+    assert query(spark, {FOLDER!r}).count() > 0, name
+"""
+    (tmp_path / "run.py").write_text(code)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, check=True, timeout=900)
