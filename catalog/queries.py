@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from catalog import settings as S
-from rebuy.operators import blending, boosting, ceiling, copurchase, customers, features, interactions, metrics, popularity, signals
+from rebuy.operators import blending, boosting, ceiling, copurchase, customers, features, interactions, metrics, periods, popularity, signals
 from rebuy.plans import experiments, hybrid, latent, ranker
 from rebuy.session import shared_dir
 from rebuy.sources import sinks, tables as readers
@@ -462,6 +462,32 @@ def _grid(spark, folder):
     return experiments.run_grid(style(spark, folder), S.GRID_BASE, splits)
 
 
+CUTOFFS = [split[1] for split in S.SPLITS]
+
+
+def _at_every_cutoff(frames):
+    stacked = None
+    for cutoff, frame in frames.items():
+        rows = frame.withColumn("cutoff", F.lit(cutoff))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    return stacked
+
+
+@query
+def split_customer_items(spark, folder):
+    t = sku(spark, folder)
+    found = periods.kept_signal_periods(t, CUTOFFS, S.GRID_BASE)
+    h = S.GRID_BASE.half_life_days
+    return scored(_at_every_cutoff({c: periods.customer_items_at(found, CUTOFFS, c, h) for c in CUTOFFS}))
+
+
+@query
+def split_neighbors(spark, folder):
+    t, cfg = sku(spark, folder), S.GRID_BASE
+    found = periods.kept_basket_periods(t, CUTOFFS, cfg)
+    return tidy(_at_every_cutoff({c: periods.neighbors_at(found, CUTOFFS, c, cfg.max_basket_items, 5) for c in CUTOFFS}))
+
+
 @query
 def rolling_summary(spark, folder):
     return tidy(_grid(spark, folder))

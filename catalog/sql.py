@@ -284,6 +284,22 @@ def build() -> dict[str, str]:
         selects.append(f"SELECT '{name}' AS variant, {O.metric_select(k)} FROM v{i}_cust")
     out["blend_metrics"] = q.select(" UNION ALL ".join(selects))
 
+    # several cutoffs at once
+    base = S.GRID_BASE
+    q, parts = start("sku"), []
+    for i, split in enumerate(S.SPLITS):
+        O.signals(q, base.with_(cutoff=split[1]), f"s{i}_")
+        parts.append(
+            f"""SELECT customer_id, item_id, {SCORE}, last_date, n, '{split[1]}' AS cutoff FROM (
+              SELECT customer_id, item_id, sum(points) AS points, max(signal_date) AS last_date, count(*) AS n FROM s{i}_signals GROUP BY 1, 2)"""
+        )
+    out["split_customer_items"] = q.select(" UNION ALL ".join(parts))
+    q, parts = start("sku"), []
+    for i, split in enumerate(S.SPLITS):
+        O.neighbors(q, split[1], base.max_basket_items, 5, f"s{i}_")
+        parts.append(f"SELECT item_id, neighbor_id, {r6('weight', 'score')}, rnk, '{split[1]}' AS cutoff FROM s{i}_near")
+    out["split_neighbors"] = q.select(" UNION ALL ".join(parts))
+
     # grid
     grid = _grid([Split(*split) for split in S.SPLITS], CONFIGS)
     out["rolling_summary"] = grid

@@ -37,7 +37,11 @@ def copurchase_neighbors(transactions: DataFrame, cutoff: str, max_basket_items:
     )
     later = F.slice("items", F.col("pos") + 2, F.size("items"))
     pairs = firsts.select("item_id", "weight", F.explode(later).alias("neighbor_id"))
-    sums = pairs.groupBy("item_id", "neighbor_id").agg(F.sum("weight").alias("points"))
+    return top_neighbors(pairs.groupBy("item_id", "neighbor_id").agg(F.sum("weight").alias("points")), max_neighbors)
+
+
+def top_neighbors(sums: DataFrame, max_neighbors: int) -> DataFrame:
+    """Top neighbours of each item from the points of unordered pairs."""
     a, b = F.col("item_id"), F.col("neighbor_id")
     mirrored = F.array(
         F.struct(a.alias("item_id"), b.alias("neighbor_id")), F.struct(b.alias("item_id"), a.alias("neighbor_id"))

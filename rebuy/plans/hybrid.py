@@ -80,15 +80,16 @@ class Training:
         return heaviest(members.groupBy("grp").agg(F.sum("customers").alias("customers")), "grp", "customers")
 
 
-def train(tables: ShopTables, cfg: HybridConfig, near: DataFrame | None = None) -> Training:
+def train(tables: ShopTables, cfg: HybridConfig, near: DataFrame | None = None, pairs: DataFrame | None = None) -> Training:
     """Aggregate signals and baskets once; the two sides run at the same time.
 
-    ``near`` is a neighbour lookup learnt earlier for the same cutoff.
+    ``near`` is a neighbour lookup learnt earlier for the same cutoff, ``pairs`` the
+    customer-item totals if they need not be made from the signals.
     """
     baskets = None
     if cfg.copurchase_weight and near is None:
         baskets = in_background(tables.spark, lambda: materialize(neighbor_lookup(tables, cfg), "near"))
-    first = {"customer-items": customer_items(train_signals(tables, cfg))}
+    first = {"customer-items": customer_items(train_signals(tables, cfg)) if pairs is None else pairs}
     groups = None
     if cfg.category_weight:
         groups = item_groups(tables.items, cfg.category_level)
