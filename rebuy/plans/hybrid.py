@@ -147,10 +147,10 @@ def evidence_lists(tables: ShopTables, cfg: HybridConfig, targets: DataFrame, tr
     if cfg.copurchase_weight:
         entries = F.transform("near", lambda x: F.struct(x["neighbor_id"].alias("item_id"), x["score"].alias("score")))
         parts.append(training.near.select(item_key(), entries.alias("entries")))
-        hot.append(lambda: training.hot_items().select(item_key()))
+        hot.append(lambda: training.hot_items().select(item_key(), "copies"))
     if cfg.category_weight:
         parts.append(training.group_best.select(F.col("grp").alias("key"), F.col("best").alias("entries")))
-        hot.append(lambda: training.hot_groups().select(F.col("grp").alias("key")))
+        hot.append(lambda: training.hot_groups().select(F.col("grp").alias("key"), "copies"))
     if cfg.location_weight:
         tops = location_top_items(tables.transactions, cfg)
         key = F.concat(F.lit("location:"), F.col("location").cast("string")).alias("key")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rebuy.config import production_config
 from rebuy.operators import boosting, copurchase, customers, features, interactions
-from rebuy.operators.skew import heaviest, spread_join
+from rebuy.operators.skew import FINENESS, heaviest, spread_join
 from rebuy.plans import experiments, hybrid, latent
 from rebuy.session import shared_dir
 from rebuy.sources import sinks
@@ -127,13 +127,39 @@ def test_neighbor_scores(shop):
 def test_spread_join_equals_join(spark):
     left = spark.range(1000).select(F.col("id").alias("customer_id"), F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 50).alias("key"))
     right = spark.range(40).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
-    hot = heaviest(left.groupBy("key").agg(F.count("*").alias("n")), "key", "n", 3)
+    hot = heaviest(left.groupBy("key").agg(F.count("*").alias("n")), "key", "n", 8)
+    assert {r.key: r.copies for r in hot.collect()} == {0: 14}  # 412 of 1,000 rows, 32 a salt
     for how in ("inner", "left"):
         spread = spread_join(left, right, "key", hot, "customer_id", how).select("customer_id", "key", "value")
         plain = left.join(right, "key", how).select("customer_id", "key", "value")
         assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_no_task_of_a_spread_join_is_hot(spark):
+    """One key holds 30 % of the rows, two more 4 % each."""
+    tasks = 64
+    kind = F.when(F.col("id") < 30_000, 0).when(F.col("id") < 34_000, 1).when(F.col("id") < 38_000, 2).otherwise(F.col("id") % 5000 + 3)
+    left = spark.range(100_000).select(F.col("id").alias("customer_id"), kind.alias("key"))
+    right = left.select("key").distinct().withColumn("value", F.col("key") * 2)
+    hot = heaviest(left.groupBy("key").agg(F.count("*").alias("n")), "key", "n", tasks)
+    assert hot.count() == 3 and hot.count() < FINENESS * tasks
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sizes = []
+        for joined in (spread_join(left, right, "key", hot, "customer_id"), left.join(right, "key")):
+            counts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            sizes.append(sorted(r["count"] for r in counts))
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert sum(sizes[0]) == sum(sizes[1]) == 100_000
+    assert sizes[0][-1] <= 3 * sizes[0][len(sizes[0]) // 2]
+    assert sizes[1][-1] > 10 * sizes[1][len(sizes[1]) // 2]  # a plain join
+
+
 def test_sample_is_the_global_md5_order(spark, shop):
     everyone = customers.buyers(shop.transactions, CUTOFF, END)
     naive = everyone.orderBy(F.md5(F.concat(F.col("customer_id").cast("string"), F.lit(":5"))), "customer_id").limit(6)
