@@ -35,7 +35,7 @@ def jobs(spark) -> dict:
     def frame():
         t, cfg = style(), features.CandidateConfig(event_start=EVENT_START)
         inputs = features.ranker_inputs(t, CUTOFF, customers.sample_customers(t.transactions, CUTOFF, END, 120_000, 42))
-        return features.feature_frame(inputs, features.build_candidates(inputs, cfg), END, cfg)
+        return features.feature_frame(inputs, features.candidate_rows(inputs, cfg), END, cfg)
 
     def overlap():
         return ceiling.overlap_summary(ceiling.by_segment(ceiling.target_overlap(style(), CUTOFF, END, EVENT_START)), 10)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from catalog import settings as S
 from rebuy.operators import blending, boosting, ceiling, copurchase, customers, features, interactions, metrics, periods, popularity, signals
 from rebuy.plans import experiments, hybrid, latent, ranker
-from rebuy.session import shared_dir
+from rebuy.session import materialize, shared_dir
 from rebuy.sources import sinks, tables as readers
 from rebuy.sources.star_schema import star_tables
 
@@ -302,7 +302,7 @@ def _inputs(spark, folder, cutoff=S.CUTOFF, end=S.VALID_END):
 
 def _frame(spark, folder, cutoff=S.CUTOFF, end=S.VALID_END):
     inputs = _inputs(spark, folder, cutoff, end)
-    return inputs, features.feature_frame(inputs, features.build_candidates(inputs, CANDIDATES), end, CANDIDATES)
+    return inputs, features.feature_frame(inputs, features.candidate_rows(inputs, CANDIDATES), end, CANDIDATES)
 
 
 @query
@@ -327,8 +327,9 @@ def cand_group(spark, folder):
     inputs = _inputs(spark, folder)
     history = features.history_candidates(inputs.own_profile, CANDIDATES.user_candidates)
     groups = features.candidate_groups(inputs.tables.items)
-    lists = features.group_lists(inputs.items, groups, CANDIDATES.group_candidates)
-    return features.group_candidates(history, inputs.items, groups, lists).distinct()
+    lists = materialize(features.group_lists(inputs.items, groups, CANDIDATES.group_candidates), "group-lists")
+    sets = materialize(features.group_sets(groups), "group-sets")
+    return features.group_candidates(history, inputs.items, sets, lists).distinct()
 
 
 @query

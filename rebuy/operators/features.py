@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rebuy.functions.scoring import SCALE, WIDE, age_days, before, billionths, within, zero
 from rebuy.operators.copurchase import adjacency, copurchase_neighbors
-from rebuy.operators.customers import only_customers, truth
+from rebuy.operators.customers import only_customers
 from rebuy.operators.popularity import item_groups
 from rebuy.operators.skew import heaviest, lookup_join
 from rebuy.operators.topk import head, top_n
@@ -54,6 +55,10 @@ RANKER_BASKET_LIMIT = 12
 NEVER = 9999.0
 
 
+# Columns of the purchase profile that the customers' totals are made of.
+OWN = ["n", "days", "price_sum", "price_n", "n_30d", "n_90d"]
+
+
 @dataclass(frozen=True)
 class CandidateConfig:
     user_candidates: int = 25
@@ -125,7 +130,7 @@ def _average_price() -> Column:
 
 
 def user_features(own_profile: DataFrame) -> DataFrame:
-    return (
+    totals = (
         own_profile.groupBy("customer_id")
         .agg(
             F.sum("n").cast("double").alias("user_txns"),
@@ -134,8 +139,13 @@ def user_features(own_profile: DataFrame) -> DataFrame:
             F.min("days").alias("user_days_since_last"),
             *_counts("user", (30, 90)),
         )
-        .withColumn("user_velocity", F.col("user_txns_30d") / (F.col("user_txns_90d") + 1.0))
-        .withColumn("user_recency_x_freq", F.col("user_txns") / (F.col("user_days_since_last") + 1.0))
+    )
+    return with_rates(totals)
+
+
+def with_rates(users: DataFrame) -> DataFrame:
+    return users.withColumn("user_velocity", F.col("user_txns_30d") / (F.col("user_txns_90d") + 1.0)).withColumn(
+        "user_recency_x_freq", F.col("user_txns") / (F.col("user_days_since_last") + 1.0)
     )
 
 
@@ -202,6 +212,11 @@ def candidate_groups(metadata: DataFrame) -> DataFrame:
     return item_groups(metadata, ",".join(GROUP_LEVELS))
 
 
+def group_sets(groups: DataFrame) -> DataFrame:
+    """The groups of each item; two brands and two levels of categories at most, if metadata has a row per item."""
+    return groups.groupBy("item_id").agg(F.collect_set("grp").alias("grps"))
+
+
 def group_lists(items: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     """The ``n`` items of most purchase rows per group, and the buyers of the whole group."""
     weighted = items.select("item_id", "item_txns", "item_buyers").join(groups, "item_id")
@@ -210,9 +225,11 @@ def group_lists(items: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     return lists.join(weighted.groupBy("grp").agg(F.sum("item_buyers").alias("buyers")), "grp")
 
 
-def group_candidates(history: DataFrame, items: DataFrame, groups: DataFrame, lists: DataFrame) -> DataFrame:
-    """Top items of the two brands and two category_l3 that most of the history candidates share."""
-    grouped = groups.groupBy("item_id").agg(F.collect_set("grp").alias("grps"))
+def group_candidates(history: DataFrame, items: DataFrame, grouped: DataFrame, lists: DataFrame) -> DataFrame:
+    """Top items of the two brands and two category_l3 that most of the history candidates share.
+
+    ``grouped`` (the groups of each item) and ``lists`` are stored tables; their sizes decide how they are joined.
+    """
     member = lookup_join(
         history.select("customer_id", "item_id"), grouped, "item_id", lambda: heaviest(items, "item_id", "item_buyers"), "customer_id"
     )
@@ -235,18 +252,22 @@ def copurchase_candidates(history: DataFrame, near: DataFrame, items: DataFrame,
     return met.select("customer_id", F.explode("near.neighbor_id").alias("item_id"))
 
 
-def merge_candidates(sources: dict[str, DataFrame]) -> DataFrame:
-    """Union of the sources with one 0/1 flag per source."""
+def stack_candidates(sources: dict[str, DataFrame]) -> DataFrame:
+    """Union of the sources with one flag per source; a pair has a row for each source that offers it."""
     stacked = None
     for name, frame in sources.items():
-        flagged = frame.select("customer_id", "item_id", F.lit(1.0).alias(name))
-        stacked = flagged if stacked is None else stacked.unionByName(flagged, allowMissingColumns=True)
-    return stacked.groupBy("customer_id", "item_id").agg(
-        *[(zero(F.max(name)) if name in sources else F.lit(0.0)).alias(name) for name in SOURCES]
-    )
+        flags = [F.lit(1.0 if other == name else 0.0).alias(other) for other in SOURCES]
+        flagged = frame.select("customer_id", "item_id", *flags)
+        stacked = flagged if stacked is None else stacked.unionByName(flagged)
+    return stacked
 
 
-def build_candidates(inputs: RankerInputs, cfg: CandidateConfig) -> DataFrame:
+def merge_candidates(sources: dict[str, DataFrame]) -> DataFrame:
+    """One row per pair with one 0/1 flag per source."""
+    return stack_candidates(sources).groupBy("customer_id", "item_id").agg(*[F.max(name).alias(name) for name in SOURCES])
+
+
+def candidate_sources(inputs: RankerInputs, cfg: CandidateConfig) -> dict[str, DataFrame]:
     tables = inputs.tables
     groups = candidate_groups(tables.items)
     neighbors = copurchase_neighbors(tables.transactions, inputs.cutoff, RANKER_BASKET_LIMIT, cfg.copurchase_neighbors)
@@ -254,40 +275,79 @@ def build_candidates(inputs: RankerInputs, cfg: CandidateConfig) -> DataFrame:
         {
             "near": adjacency(neighbors),
             "group-lists": group_lists(inputs.items, groups, cfg.group_candidates),
+            "group-sets": group_sets(groups),
             "history-candidates": history_candidates(inputs.own_profile, cfg.user_candidates),
         }
     )
     history = stored["history-candidates"]
-    return merge_candidates(
-        {
-            "source_user_hist": history,
-            "source_global": global_candidates(inputs.customers, inputs.items, cfg.global_candidates),
-            "source_group": group_candidates(history, inputs.items, groups, stored["group-lists"]),
-            "source_copurchase": copurchase_candidates(history, stored["near"], inputs.items, cfg.copurchase_seeds),
-        }
-    )
+    return {
+        "source_user_hist": history,
+        "source_global": global_candidates(inputs.customers, inputs.items, cfg.global_candidates),
+        "source_group": group_candidates(history, inputs.items, stored["group-sets"], stored["group-lists"]),
+        "source_copurchase": copurchase_candidates(history, stored["near"], inputs.items, cfg.copurchase_seeds),
+    }
+
+
+def build_candidates(inputs: RankerInputs, cfg: CandidateConfig) -> DataFrame:
+    return merge_candidates(candidate_sources(inputs, cfg))
+
+
+def candidate_rows(inputs: RankerInputs, cfg: CandidateConfig) -> DataFrame:
+    """The candidates before they are merged, for ``feature_frame``, which merges them itself."""
+    return stack_candidates(candidate_sources(inputs, cfg))
 
 
 def feature_frame(inputs: RankerInputs, candidates: DataFrame, end: str, cfg: CandidateConfig) -> DataFrame:
     """Candidates with label and features: (customer_id, item_id, label, *FEATURES).
 
-    The pair-level inputs are grouped by the same two keys as the candidates
-    and join without moving again. Popular items are candidates of every
-    customer, hence the spread join on the item side.
+    Candidates (one row per pair, or one per source), purchases of the label window, the customers'
+    own purchase profile and their events are stacked and moved once, by customer. Grouping
+    by pair and the customers' totals (windows) follow in the same partitions. Popular items
+    are candidates of every customer, hence the spread join on the item side.
     """
     tables = inputs.tables
-    label = truth(tables.transactions, inputs.cutoff, end, inputs.customers).withColumn("label", F.lit(1))
-    events = event_features(tables.events, inputs.customers, cfg.event_start, inputs.cutoff)
+    bought = tables.transactions.filter(within(tables.transactions, "updated_date", inputs.cutoff, end)).filter("item_id is not null")
+    seen = tables.events.filter(within(tables.events, "event_date", cfg.event_start, inputs.cutoff)).filter("item_id is not null")
+    # Pairs without an item match nothing, but count in the customer's totals.
+    paired = F.col("item_id").isNotNull()
+    parts = [
+        candidates.select("customer_id", "item_id", *SOURCES, F.lit(1).alias("offered")),
+        only_customers(bought.select("customer_id", "item_id", F.lit(1).alias("label")), inputs.customers),
+        inputs.own_profile.select(
+            "customer_id",
+            "item_id",
+            *OWN,
+            F.when(paired, F.col("n").cast("double")).alias("ui_txns"),
+            F.when(paired, F.col("qty").cast("double") / SCALE).alias("ui_qty"),
+            F.when(paired, F.col("days")).alias("ui_days_since_last"),
+        ),
+        only_customers(
+            seen.select(
+                "customer_id",
+                "item_id",
+                (F.col("event_type") == "view_item").cast("double").alias("event_views"),
+                (F.col("event_type") == "add_to_cart").cast("double").alias("event_carts"),
+            ),
+            inputs.customers,
+        ),
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    once = ["offered", "label", *SOURCES, *OWN, "ui_txns", "ui_qty", "ui_days_since_last"]
+    pairs = stacked.repartition("customer_id").groupBy("customer_id", "item_id").agg(
+        *[F.max(name).alias(name) for name in once], *[F.sum(name).alias(name) for name in ("event_views", "event_carts")]
+    )
+    own = Window.partitionBy("customer_id")
+    totals = {
+        "user_txns": F.sum("n").over(own).cast("double"),
+        "user_items": F.count("n").over(own).cast("double"),
+        "user_avg_price": F.try_divide(F.sum("price_sum").over(own).cast("double"), F.sum("price_n").over(own).cast("double")) / SCALE,
+        "user_days_since_last": F.min("days").over(own),
+        "user_txns_30d": F.sum("n_30d").over(own).cast("double"),
+        "user_txns_90d": F.sum("n_90d").over(own).cast("double"),
+    }
+    joined = with_rates(pairs.withColumns(totals).filter("offered = 1").drop("offered", *OWN))
     prices = tables.items.groupBy("item_id").agg(F.max("price").alias("meta_price"))
     item_side = materialize(inputs.items.join(prices, "item_id", "full"), "item-side")
-    own = inputs.own_profile
-
-    joined = (
-        candidates.join(label, ["customer_id", "item_id"], "left")
-        .join(pair_features(own), ["customer_id", "item_id"], "left")
-        .join(events, ["customer_id", "item_id"], "left")
-        .join(user_features(own), "customer_id", "left")
-    )
     joined = lookup_join(
         joined, item_side, "item_id", lambda: heaviest(inputs.items, "item_id", "item_buyers"), "customer_id", "left"
     )

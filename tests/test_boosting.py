@@ -14,7 +14,7 @@ import pytest
 from catalog import queries, settings as S
 from rebuy.operators import boosting, features
 from rebuy.plans import ranker
-from rebuy.session import kept, kept_folder
+from rebuy.session import kept, kept_folder, materialize
 from rebuy.sources.star_schema import star_tables
 
 WINDOWS = ranker.RankerWindows(S.TRAIN_CUTOFF, S.TRAIN_END, S.CUTOFF, S.VALID_END)
@@ -246,3 +246,21 @@ def test_tuning_draws_are_seeded():
     assert first == ranker.tuning_trials(ranker.RankerParams(), 3)
     assert first[0] == ("default", ranker.RankerParams())
     assert all(params.num_leaves in ranker.TUNING_GRID["num_leaves"] for _, params in first[1:])
+
+
+def test_features_move_once(spark):
+    """With stored inputs, the frame's rows are moved once, by customer, and looked up by item."""
+    tables = replace(star_tables(spark, "/root/testdata/sf0.001", S.CUTOFF, "style"), source_key="")
+    cfg = features.CandidateConfig(event_start=S.EVENT_START)
+    inputs = features.ranker_inputs(tables, S.CUTOFF, ranker.buyers(tables.transactions, S.CUTOFF, S.VALID_END))
+    rows = materialize(features.candidate_rows(inputs, cfg), "test-candidates")
+    merged = materialize(features.build_candidates(inputs, cfg), "test-candidates")
+    stored = replace(tables, transactions=materialize(tables.transactions, "test-tx"), events=materialize(tables.events, "test-ev"))
+    frames = [features.feature_frame(replace(inputs, tables=stored), c, S.VALID_END, cfg) for c in (rows, merged)]
+    assert collected(frames[0]) == collected(frames[1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = features.feature_frame(replace(inputs, tables=stored), rows, S.VALID_END, cfg)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
