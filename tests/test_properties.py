@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rebuy.config import production_config
-from rebuy.operators import boosting, copurchase, customers, features, interactions
+from rebuy.operators import boosting, copurchase, customers, features, interactions, products
 from rebuy.operators.skew import FINENESS, heaviest, spread_join
 from rebuy.plans import experiments, hybrid, latent
 from rebuy.session import shared_dir
@@ -213,11 +214,31 @@ def test_shared_dir_is_the_configured_one(spark):
 # --- learned models ----------------------------------------------------------------------------------
 
 
-def test_best_columns_match_a_full_sort():
+def test_best_products_match_a_full_sort():
     rng = np.random.default_rng(1)
-    scores = rng.integers(0, 6, (40, 30)).astype(float)
-    for n in (1, 7, 30):
-        assert np.array_equal(latent.best_columns(scores, n), np.argsort(-scores, axis=1, kind="stable")[:, :n])
+    for spread in (0.0, 2.0):
+        items = np.round(rng.normal(size=(200, 6)) * np.exp(spread * rng.normal(size=(200, 1))), 2)
+        items[50] = items[20] = items[120]  # equal products
+        users = np.round(rng.normal(size=(40, 6)), 1)
+        users[3] = 0
+        plain = users @ items.T
+        for n in (1, 7, 30, 200, 500):
+            scores, columns, made = products.best_products(users, products.item_blocks(items, 16), n)
+            wanted = np.lexsort((np.broadcast_to(np.arange(200), plain.shape), -np.round(plain, 9)), axis=1)[:, :n]
+            assert np.allclose(scores, np.take_along_axis(plain, wanted, axis=1))
+            same = np.isclose(np.diff(np.take_along_axis(plain, wanted, axis=1), axis=1), 0).any(axis=1)
+            assert np.array_equal(columns[~same], wanted[~same]) and made <= plain.size
+    assert made == plain.size
+    scores, columns, made = products.best_products(users, products.item_blocks(items, 16), 5)
+    assert made < 0.7 * plain.size  # norms differ widely: most blocks are never read
+
+
+def test_best_products_of_2000_items():
+    rng = np.random.default_rng(2)
+    items, users = rng.normal(size=(2000, 16)) * rng.exponential(size=(2000, 1)), rng.normal(size=(64, 16))
+    scores, columns, made = products.best_products(users, products.item_blocks(items), 50)
+    wanted = np.argsort(-(users @ items.T), axis=1)[:, :50]
+    assert np.array_equal(columns, wanted) and made < users.shape[0] * 2000
 
 
 def taste_pairs(spark):
@@ -241,6 +262,8 @@ def test_bpr_learns_and_repeats(spark):
     assert accuracy[-1] > accuracy[0] and accuracy[-1] > 0.7
     lists = latent.bpr_lists(model, 50)
     assert camp_share(lists) > 0.9
+    order = latent.bpr_order(model, pairs).collect()
+    assert len(order) == 120 and sum(r.ordered for r in order) / 120 > 0.6 and all(0 <= r.ordered <= 1 for r in order)
     again = latent.bpr_lists(latent.train_bpr(pairs.drop("rating").repartition(5), heads, params)[0], 50)
     keys = ["customer_id", "item_id", "rnk"]
     assert collected(lists.select(*keys)) == collected(again.select(*keys))
@@ -248,9 +271,16 @@ def test_bpr_learns_and_repeats(spark):
 
 def test_als_finds_the_camps(spark):
     pairs, heads = taste_pairs(spark)
-    lists = latent.als_lists(pairs, heads, latent.AlsParams(factors=4, iterations=5, alpha=10.0))
+    model = latent.train_als(pairs, heads, latent.AlsParams(factors=4, iterations=5, alpha=10.0))
+    lists = latent.als_lists(model)
     assert camp_share(lists) > 0.9
     assert lists.groupBy("customer_id").count().filter("count <> 20").count() == 0
+    found = latent.als_residuals(model).collect()
+    assert len(found) == 120 and all(r.residual < 1e-3 for r in found)
+    wanted = {r.customer_id: r.n for r in pairs.groupBy("customer_id").agg(F.count("*").alias("n")).collect()}
+    assert {r.customer_id: r.n_items for r in found} == wanted
+    moved = model.customers.withColumn("factors", F.transform("factors", lambda x: x * 1.01))
+    assert min(r.residual for r in latent.als_residuals(replace(model, customers=moved)).collect()) > 1e-3
 
 
 def test_two_lists_in_one_plan(shop):
