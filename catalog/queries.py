@@ -92,6 +92,17 @@ def customer_items(spark, folder):
     return scored(_pairs(sku(spark, folder)))
 
 
+@query
+def own_files_items(spark, folder):
+    """The same from files of one's own: other column orders and types, and columns that nobody asked for."""
+    t, path = sku(spark, folder), scratch(spark, "own-files")
+    tx = t.transactions.withColumn("note", F.lit("x")).withColumn("quantity", F.col("quantity").cast("decimal(12,2)"))
+    log = t.events.withColumn("points", F.lit(1)).withColumn("quantity", F.col("quantity").cast("int"))
+    for frame, name in ((tx, "transactions"), (log, "events"), (t.items.withColumn("score", F.lit(0)), "items")):
+        frame.select(*sorted(frame.columns)).write.parquet(f"{path}/{name}.parquet")
+    return scored(_pairs(readers.read_shop_tables(spark, *(f"{path}/{name}.parquet" for name in ("transactions", "events", "items")))))
+
+
 @query
 def item_totals(spark, folder):
     return scored(popularity.item_totals(_pairs(sku(spark, folder))).drop("customers"))
@@ -253,7 +264,7 @@ def metrics_by_segment(spark, folder):
 def metrics_sink(spark, folder):
     path = scratch(spark, "metrics")
     sinks.write_metrics(hybrid.validate(style(spark, folder), S.PRODUCTION).with_counts(), path, S.PRODUCTION)
-    stored = spark.read.json(path)
+    stored = sinks.read_metrics(spark, path)
     columns = "segment users_evaluated total_correct map_at_k cutoff category_level k recommendation_rows".split()
     return tidy(stored.select(*columns))
 

@@ -44,6 +44,7 @@ def build() -> dict[str, str]:
         f"""SELECT customer_id, item_id, {SCORE}, last_date, n FROM (
           SELECT customer_id, item_id, sum(points) AS points, max(signal_date) AS last_date, count(*) AS n FROM signals GROUP BY 1, 2)"""
     )
+    out["own_files_items"] = out["customer_items"]
     O.popularity(q, D)
     out["item_totals"] = q.select(f"SELECT item_id, {SCORE}, n FROM totals")
     out["global_popularity"] = q.select(f"SELECT item_id, {SCORE}, n, rnk FROM popular")

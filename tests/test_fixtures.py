@@ -144,6 +144,25 @@ def test_summary_replaces_what_runs_again(spark, tmp_path):
     assert sorted((r["split"], r["total_correct"]) for r in found.collect()) == [("a", 3), ("b", 2)]
 
 
+def test_killed_writers_leave_reports_readable(spark, tmp_path, monkeypatch):
+    path, metrics = str(tmp_path / "metrics"), spark.createDataFrame([("all", 1)], "segment string, hits bigint")
+    sinks.write_metrics(metrics, path)
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "name_current", lambda *args: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_metrics(metrics.withColumn("hits", F.lit(2)), path)
+    assert [r.hits for r in sinks.read_metrics(spark, path).collect()] == [1]
+    # A writer that dies while it writes leaves a folder that nothing names.
+    (tmp_path / "metrics" / "data" / "half").mkdir()
+    (tmp_path / "metrics" / "data" / "half" / "part-0.json").write_text('{"segment": "all", "hits"')
+    assert [r.hits for r in sinks.read_metrics(spark, path).collect()] == [1]
+    sinks.write_metrics(metrics.withColumn("hits", F.lit(3)), path)
+    assert [r.hits for r in sinks.read_metrics(spark, path).collect()] == [3]
+    # Two writers of a part: the last named one is read, whole.
+    sinks.name_current(spark, path, ["metrics"], next(p.name for p in (tmp_path / "metrics" / "data").iterdir() if p.name != "half" and '"hits":1' in "".join(f.read_text() for f in p.glob("*.json"))))
+    assert [r.hits for r in sinks.read_metrics(spark, path).collect()] == [1]
+
+
 def _m3(spark):
     history = spark.createDataFrame([(1, "A", 1.0, 1), (1, "B", 0.5, 2)], "customer_id bigint, item_id string, score double, rnk int")
     near = spark.createDataFrame(
