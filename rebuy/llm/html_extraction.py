@@ -6,11 +6,13 @@ main) that it stands in. A line's text-to-tag ratio is its characters over its t
 page order are smoothed with a Gaussian; two-means clustering of the smoothed ratios gives the
 threshold between content and the rest. Lines above it select regions: the content containers
 that hold them, or, on pages without such containers, runs of lines with at most two others
-between them. Short lines of a selected region belong to it.
+between them. Short lines of a selected region belong to it, and so does a heading just before it.
 
 Elements that never hold article text count as tags without text: navigation, page headers,
 footers, asides, forms, scripts, styles, and blocks whose class, id or role says menu, advert,
-notice, comment and the like. Names such as has-sidebar, no-comments or tag-advertising say nothing
+notice, comment and the like. Within an article or main a name only says so if all its parts do
+("share-buttons"); a line below a name of which just one part does ("search-for-truth") is left out only
+if its ratio is not above the threshold or half of its characters are links. Names such as has-sidebar, no-comments or tag-advertising say nothing
 of the kind. As layout wrappers and forms around a whole page bear such names too, an article or
 main within one counts as a container again, an article only if it is as long as the page's main
 text without such articles; but never one within comments, related items or adverts, or named so.
@@ -26,6 +28,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -54,46 +57,66 @@ FOREIGN = frozenset(  # other texts than the page's own, also as articles
     "ad ads adv advert adverts advertisement advertising comment comments disqus promo promoted related replies reply respond "
     "response responses sponsor sponsored".split()
 )
+# Parts of a name that say nothing about what the element holds.
+PLAIN = frozenset(
+    "area bar block body bottom box button buttons card center col column container content form group head header icon icons "
+    "inline inner item items label left link links list main message msg note outer panel policy post posts right row section "
+    "sign signup slot small sticky text thread title top unit up wrap wrapper".split()
+)
 # A name that begins or ends like these tells what the page has or is about.
 ABOUT = frozenset("no has have with without hide category cat tag topic type format status".split())
 STATES = frozenset("open closed enabled disabled allowed off on free count".split())
 LAYOUT, NEVER = 1, 2  # why an element is skipped; a container within the first may count
 SIGMA = 1.0
 GAP = 2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BEFORE = 3  # lines before a region among which its heading is looked for
+LINKED = 0.5  # share of a line's characters in links
 
 
-def hints(attrs: list[tuple[str, str | None]]) -> set[str]:
-    """Words of the class, id and role that name the element itself."""
-    out: set[str] = set()
+def names_of(attrs: list[tuple[str, str | None]]) -> list[set[str]]:
+    """The parts of each class, id and role that names the element itself."""
+    out = []
     for name in " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().split():
         parts = [w for w in re.split("[_-]+", name) if w]
         if parts and (len(parts) == 1 or (parts[0] not in ABOUT and parts[-1] not in STATES)):
-            out.update(parts)
+            out.append(set(parts))
     return out
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    container: int  # -1 stands for none
+    heading: bool = False
+    doubtful: bool = False  # below an element of which part of the name says that it is no text
+    linked: int = 0  # characters in links
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, container) lines of a page; container -1 stands for none."""
+    """Collects the lines of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, int, int]] = []  # tag, skipped from here on (0, LAYOUT, NEVER), container
+        self.lines: list[Line] = []
+        # Tag, skipped from here on (0, LAYOUT, NEVER), container, doubtful.
+        self.open: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.containers = 0
+        self.tags = self.linked = self.containers = 0
         self.wrapped: set[int] = set()  # containers that are articles in a skipped layout
 
-    def _state(self) -> tuple[int, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (0, -1)
+    def _state(self) -> tuple[int, int, bool]:
+        return self.open[-1][1:] if self.open else (0, -1, False)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self._state()[1]))
+            _, container, doubtful = self._state()
+            heading = any(entry[0] in HEADINGS for entry in self.open)
+            self.lines.append(Line(text, self.tags, container, heading, doubtful, self.linked))
         elif self.tags:
-            self.lines.append(("", self.tags, -1))
-        self.text, self.tags = [], 0
+            self.lines.append(Line("", self.tags, -1))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def _close(self, tag: str, within: frozenset[str] = frozenset()) -> bool:
         """Pop up to the last open ``tag`` unless one of ``within`` is met first."""
@@ -118,9 +141,13 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        skipped, container = self._state()
+        skipped, container, doubtful = self._state()
         if skipped < NEVER and tag not in ("html", "body"):
-            named = hints(attrs)
+            names = names_of(attrs)
+            if container >= 0 and tag not in CONTAINERS:
+                doubtful = doubtful or any(not HINTS.isdisjoint(name) and not name <= HINTS | PLAIN for name in names)
+                names = [name for name in names if name <= HINTS | PLAIN]
+            named = set().union(*names)
             if tag in CONTAINERS:
                 if not FOREIGN.isdisjoint(named):
                     skipped = NEVER
@@ -128,11 +155,12 @@ class Lines(HTMLParser):
                     if skipped and tag == "article":
                         self.wrapped.add(self.containers)
                     skipped, container, self.containers = 0, self.containers, self.containers + 1
+                    doubtful = False
             elif not FOREIGN.isdisjoint(named) or (tag in SKIPPED and tag != "form"):
                 skipped = NEVER
             elif tag == "form" or (tag == "header" and container < 0) or not HINTS.isdisjoint(named):
                 skipped = LAYOUT
-        self.open.append((tag, skipped, container))
+        self.open.append((tag, skipped, container, doubtful))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do: the slash means nothing, except in void elements
@@ -147,6 +175,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
             self.text.append(data)
+            if any(entry[0] == "a" for entry in self.open):
+                self.linked += len(data)
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -175,31 +205,40 @@ def threshold(values: list[float]) -> float:
         low, high = new
 
 
-def blocks(lines: list[tuple[str, int, int]], containers: bool) -> list[str]:
+def blocks(lines: list[Line], containers: bool) -> list[str]:
     """The texts of the selected lines."""
-    if not any(text for text, _, _ in lines):
+    if not any(line.text for line in lines):
         return []
-    values = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
+    values = smoothed([len(line.text) / max(1, line.tags) for line in lines])
     cut = threshold(values)
-    chosen = [k for k, (text, _, _) in enumerate(lines) if text and values[k] > cut]
-    regions = {lines[k][2] for k in chosen} - {-1}
+    chosen = [k for k, line in enumerate(lines) if line.text and values[k] > cut]
+    regions = {lines[k].container for k in chosen} - {-1}
     if containers:
         mass: dict[int, int] = {}
-        for text, _, container in lines:
-            if container >= 0:
-                mass[container] = mass.get(container, 0) + len(text)
+        for line in lines:
+            if line.container >= 0:
+                mass[line.container] = mass.get(line.container, 0) + len(line.text)
         if not regions and any(mass.values()):
             regions = {max(mass, key=lambda c: (mass[c], -c))}  # an article of short lines only
         if regions:
-            return [text for text, _, container in lines if text and container in regions]
-    # No container: chosen lines, and up to GAP others between two of them.
-    shown = [k for k, (text, _, _) in enumerate(lines) if text]
+            return [
+                line.text
+                for line, value in zip(lines, values)
+                if line.text and line.container in regions and not (line.doubtful and (value <= cut or line.linked > LINKED * len(line.text)))
+            ]
+    # No container: chosen lines, up to GAP others between two of them, and a heading before them.
+    shown = [k for k, line in enumerate(lines) if line.text]
     place = {k: n for n, k in enumerate(shown)}
     kept = set(chosen)
-    for a, b in zip(chosen, chosen[1:]):
-        if place[b] - place[a] <= GAP + 1:
+    for a, b in zip([None, *chosen], chosen):
+        if a is not None and place[b] - place[a] <= GAP + 1:
             kept.update(shown[place[a] : place[b]])
-    return [lines[k][0] for k in sorted(kept)]
+            continue
+        first = 0 if a is None else place[a] + 1
+        before = range(max(first, place[b] - BEFORE), place[b])
+        start = next((n for n in before if lines[shown[n]].heading), place[b])
+        kept.update(shown[start : place[b]])
+    return [lines[k].text for k in sorted(kept)]
 
 
 def main_text(html: str | None, separator: str = "\n") -> str:
@@ -213,9 +252,9 @@ def main_text(html: str | None, separator: str = "\n") -> str:
     lines = parser.lines
     if parser.wrapped:
         sizes: dict[int, int] = {}
-        for text, _, container in lines:
-            sizes[container] = sizes.get(container, 0) + len(text)
-        others = [("", tags, -1) if container in parser.wrapped else (text, tags, container) for text, tags, container in lines]
+        for line in lines:
+            sizes[line.container] = sizes.get(line.container, 0) + len(line.text)
+        others = [Line("", line.tags, -1) if line.container in parser.wrapped else line for line in lines]
         without = blocks(others, parser.containers > len(parser.wrapped))
         if max(sizes.get(c, 0) for c in parser.wrapped) < sum(map(len, without)):
             return separator.join(without)

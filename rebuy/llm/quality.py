@@ -118,10 +118,10 @@ def tree_rules(model, names: list[str]) -> list[Rule]:
 
 
 def described(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    """The kept columns and all ratios."""
-    counted = docs.select(*keep, *[c.alias(n) for n, c in statistics(F.col(text_col)).items()])
-    kept = [c for c in counted.columns if c not in statistics(F.col(text_col))]
-    return counted.select(*kept, *[c.alias(n) for n, c in ratios().items()])
+    """The kept columns in one struct ``kept`` and all ratios, so that no kept name clashes with a statistic."""
+    counts = F.struct(*[c.alias(n) for n, c in statistics(F.col(text_col)).items()])
+    counted = docs.select(F.struct(*keep).alias("kept"), counts.alias("counted")).select("kept", "counted.*")
+    return counted.select("kept", *[c.alias(n) for n, c in ratios().items()])
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality") -> RuleEnsemble:
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     rows = docs.select("doc_id", "text").filter(usable).join(known, F.col("doc_id") == F.col("__id"))
     chosen = bounded_sample(rows, SAMPLE, "doc_id", "text")
     names = list(ratios())
-    sample = materialize(described(chosen, "text", [F.col("label")]), "quality-sample")
+    sample = materialize(described(chosen, "text", [F.col("label")]).select("kept.label", *names), "quality-sample")
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         share = min(max(kinds.get(1.0, 0) / max(1, sum(kinds.values())), 1e-6), 1 - 1e-6) if kinds else 0.5
@@ -152,6 +152,4 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str, keep: list[Column]) -> DataFrame:
     """The kept columns and the score."""
-    rows = described(docs, text_col, keep)
-    kept = [c for c in rows.columns if c not in ratios()]
-    return rows.select(*kept, model.score().alias("score"))
+    return described(docs, text_col, keep).select("kept.*", model.score().alias("score"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from rebuy.llm import html_extraction as H
@@ -45,7 +47,7 @@ def test_defined_cases():
     assert H.main_text(None) == H.main_text("") == H.main_text("<p></p>") == H.main_text("<!-- x -->") == ""
     assert H.main_text("plain  text\n only") == "plain text only"
     assert H.main_text("<article><p>Hi.</p></article>") == "Hi."
-    assert H.main_text("<article></article><p>out</p>") in ("", "out")
+    assert H.main_text("<article></article><p>out</p>") == "out"
     assert H.main_text("<p>" * 3000 + "deep") == "deep"
     assert H.main_text("<div>" * 3000 + "deep" + "</p></b>") == "deep"
 
@@ -110,3 +112,49 @@ CARDS = "".join(f"<article class='card'><p>Another story {k}, of some interest t
 )
 def test_layout_wrappers_and_foreign_articles(page):
     assert H.main_text(f"<html><body class='has-sidebar'>{page}</body></html>").split("\n") == STORY
+
+
+LONG = "A sentence of the article that goes on for quite a while, with commas, and ends at last."
+
+
+@pytest.mark.parametrize("name", ["search-for-truth", "share-of-voice", "related-to-history", "widget-theory", "notice-how-light-bends", "modal-logic", "banner-years"])
+def test_names_alone_drop_no_article_text(name):
+    html = f"<nav><a href='/'>x</a></nav><article><h1>T</h1><p>{LONG}</p><p class='{name}'>{LONG} Kept.</p><p>{LONG}</p></article>"
+    assert H.main_text(html, "\n\n") == "\n\n".join(["T", LONG, f"{LONG} Kept.", LONG])
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "cookie-notice", "ad", "newsletter-signup", "related-posts", "comments", "social-links", "banner"])
+def test_names_that_say_nothing_else_drop_blocks(name):
+    html = f"<article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div><p>{LONG}</p></article>"
+    assert H.main_text(html, "\n\n") == f"{LONG}\n\n{LONG}"
+
+
+def test_doubtful_lines_of_links_are_dropped():
+    links = "".join(f"<a href='/{k}'>Share this on network {k}</a> " for k in range(4))
+    html = f"<article><p>{LONG}</p><div class='share-with-friends'>{links}</div><p>{LONG}</p></article>"
+    assert H.main_text(html, "\n\n") == f"{LONG}\n\n{LONG}"
+
+
+def test_heading_without_a_container_is_kept():
+    html = f"<div><a href='/'>Home</a></div><div><a href='/b'>B</a></div><h1>Title</h1><p>By Ann.</p><p>{LONG}</p><p>{LONG}</p><div><a>x</a></div>"
+    assert H.main_text(html, "\n\n").startswith("\n\n".join(["Title", "By Ann.", LONG, LONG]))
+
+
+def plain_article(html: str) -> str:
+    """Another way to the text of a page with one plain article: by regular expressions."""
+    import html as entities
+
+    inside = re.search(r"<article>(.*?)</article>", html, re.S).group(1)
+    inside = re.sub(r"<(script|style|aside|form|nav|footer)\b.*?</\1>|<!--.*?-->", "", inside, flags=re.S)
+    inside = re.sub(r"<div class=\"ad\">.*?</div>", "", inside, flags=re.S)
+    marks = re.sub(r"</?(p|h[1-6]|ul|ol|li|div|blockquote|pre|table|tr|td|section|figure|figcaption)\b[^>]*>", "\x00", inside)
+    parts = (" ".join(entities.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br ?/?>", " ", p))).split()) for p in marks.split("\x00"))
+    return "\n\n".join(p for p in parts if p)
+
+
+def test_given_pages_match_a_plain_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = H.extract(pages, keep=("page_id", "html"), separator="\n\n").collect()
+    assert len(rows) == 250
+    wrong = [r.page_id for r in rows if r.text != plain_article(r.html)]
+    assert wrong == []

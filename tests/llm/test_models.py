@@ -81,8 +81,8 @@ def test_rules_are_sparse_and_compile(spark):
     model = quality.train(docs, labels, crc32_bucket(F.col("doc_id"), 5) != 0)
     assert 0 < len(model.rules) < 60
     assert all(sign in ("<=", ">") and name in quality.ratios() for rule, _ in model.rules for name, sign, _ in rule)
-    scored = quality.score(docs, model, "text", [F.col("doc_id"), F.col("label").alias("words_of_mine")])
-    assert scored.columns == ["doc_id", "words_of_mine", "score"]
+    scored = quality.score(docs, model, "text", [F.col("doc_id"), F.col("label").alias("words")])
+    assert scored.columns == ["doc_id", "words", "score"]
     rows = scored.collect()
     assert len(rows) == docs.count() and all(r.score is not None and 0 <= r.score <= 1 for r in rows)
     good = {r.doc_id: r.score for r in rows if r.doc_id is not None and r.doc_id < 20}
@@ -91,6 +91,58 @@ def test_rules_are_sparse_and_compile(spark):
     assert "Python" not in scored._jdf.queryExecution().toString() and "Arrow" not in scored._jdf.queryExecution().toString()
 
 
+def plain_score(text, model):
+    """Statistics, rules and score of one text in plain Python."""
+    import re
+    import unicodedata
+
+    text = text or ""
+    words = [w for w in re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ").split(" ") if w]
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    parts = [x for x in re.split(r"[.!?\n]+[ \t\n\x0b\f\r]*", text) if x]
+    kind = [unicodedata.category(c) for c in text]
+    symbols = sum(k[0] not in "LN" and c not in " \t\n\x0b\f\r.,;:?'\"()-" for c, k in zip(text, kind))
+    over = lambda a, b: a / b if b else 0.0
+    n = len(words)
+    known = {
+        "log_words": math.log(n + 1),
+        "word_length": over(len(text), n),
+        "sentence_length": over(n, len(parts)),
+        "line_length": over(n, len(lines)),
+        "word_variety": over(len(set(words)), n),
+        "word_growth": math.log(max(1, len(set(words)))) / math.log(n) if n > 1 else 1.0,
+        "line_variety": over(len(set(lines)), len(lines)),
+        "sentence_variety": over(len(set(parts)), len(parts)),
+        "capital_share": over(kind.count("Lu"), len(text)),
+        "symbol_share": over(symbols, len(text)),
+        "stop_rate": over(sum(c in ".,;:?" for c in text), n),
+        "digit_share": over(sum(c in "0123456789" for c in text), len(text)),
+    }
+    total = model.intercept
+    for rule, weight in model.rules:
+        if all(known[name] <= v if sign == "<=" else known[name] > v for name, sign, v in rule):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_equal_plain_python(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(docs_table(spark, awkward()).select("doc_id", "text"))
+    model = quality.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), F.lit(True))
+    assert model.rules
+    for row in quality.score(docs, model, "text", [F.col("text")]).collect():
+        assert row.score == pytest.approx(plain_score(row.text, model), abs=1e-9)
+
+
+def test_kept_names_clash_with_no_statistic(spark):
+    docs, labels = labelled(spark)
+    model = quality.train(docs, labels, F.lit(True))
+    names = [*quality.statistics(F.col("text")), *quality.ratios(), "kept", "counted"]
+    kept = [F.lit(k).alias(name) for k, name in enumerate(names)]
+    found = quality.score(docs, model, "text", kept)
+    assert found.columns == [*names, "score"]
+    assert sorted(r.score for r in found.collect()) == sorted(r.score for r in quality.score(docs, model, "text", [F.col("doc_id")]).collect())
+
+
 def test_quality_without_labels(spark):
     docs, labels = labelled(spark, 8)
     nothing = quality.train(docs, labels.filter("false"), F.lit(True))
