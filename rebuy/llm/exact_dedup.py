@@ -34,24 +34,20 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "norm", F.substring("norm", 1, HEAD).alias("head"), F.sha2("norm", 256).alias("digest"))
 
 
-def _splitters(keyed: DataFrame, slices: int) -> Column | None:
-    """Cut points from a sample of keys. The sample only decides how even the slices are."""
-    total = keyed.count()
+def _splitters(df: DataFrame, id_col: str, text_col: str, slices: int) -> DataFrame:
+    """One row with the ascending cut points, from a sample of rows, which only decides how even the slices are.
+
+    Rows are drawn before they are keyed, so other texts are not read for it.
+    """
+    total = df.count()
     wanted = slices * SAMPLE_PER_SLICE
-    sample = keyed.select("head", "digest", "doc_id")
-    if total > wanted:
-        sample = sample.sample(fraction=min(1.0, wanted / total), seed=11)
-    keys = sample.orderBy("head", "digest", F.col("doc_id").asc_nulls_first()).collect()
+    drawn = df.sample(fraction=min(1.0, wanted / total), seed=11) if total > wanted else df
+    keys = _keyed(drawn, id_col, text_col).select("head", "digest", "doc_id")
+    keys = keys.orderBy("head", "digest", F.col("doc_id").asc_nulls_first()).collect()
     cuts = sorted({round(i * len(keys) / slices) for i in range(1, slices)} - {0, len(keys)})
-    if not cuts:
-        return None
-    id_type = keyed.schema["doc_id"].dataType
-    return F.array(
-        *[
-            F.struct(F.lit(keys[i].head).alias("head"), F.lit(keys[i].digest).alias("digest"), F.lit(keys[i].doc_id).cast(id_type).alias("doc_id"))
-            for i in cuts
-        ]
-    )
+    id_type = df.schema[id_col].dataType.simpleString()
+    schema = f"bounds array<struct<head:string,digest:string,doc_id:{id_type}>>"
+    return df.sparkSession.createDataFrame([([tuple(keys[i]) for i in cuts],)], schema)
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None) -> DataFrame:
@@ -61,12 +57,12 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     largest id of each group is kept.
     """
     slices = slices or SLICES_PER_PARTITION * partitions_of(df.sparkSession)
-    keyed = _keyed(df, id_col, text_col)
-    bounds = _splitters(keyed, slices)
-    key = F.struct("head", "digest", "doc_id")
-    place = F.lit(0) if bounds is None else count_not_above(bounds, key, max(2, math.isqrt(slices)))
+    # One row, which travels beside the plan however many cut points it has.
+    bounds = F.broadcast(_splitters(df, id_col, text_col, slices))
+    keyed = _keyed(df, id_col, text_col).join(bounds)
+    place = count_not_above(F.col("bounds"), F.struct("head", "digest", "doc_id"), max(2, math.isqrt(slices)))
     order = Window.partitionBy("slice").orderBy("head", "digest", "norm", F.col("doc_id").asc_nulls_first())
-    compared = keyed.withColumn("slice", place.cast("int")).select(
+    compared = keyed.withColumn("slice", place.cast("int")).drop("bounds").select(
         "slice",
         "doc_id",
         "digest",

@@ -17,6 +17,7 @@ named like the added ones (shard, slot) are replaced.
 
 from __future__ import annotations
 
+import decimal
 import math
 
 import numpy as np
@@ -25,6 +26,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rebuy.llm.common import count_not_above, partitions_of
 from rebuy.session import materialize
 
+GENERATOR_LIMIT = 10**9  # of numpy's hypergeometric generator, on either side of the urn
+HALF = decimal.Decimal("0.5")
+# ln(sqrt(2 pi)), and the coefficients of Stirling's series.
+LOG_ROOT_TAU = decimal.Decimal("0.9189385332046727417803297364056176398613974736377834128171")
+STIRLING = [(1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188), (-691, 360360), (1, 156), (-3617, 122400)]
 MAX_BLOCKS = 2048
 MAX_DESTINATIONS = 2048
 
@@ -46,8 +52,7 @@ def communication_matrix(block_rows: list[int], sizes: list[int], seed: int) ->
 
 
 def _hypergeometric(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """Colours of ``n`` balls drawn from an urn: the urn is halved again and again, which also
-    keeps the arguments small enough for the generator's limit of a thousand million."""
+    """Colours of ``n`` balls drawn from an urn: the urn is halved again and again."""
     if len(left) == 1:
         return np.array([n], dtype=np.int64)
     half = len(left) // 2
@@ -61,13 +66,48 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
         return 0
     if bad == 0 or n == good + bad:
         return min(n, good)
-    if good < 10**9 and bad < 10**9:
+    if max(good, bad) < GENERATOR_LIMIT:
         return int(rng.hypergeometric(good, bad, n))
-    # Beyond the generator's limit: the normal law of the same mean and variance, whose error is
-    # far below one row in 10**4 at these sizes, kept within the possible range.
-    share, total = good / (good + bad), good + bad
-    spread = math.sqrt(n * share * (1 - share) * (total - n) / (total - 1))
-    return int(min(max(round(rng.normal(n * share, spread)), n - bad, 0), good, n))
+    return _draw_large(rng, good, bad, n)
+
+
+def _draw_large(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """The same law for urns beyond the generator's limit: ratio of uniforms (Stadlober, 1990).
+
+    A proposal is accepted by its exact probability against that of the most likely number. Logarithms
+    of factorials are taken in doubles; where their rounding could matter, in 40 decimal digits.
+    """
+    total = good + bad
+    least, most = max(0, n - bad), min(n, good)
+    mode = (n + 1) * (good + 1) // (total + 2)
+    share = good / total
+    spread = math.sqrt(n * share * (1 - share) * (total - n) / (total - 1) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        offset = math.floor(n * share + 0.5 + width * (v - 0.5) / u - mode)
+        k = mode + offset
+        if not least <= k <= most:
+            continue
+        terms = [(mode, k), (good - mode, good - k), (n - mode, n - k), (bad - n + mode, bad - n + k)]
+        gap = sum(math.lgamma(a + 1) - math.lgamma(b + 1) for a, b in terms) - 2 * math.log(u)
+        # lgamma is good to some 1e-15 of its value, which is below 30 times the number of rows.
+        if abs(gap) < 1e-12 * total:
+            with decimal.localcontext(prec=40):
+                gap = sum(_log_factorial(a) - _log_factorial(b) for a, b in terms) - 2 * decimal.Decimal(u).ln()
+        if gap >= 0:
+            return k
+
+
+def _log_factorial(n: int) -> decimal.Decimal:
+    """Stirling's series; its error is below 1e-35 from 256 on."""
+    if n < 256:
+        return decimal.Decimal(math.factorial(n)).ln()
+    x = decimal.Decimal(n)
+    out = (x + HALF) * x.ln() - x + LOG_ROOT_TAU
+    for power, (above, below) in enumerate(STIRLING):
+        out += decimal.Decimal(above) / (decimal.Decimal(below) * x ** (2 * power + 1))
+    return out
 
 
 def exact_shuffle(df: DataFrame, shards: int, seed: int = 20240601, stretches: int | None = None) -> DataFrame:

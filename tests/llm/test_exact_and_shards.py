@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import string
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from rebuy.llm import exact_dedup, sharding
@@ -88,3 +90,38 @@ def test_written_shards_hold_the_rows(spark, tmp_path):
     back = spark.read.parquet(path)
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
     assert sorted(r["count"] for r in back.groupBy("shard").count().collect())[0] >= len(rows) // 4
+
+
+def test_large_urns_follow_the_same_law(monkeypatch):
+    """The large urns' sampler on small ones, against exact probabilities."""
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((30, 50, 20), (5, 400, 300), (1000, 900, 1500), (3, 4, 2)):
+        trials = 20_000
+        seen = Counter(sharding._draw_large(rng, good, bad, n) for _ in range(trials))
+        every = math.comb(good + bad, n)
+        gap = 0.0
+        for k in range(max(0, n - bad), min(n, good) + 1):
+            p = math.comb(good, k) * math.comb(bad, n - k) / every
+            assert abs(seen[k] - trials * p) < 5.5 * math.sqrt(trials * p * (1 - p)) + 1
+            gap += abs(seen[k] / trials - p)
+        assert gap < 0.15 and set(seen) <= set(range(max(0, n - bad), min(n, good) + 1))
+
+
+def test_urns_beyond_the_generators_limit():
+    rng = np.random.default_rng(2)
+    good, bad, n = 3 * 10**10, 7 * 10**10, 10**10
+    drawn = np.array([sharding._draw(rng, good, bad, n) for _ in range(3000)], dtype=float)
+    spread = math.sqrt(n * 0.3 * 0.7 * 0.9)
+    assert abs(drawn.mean() - 3 * 10**9) < 5 * spread / math.sqrt(3000)
+    assert 0.9 < drawn.std() / spread < 1.1
+    sizes = [10**9 + k for k in range(40)]
+    matrix = sharding.communication_matrix([sum(sizes) // 4] * 3 + [sum(sizes) - 3 * (sum(sizes) // 4)], sizes, 3)
+    assert matrix.sum(axis=0).tolist() == sizes and (matrix > 0).all()
+
+
+def test_log_factorials():
+    import decimal
+
+    with decimal.localcontext(prec=40):
+        for n in (0, 1, 2, 255, 256, 257, 2000):
+            assert abs(sharding._log_factorial(n) - decimal.Decimal(math.factorial(n)).ln()) < decimal.Decimal("1e-30")
