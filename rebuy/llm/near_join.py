@@ -403,7 +403,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.col("n").alias("n_copies"),
         )
     )
-    joined = described.select("doc_id", "cls").join(info, "cls", "left")
+    info = materialize(info, "near-info")
+    # Classes of so many copies that they would fill a task; there are fewer than four per task, whatever the data.
+    tasks = partitions_of(df.sparkSession)
+    large = F.col("n_copies") > classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n / (4 * tasks)
+    few, documents = F.broadcast(info.filter(large)), described.select("doc_id", "cls")
+    rest = documents.join(few, "cls", "left_anti").join(info.filter(~large), "cls", "left")
+    joined = documents.join(few, "cls").unionByName(rest)
     alone = F.col("n_copies").isNull()
     return joined.select(
         "doc_id",
