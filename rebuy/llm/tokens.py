@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 
 from rebuy.llm.common import Memo, worker_state
 
-REMEMBERED = 500_000  # words kept by each worker; about 100 MB
+REMEMBERED = 300_000  # words kept by each worker; about 60 MB
 LONGEST_REMEMBERED = 48  # characters
-CHUNK_BYTES = 8 << 20  # of text that is split at once, unless a single text is longer
+CHUNK_BYTES = 2 << 20  # of text that is split at once, unless a single text is longer
 
 # Letters of ASCII and Latin-1, then ASCII punctuation without an apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -84,6 +84,7 @@ class Encoder:
             end = max(at + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, side="right")))
             yield self._chunk(texts.slice(at, end - at))
             at = end
+        pa.default_memory_pool().release_unused()
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # Special tokens are read before letters are lower-cased; without them the order does not matter.
