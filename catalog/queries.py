@@ -596,7 +596,7 @@ def _bpr(spark, folder):
     return t, pairs, latent.train_bpr(pairs, heads, latent.BprParams())[0]
 
 
-def _blended(t, lists, name):
+def _latent_blend(t, lists, name):
     base = hybrid.recommend(t, S.PRODUCTION)
     wanted = customers.truth(t.transactions, S.CUTOFF, S.VALID_END)
     return tidy(blending.blend_metrics(base, lists, wanted, blending.standard_variants(name), 10))
@@ -610,7 +610,7 @@ def als_recs(spark, folder):
 @query
 def als_blend_metrics(spark, folder):
     t, model = _als(spark, folder)
-    return _blended(t, latent.als_lists(model), "als")
+    return _latent_blend(t, latent.als_lists(model), "als")
 
 
 @query
@@ -629,7 +629,7 @@ def bpr_recs(spark, folder):
 @query
 def bpr_blend_metrics(spark, folder):
     t, _, model = _bpr(spark, folder)
-    return _blended(t, latent.bpr_lists(model, latent.BprParams().candidates), "bpr")
+    return _latent_blend(t, latent.bpr_lists(model, latent.BprParams().candidates), "bpr")
 
 
 @query
