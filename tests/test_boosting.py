@@ -264,3 +264,24 @@ def test_features_move_once(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
+
+
+def test_only_smaller_children_are_counted(monkeypatch):
+    """A level reads at most half of the rows again, and the sums left to the larger children are exact."""
+    dice = np.random.default_rng(5)
+    rows, depth = 4_000, 5
+    bins = dice.integers(0, 40, (3, rows)).astype(np.uint8)
+    g, h = dice.integers(-(10**6), 10**6, rows) + bins[1].astype(np.int64) * 10_000, dice.integers(1, 10**6, rows)
+    growth = boosting._Growth([0, 1, 2], 10_000, depth, 32, 0.0, 1)
+    counted, true = [], boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda bins, node, *rest: counted.append(len(node)) or true(bins, node, *rest))
+    found = boosting._subtree(bins, g, h, growth, 1, [40, 40, 40])
+    assert len(counted) == depth and counted[0] == rows and all(n <= rows // 2 for n in counted[1:])
+    inside = {1: np.arange(rows)}
+    for path in sorted(found):
+        split, mine = found[path], inside[path]
+        left = bins[split.feature, mine] <= split.bin
+        assert (split.all_g, split.all_h, split.all_n) == (g[mine].sum(), h[mine].sum(), len(mine))
+        assert (split.g, split.h, split.n) == (g[mine][left].sum(), h[mine][left].sum(), left.sum())
+        inside[2 * path], inside[2 * path + 1] = mine[left], mine[~left]
+    assert len(found) > 8
