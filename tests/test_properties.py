@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rebuy.config import production_config
-from rebuy.operators import boosting, copurchase, customers, features, interactions, products
+from rebuy.operators import boosting, copurchase, customers, features, interactions, products, skew
 from rebuy.operators.skew import FINENESS, heaviest, spread_join
 from rebuy.plans import experiments, hybrid, latent
 from rebuy.session import shared_dir
@@ -64,6 +64,25 @@ def test_spread_lookups_change_nothing(shop, monkeypatch):
     assert collected(hybrid.recommend(shop, CFG, mode="predict")) == wanted
 
 
+def test_only_lists_that_are_too_large_move(spark, shop, monkeypatch):
+    """Small lists stay broadcast next to large ones, which come back whole: no row is expanded before it moves."""
+    wanted = collected(hybrid.recommend(shop, CFG, mode="predict"))
+    training = hybrid.train(shop, CFG)
+    targets = customers.target_customers(shop, CFG, "predict")
+    monkeypatch.setattr("rebuy.plans.hybrid.stored_bytes", lambda df: skew.BROADCAST_BYTES + 1 if "near" in lists_of(df) else 1)
+    found = hybrid.evidence_lists(shop, CFG, targets, training)
+    assert found.spread_kinds == (hybrid.COPURCHASE,) and found.at_hand is not None
+    assert collected(hybrid.recommend(shop, CFG, mode="predict", targets=targets, training=training)) == wanted
+    plan = hybrid.collect_evidence(shop, CFG, targets, training)._jdf.queryExecution().optimizedPlan().toString()
+    moves = plan.index("RepartitionByExpression [customer_id")
+    assert "zip_with" in plan[:moves] and "zip_with" not in plan[moves:]
+
+
+def lists_of(df) -> str:
+    """The names of the stored tables a frame reads."""
+    return " ".join(path.rsplit("/", 2)[-2].rsplit("-", 1)[0] for path in df.inputFiles())
+
+
 def test_shorter_lists_are_prefixes(shop):
     training = hybrid.train(shop, CFG)
     long = hybrid.recommend(shop, CFG, training=training)
