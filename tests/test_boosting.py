@@ -285,3 +285,45 @@ def test_only_smaller_children_are_counted(monkeypatch):
         assert (split.g, split.h, split.n) == (g[mine][left].sum(), h[mine][left].sum(), left.sum())
         inside[2 * path], inside[2 * path + 1] = mine[left], mine[~left]
     assert len(found) > 8
+
+
+def test_features_counted_together_give_the_same_sums():
+    rng = np.random.default_rng(8)
+    widths, rows = [3, 64, 2, 40, 64, 5, 1], 9_000
+    bins = np.stack([rng.integers(0, w, rows) for w in widths]).astype(np.uint8)
+    g, h, node = rng.integers(-(10**9), 10**9, rows), rng.integers(1, 10**8, rows), rng.integers(0, 3, rows)
+    chosen = [0, 1, 2, 4, 5, 6]
+    packs = boosting._Packs.of(bins, chosen, widths)
+    assert len(packs.members) < len(chosen) and all(math.prod(w) <= boosting.PACKED for w in packs.widths)
+    some = np.flatnonzero(rng.random(rows) < 0.6)
+    for mine in (np.arange(rows), some):
+        wanted = boosting._sums(bins[:, mine], node[mine], g[mine], h[mine], chosen, 3)
+        assert (packs.sums(mine, node[mine], g[mine], h[mine], 3) == wanted).all()
+
+
+def test_small_rounds_are_one_job_and_store_nothing_between(spark, data, monkeypatch):
+    """A round adds the trees since the stored state; only rounds with large nodes cache a table of their own."""
+    monkeypatch.setattr(boosting, "STORE_EVERY", 4)
+    blocks = boosting.binned_blocks(data.train, features.FEATURES, 42)
+    held, kind = [], type(blocks.rows)
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda self, *args: held.append(self) or persist(self, *args))
+    small = boosting.boost(blocks, [SMALL])
+    assert len(held) == 2
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", 0)
+    large = boosting.boost(blocks, [SMALL])
+    assert len(held) == 2 + 2 + SMALL.num_boost_round
+    assert boosting.node_rows(large[0], blocks.edges) == boosting.node_rows(small[0], blocks.edges)
+
+
+def test_kept_frames_need_no_inputs(spark, monkeypatch):
+    tables = replace(star_tables(spark, "/root/testdata/sf0.001", S.CUTOFF, "style"), source_key=uuid.uuid4().hex)
+    first = ranker.ranker_data(tables, WINDOWS, features.CandidateConfig(event_start=S.EVENT_START))
+
+    def refuse(*_):
+        raise AssertionError("inputs of a frame that is there")
+
+    monkeypatch.setattr(ranker, "ranker_inputs", refuse)
+    again = ranker.ranker_data(tables, WINDOWS, features.CandidateConfig(event_start=S.EVENT_START))
+    for name in ("train", "evaluation", "eval_customers", "eval_truth"):
+        assert collected(getattr(again, name)) == collected(getattr(first, name)) != []
