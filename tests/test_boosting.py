@@ -327,3 +327,21 @@ def test_kept_frames_need_no_inputs(spark, monkeypatch):
     again = ranker.ranker_data(tables, WINDOWS, features.CandidateConfig(event_start=S.EVENT_START))
     for name in ("train", "evaluation", "eval_customers", "eval_truth"):
         assert collected(getattr(again, name)) == collected(getattr(first, name)) != []
+
+
+def test_rounds_of_small_frames_share_a_job(spark, data, monkeypatch):
+    """One job grows the trees of all rounds up to the next stored state, and they are those of the other ways."""
+    blocks = boosting.binned_blocks(data.train, features.FEATURES, 42)
+    settings = [replace(SMALL, num_boost_round=n, bagging_fraction=b) for n, b in ((7, 0.5), (3, 1.0), (1, 0.0))]
+    jobs, kind = [], type(blocks.rows)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: jobs.append(self) or collect(self))
+    monkeypatch.setattr(boosting, "STORE_EVERY", 4)
+    ended = []
+    found = boosting.boost(blocks, settings, lambda k, trees: ended.append((k, len(trees))))
+    assert len(jobs) == 2 and sorted(ended) == [(0, 7), (1, 3), (2, 1)]
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", 0)
+    wanted = boosting.boost(blocks, settings)
+    assert len(jobs) > 9
+    assert [boosting.node_rows(t, blocks.edges) for t in found] == [boosting.node_rows(t, blocks.edges) for t in wanted]
+    assert len(found[2][0].value) == 1  # nothing was drawn
