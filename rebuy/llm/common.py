@@ -22,10 +22,22 @@ FOLD = bytes(
 )
 
 
+BATCH_BYTES = 8 << 20  # of rows that Spark hands to Python at once; both sides hold a batch as a whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the size up to which Spark fills a batch for Python; a smaller one that is set stays."""
+    known, conf = spark._jvm.org.apache.spark.sql.internal.SQLConf, spark._jsparkSession.sessionState().conf()
+    entry = known.ARROW_EXECUTION_MAX_BYTES_PER_BATCH()
+    if not 0 < conf.getConf(entry) <= BATCH_BYTES:
+        spark.conf.set(entry.key(), str(BATCH_BYTES))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words as UTF-8; a null text has none. Unpaired surrogates cannot occur in Parquet strings."""
     return text.encode().translate(FOLD).split() if text else []
@@ -84,6 +96,18 @@ def worker_state(name: str, make: Callable[[], Any]) -> Any:
     return getattr(store, name)
 
 
+def worker_memo(name: str, make: Callable[[], Any]) -> Any:
+    """Like :func:`worker_state`, for what grows with the data: a worker keeps the last one it was asked for.
+
+    Workers go from the tasks of one operator to those of the next; what the one before remembered is given back.
+    """
+    held = worker_state("memo", dict)
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
+
+
 class Memo(dict):
     """A dict that computes missing entries and holds ``limit`` of them at most.
 

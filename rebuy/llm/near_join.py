@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rebuy.llm.common import Memo, ascii_lower, partitions_of, words_of, worker_state
+from rebuy.llm.common import Memo, ascii_lower, partitions_of, words_of, worker_memo, worker_state
 from rebuy.llm.components import connected_components
 from rebuy.operators.skew import fits_broadcast
 from rebuy.session import materialize
@@ -70,7 +70,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    memo = worker_state("word-hashes", lambda: Memo(_word_hash, WORDS_REMEMBERED))
+    memo = worker_memo("word-hashes", lambda: Memo(_word_hash, WORDS_REMEMBERED))
     hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - size + 1)
     out = np.full(n, min(size, len(words)), np.uint64)

@@ -56,20 +56,24 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, step = encoder(vocabulary).texts, np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            source, piece, start, data = [], [], [], []
+            source, piece, start, length, checksum, data = [], [], [], [], [], []
             for row, ids in enumerate(encode(batch.column(1))):
                 ids += end
                 for number, at in enumerate(range(0, len(ids), step)):
                     source.append(row)
                     piece.append(number)
                     start.append(at // 4)
-                    data.append(ids[at : at + step])
+                    part = ids[at : at + step]
+                    length.append(len(part) // 4)
+                    checksum.append(zlib.crc32(part))
+                    if with_ids:
+                        data.append(part)
             columns = [
                 batch.column(0).take(pa.array(source, pa.int64())),
                 pa.array(piece, pa.int32()),
                 pa.array(start, pa.int64()),
-                pa.array([len(d) // 4 for d in data], pa.int64()),
-                pa.array([zlib.crc32(d) for d in data], pa.int64()),
+                pa.array(length, pa.int64()),
+                pa.array(checksum, pa.int64()),
             ]
             if with_ids:
                 columns.append(pa.array([np.frombuffer(d, "<u4").tolist() for d in data], pa.list_(pa.int64())))

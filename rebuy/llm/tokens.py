@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from rebuy.llm.common import Memo, worker_state
+from rebuy.llm.common import Memo, worker_memo
 
 REMEMBERED = 500_000  # words kept by each worker; about 100 MB
 LONGEST_REMEMBERED = 48  # characters
@@ -117,7 +117,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    return worker_state(f"encoder:{path}", lambda: Encoder(path))
+    return worker_memo(f"encoder:{path}", lambda: Encoder(path))
 
 
 def default_vocabulary() -> str:
