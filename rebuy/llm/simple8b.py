@@ -33,9 +33,13 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.i
 BLOCK = 128
 PAD = 60
 PAGE_IDS = 1 << 19
+# Bits of each number below 1 << 16, as ids of most vocabularies are.
+SMALL = np.repeat(np.arange(17), [1, *(1 << np.arange(16))]).astype(np.uint8)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
+    if len(values) and values.max() < len(SMALL):
+        return SMALL[values]
     width = np.zeros(values.shape, dtype=np.uint8)
     for bits in np.unique(BITS):
         width[values >= np.uint64(1) << np.uint64(bits)] = bits + 1
@@ -50,7 +54,6 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     row = BLOCK + PAD
     padded = np.zeros((blocks, row), dtype=np.uint64)
-    padded[:, :BLOCK].ravel()[:0]
     body = np.zeros(blocks * BLOCK, dtype=np.uint64)
     body[: len(values)] = values
     padded[:, :BLOCK] = body.reshape(blocks, BLOCK)
@@ -62,13 +65,14 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for size in (2, 4, 8, 16, 32):
         half = runs[size // 2]
         runs[size] = np.maximum(half[: len(half) - size // 2], half[size // 2 :])
-    best = np.zeros(n, dtype=np.uint8)  # an escape unless something fits
+    fitting = np.zeros(n, dtype=np.uint8)  # what takes fewer and wider ids fits as well
     for selector in range(14, 0, -1):
         count = int(COUNTS[selector])
         size = 1 << (count.bit_length() - 1)
         run = runs[size]
         widest = run[:n] if size == count else np.maximum(run[:n], run[count - size : count - size + n])
-        best[widest <= BITS[selector]] = selector
+        fitting += widest <= BITS[selector]
+    best = np.where(fitting, np.uint8(15) - fitting, np.uint8(0))  # an escape unless something fits
     ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, len(values)) - np.arange(blocks) * BLOCK + np.arange(blocks) * row
     at, chosen = np.arange(blocks) * row, np.zeros(n, dtype=bool)
     jump = COUNTS[best]

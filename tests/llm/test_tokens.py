@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -48,6 +49,28 @@ def test_ids_of_every_letter_before_a_mark(library, encoder):
         assert np.frombuffer(encoder.ids(" ".join(stretches)), "<u4").tolist() == expected
 
 
+def test_words_are_looked_up_whatever_mark_follows(library):
+    encoder = tokens.Encoder(VOCABULARY)
+    asked, whole = [], encoder.stretch
+    encoder.stretch = lambda text: asked.append(text) or whole(text)
+    others = ["(word)", "it's,", "x..", "z" * 60 + "!", "¿qué?", "a<b", "12.", "'", "한.", "tari̇h,"]
+    text = " ".join(["word word. word, Word;  é! É, . ,", *others, "\nword"])
+    for texts in ([text], [None, text, ""], ["", None], [text + " <| Word. É", "ABC."]):
+        asked.clear()
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.texts(pa.array(texts, pa.string()))]
+        assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert set(asked) <= {*others, *(o[:-1] for o in others), "<|"}
+
+
+def test_coding_numbers_around_sixteen_bits():
+    for n in (100, 1 << 15, (1 << 16) - 1, 1 << 16, 1 << 17):
+        values = np.arange(max(0, n - 300), n + 1, dtype=np.uint64)
+        words, firsts, escapes = simple8b.encode(values)
+        assert simple8b.decode(words, firsts, escapes, len(values)).tolist() == values.tolist() and not len(escapes)
+        fits = simple8b._widths(values)[:, None] <= simple8b.BITS[None, 1:]
+        assert (fits == (values[:, None] < (np.uint64(1) << simple8b.BITS[None, 1:].astype(np.uint64)))).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**64 - 1)), max_size=700))
 def test_simple8b_round_trip(values):
