@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -49,11 +50,16 @@ TOKENS_REMEMBERED = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?\n]+")
+_IN_CONTEXT = re.compile("[\u0130\u03a3]")  # lower case is two characters, or depends on the neighbours; else a letter gives a letter
+_OWN, _BEGINNING, _BEFORE, _AFTER = map(zlib.crc32, (b"o", b"o^", b"p", b"n"))
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """Lower-case words by sentence; all words of the text, in order."""
-    parts = ([w.lower() for w in _WORD.findall(part)] for part in _END.split(text or ""))
+    text = text or ""
+    if not _IN_CONTEXT.search(text):
+        return [words for part in _END.split(text.lower()) if (words := _WORD.findall(part))]
+    parts = ([w.lower() for w in _WORD.findall(part)] for part in _END.split(text))
     return [words for words in parts if words]
 
 
@@ -61,12 +67,19 @@ def _beginnings(word: str) -> list[str]:
     return [f"^{word[:n]}" for n in range(3, 9) if len(word) > n]
 
 
-def _slots(kind: str, values: list[str]) -> list[int]:
-    return [zlib.crc32(f"{kind}{v}".encode()) % WEIGHTS for v in values]
+def _slot(kind: int, value: str) -> int:
+    """``kind`` is the checksum of what comes before the value."""
+    return zlib.crc32(value.encode(), kind) % WEIGHTS
 
 
 def own_slots(word: str) -> list[int]:
-    return _slots("o", [word, *_beginnings(word), f"{word[-3:]}$", "any"])
+    """Of the word, its beginnings, its end, and of any word."""
+    crc = zlib.crc32
+    out = [crc(word.encode(), _OWN) % WEIGHTS]
+    for n in range(3, min(9, len(word))):
+        out.append(crc(word[:n].encode(), _BEGINNING) % WEIGHTS)
+    out += _slot(_OWN, f"{word[-3:]}$"), _slot(_OWN, "any")
+    return out
 
 
 def offending_terms(documents: list[tuple[set[str], int]], weight: tuple[float, float]) -> list[str]:
@@ -121,12 +134,12 @@ class Model:
     head: np.ndarray = field(default_factory=lambda: np.zeros(SIGNALS))  # of the document score
 
     def parts(self) -> "Memo":
-        """For a word, what it adds to its own toxic potential, to the next word's, and to the one before."""
-        weight = self.weights.tolist()
+        """For a word, what it adds to its own toxic potential, to the next word's, and to the one before: three packed doubles."""
+        weight, pack = self.weights.tolist(), struct.Struct("3d").pack
 
-        def of(word: str) -> tuple[float, float, float]:
+        def of(word: str) -> bytes:
             own = sum([weight[k] for k in own_slots(word)])
-            return own, weight[_slots("p", [word])[0]], weight[_slots("n", [word])[0]]
+            return pack(own, weight[_slot(_BEFORE, word)], weight[_slot(_AFTER, word)])
 
         return Memo(of, TOKENS_REMEMBERED)
 
@@ -191,9 +204,9 @@ def fit_chain(tagged: list[list[tuple[str, int]]], model: Model) -> None:
         for t, (word, label) in enumerate(sentence):
             mine = own_slots(word)
             if t:
-                mine += _slots("p", [sentence[t - 1][0]])
+                mine.append(_slot(_BEFORE, sentence[t - 1][0]))
             if t + 1 < len(sentence):
-                mine += _slots("n", [sentence[t + 1][0]])
+                mine.append(_slot(_AFTER, sentence[t + 1][0]))
             slots += mine
             owner += [count] * len(mine)
             position.append((row, t))
@@ -255,8 +268,8 @@ def token_marginals(split: list[list[list[str]]], model: Model, memo: Memo) -> l
     lengths = np.array([len(s) for s in flat], np.int64)
     order = np.argsort(lengths, kind="stable")
     if len(flat):
-        tokens = chain.from_iterable(map(memo.__getitem__, chain.from_iterable(flat[k] for k in order)))
-        parts = np.fromiter(tokens, float, 3 * int(lengths.sum())).reshape(-1, 3)
+        tokens = map(memo.__getitem__, chain.from_iterable(flat[k] for k in order))
+        parts = np.frombuffer(b"".join(tokens)).reshape(-1, 3)
         bounds = np.append(0, np.cumsum(lengths[order]))
         potential = parts[:, 0].copy()
         potential[1:] += parts[:-1, 1]

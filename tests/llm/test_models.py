@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -305,6 +306,27 @@ def test_marginals_match_enumeration():
     assert np.allclose(toxicity._pair_marginals(potential, lengths, transitions, start), pairs)
 
 
+def test_lower_case_of_whole_texts_is_that_of_words():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in "\u0130\u03a3"]
+    for pattern in (toxicity._WORD, toxicity._END):
+        assert all(len(c.lower()) == 1 and bool(pattern.fullmatch(c)) == bool(pattern.fullmatch(c.lower())) for c in every if c.lower() != c)
+    text = "Some WORDS'S É\u0301 x1Y_Z. ΑΣ'Α ΟΔΟΣ İstanbul!\n\nŞİ Ⅷ ǅ"
+    for t in (text, text.replace("Σ", "").replace("İ", ""), "...", "", None):
+        split = [[w.lower() for w in toxicity._WORD.findall(part)] for part in toxicity._END.split(t or "")]
+        assert toxicity.sentences(t) == [words for words in split if words]
+
+
+def test_remembered_words_are_packed():
+    slots = lambda *names: [zlib.crc32(n.encode()) % toxicity.WEIGHTS for n in names]
+    model = toxicity.Model(weights=np.random.default_rng(2).normal(size=toxicity.WEIGHTS).astype(np.float32))
+    memo = model.parts()
+    for word in ("a", "abc", "abcd", "abcdefgh", "abcdefghijk", "éàêüß", "한국어한국어"):
+        own = slots(f"o{word}", *(f"o^{word[:n]}" for n in range(3, 9) if len(word) > n), f"o{word[-3:]}$", "oany")
+        assert toxicity.own_slots(word) == own
+        expected = [sum(float(model.weights[k]) for k in own), *(float(model.weights[k]) for k in slots(f"p{word}", f"n{word}"))]
+        assert isinstance(memo[word], bytes) and np.allclose(np.frombuffer(memo[word]), expected, rtol=0, atol=1e-12)
+
+
 def toxic_sample(n=300):
     rng = random.Random(3)
     insults = ["vermox", "grumpo"] + [f"sklarn{x}" for x in ("a", "ei", "out", "ig", "u", "on")]
